@@ -41,10 +41,12 @@ GROUPS = ("latin", "han", "kana", "hangul")
 ROUNDS = 3
 #: Nats a chain costs before any evidence; the first round's prior.
 PRIOR = -4.6
-PULL = 20.0
+PULL = 100.0
 #: Nats for a stretch in another script group than the rest of its row.
 AWAY = 12.0
 NO_CHAIN = "none"
+#: Clean stretches a row counts for, beside its candidates.
+CLEAN = 20.0
 #: Not an encoding: letters put in for ones that look alike (problem 7). It competes with the chains.
 LOOKS = "look-alike"
 
@@ -104,6 +106,7 @@ def _dense() -> re.Pattern:
 NO_TEXT = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f" + chr(0xE000) + "-" + chr(0xF8FF) + "]")
 WIDE_RUN = re.compile("[^\x00-\x7f]+")
 EAST = re.compile("[" + chr(0x2E80) + "-" + chr(0xD7AF) + chr(0xE000) + "-" + chr(0xFFFD) + "]")
+EAST_RUN = "[" + chr(0x2E80) + "-" + chr(0xD7AF) + chr(0xF900) + "-" + chr(0xFFEF) + "]"
 #: Nats below the plain reading from which no prior lifts a chain above it.
 HOPELESS = -3.0
 
@@ -259,6 +262,8 @@ def _compete(text: str, found: list, group: int, score) -> list[tuple[int, int,
     kept = []
     for a, b, chains in found:
         seen = text[a:b]
+        # one East Asian character by itself among Latin words
+        alone = 4.0 if group == 0 and b - a == 1 and EAST.match(seen) and not EAST.search(text[max(0, a - 2) : a] + text[b : b + 2]) else 0.0
         base = score(seen, group) + HOPELESS
         worth, top = [], -math.inf
         for c, t in chains:
@@ -266,7 +271,7 @@ def _compete(text: str, found: list, group: int, score) -> list[tuple[int, int,
                 worth.append((c, t, 0.0))
                 top = max(top, 0.0)
             elif t:
-                fit = _fits(text[a - 1 : a], t, text[b : b + 1])
+                fit = alone + _fits(text[a - 1 : a], t, text[b : b + 1])
                 gain = score(t, group) + fit - base
                 if gain > 0:
                     worth.append((c, t, fit))
@@ -351,9 +356,10 @@ def _posterior(islands: DataFrame, by_source: DataFrame | None, share: dict[str,
     return rows.mapInArrow(run, f"id_ {schema_kind}, field_ string, source_ string, group_ int, start_ int, end_ int, seen string, chain string, fixed string, p double, lossy boolean")
 
 
-def _chain_counts(scored: DataFrame) -> DataFrame:
+def _chain_counts(scored: DataFrame, clean: DataFrame) -> DataFrame:
     """What the posterior expects of each chain, by source and field: ``by_chain``, a map of a few chains."""
     by = scored.groupBy("source_", "field_", F.coalesce("chain", F.lit(NO_CHAIN)).alias("chain")).agg(F.sum("p").alias("n"))
+    by = by.unionByName(clean).groupBy("source_", "field_", "chain").agg(F.sum("n").alias("n"))
     return by.groupBy("source_", "field_").agg(F.map_from_entries(F.collect_list(F.struct("chain", "n"))).alias("by_chain"))
 
 
@@ -393,6 +399,8 @@ def infer(df: DataFrame, fields: tuple[str, ...] = ("text",), id_col: str = "pol
         part = extract(df, id_col, field, source, field, model)
         islands = part if islands is None else islands.unionByName(part)
     islands = stage(islands, "encoding-islands")
+    by_rows = df.groupBy(F.coalesce(source, F.lit("")).alias("source_")).agg((F.count(F.lit(1)) * CLEAN).alias("n"))
+    clean = by_rows.select("source_", F.explode(F.array(*map(F.lit, fields))).alias("field_"), F.lit(NO_CHAIN).alias("chain"), "n")
     by_source, share = None, {}
     for k in range(rounds):
         if k:
@@ -401,7 +409,7 @@ def infer(df: DataFrame, fields: tuple[str, ...] = ("text",), id_col: str = "pol
         if k == rounds - 1:
             break
         scored = stage(scored, "encoding-scored")
-        by_source = stage(_chain_counts(scored), "encoding-chains")
+        by_source = stage(_chain_counts(scored, clean), "encoding-chains")
         share = _corpus_share(by_source)
         for r in _moved(scored).toLocalIterator():
             counts[r.group_][r.c] += r.n
@@ -446,3 +454,30 @@ def repair(df: DataFrame, found: DataFrame, id_col: str = "policy_doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(complete)], names=["id_", "restored", "complete"])
 
     return rows.mapInArrow(run, f"id_ {kind}, restored string, complete boolean").withColumnRenamed("id_", id_col)
+
+
+#: Characters that next to no clean text holds two of in a row, or beside a control: the mark of a wrong encoding.
+_odd = [c for c in _single_bytes("w1252") if 0x80 <= _single_bytes("w1252")[c]]
+
+
+@lru_cache(None)
+def _damage() -> re.Pattern:
+    high = _class([c for c in _odd if c not in "’‘“”–—…•«»·©®°ª"])
+    near = _class(_odd)
+    return re.compile(f"(?:{near}*(?:[{chr(0x80)}-{chr(0x9F)}]|{high}{near}{near}|[ÂÃ]{near}|â{near}){near}*)+|{EAST_RUN}*[{LOST}{chr(0xE000)}-{chr(0xF8FF)}]+(?:{EAST_RUN}|[{LOST}{chr(0xE000)}-{chr(0xF8FF)}])*")
+
+
+def damaged(text: str) -> list[tuple[int, int]]:
+    """The stretches of one text that look read in a wrong encoding, without the corpus: for those who skip them."""
+    out = [m.span() for m in _damage().finditer(text)]
+    for a, b, chains in candidates(text):
+        if b - a >= 2 and any(c.endswith("<utf-8") or c.endswith("twice") for c, _ in chains):
+            out.append((a, b))
+    out.sort()
+    merged: list[tuple[int, int]] = []
+    for a, b in out:
+        if merged and a <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
