@@ -40,13 +40,15 @@ LEAST, SHARE = 4, 6e-4
 ITEM = re.compile(r"\s*(?:#{1,6}\s|[-*•–·›»]\s|\d+(?:\.\d+)*[.)]\s|\d+ \||Q:\s)")
 ENDS = re.compile(r"[.!?。！？…][”’»\"')\]」』]*\s*$")
 QUOTED = re.compile("“[^”]{0,400}”|„[^“]{0,400}“|«[^»]{0,400}»|「[^」]{0,300}」|『[^』]{0,300}』|‘[^’\n]{0,200}’")
-BLANKS = re.compile(r"\n[ \t\r\f\v]*\n|\f")
+SENTENCE = re.compile(r"(?<=[.!?。！？])[ \t\r]*")
 
 
 def notices(df: DataFrame, text_col: str, least: int = LEAST, share: float = SHARE) -> set[str]:
-    """Sentence-like lines that recur in many rows: at most lines / support of them."""
+    """Sentences of short lines that recur in many rows: at most sentences / support of them."""
     n = df.select(F.lit(1)).count()
-    rows = df.select(F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line")).select(F.trim(F.translate("line", "\r\t", "  ")).alias("line")).where("length(line) between 12 and 240").where(F.col("line").rlike("[.!?。！？]$"))
+    lines = df.select(F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line")).where("length(line) between 8 and 400")
+    marked = F.regexp_replace("line", "([.!?。！？])[ \t\r]*", "$1\n")
+    rows = lines.where(F.col("line").rlike("[.!?。！？]")).select(F.explode(F.split(marked, "\n")).alias("line")).select(F.trim("line").alias("line")).where(F.col("line").rlike("^.{4,}[.!?。！？]$"))
     kept = rows.groupBy("line").count().where(F.col("count") >= max(least, share * n)).select("line")
     return {r.line for r in kept.toLocalIterator()}
 
@@ -63,8 +65,6 @@ def segments(text: str, wrapped: bool, skip: set[str]) -> tuple[list[tuple[int,
             continue
         para += blank
         blank = False
-        if s in skip:
-            continue
         parts.setdefault(para, []).append(s)
     for no, lines in parts.items():
         if wrapped and not any(map(ITEM.match, lines)):
@@ -72,6 +72,11 @@ def segments(text: str, wrapped: bool, skip: set[str]) -> tuple[list[tuple[int,
         else:
             units = lines
         for s in units:
+            if ENDS.search(s) and not ITEM.match(s):
+                own = [x for x in SENTENCE.split(s) if x and x not in skip and "©" not in x]
+                if not own:
+                    continue
+                s = " ".join(own)
             if ENDS.search(s) and not ITEM.match(s) and (len(s) >= 60 or not s.isascii() and len(s) >= 18):
                 out.append((no, s))
             else:
