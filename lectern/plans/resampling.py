@@ -1 +1,145 @@
+"""Resampling by a hash instead of a random stream, so that SQL can repeat it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..domain import EPS_THEME, PAIRS, REGIONS, SEED, SQL_BASE, THEMES, by_region, inst_theme, region_pairs, sql
+from .agreement import _BY, _q, by_chunk, paired
+from .catalog import query
+from .inference import region_theme, theme_pairs
+
+REPLICATES = 200
+R = 9
+rnd = lambda c, a: F.round(c, R).alias(a)
+#: Uniform in [0, 1) from a key, the same in Spark and DuckDB.
+U_SPARK = "cast(conv(substr(md5(concat_ws(':', {seed}, {b}, {key})), 1, 8), 16, 10) as bigint) / 4294967296D"
+U_DUCK = "('0x' || substr(md5(concat_ws(':', {seed}, {b}, {key})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def wide_themes(spark, d) -> DataFrame:
+    return inst_theme(spark, d).groupBy("institution_id", "region").pivot("theme", list(THEMES)).agg(F.max("v"))
+
+
+_WT = "wt AS (SELECT * FROM wide)"
+
+
+def _resample_sql() -> str:
+    u = U_DUCK.format(seed=SEED, b="b", key="institution_id")
+    return _q(
+        f"""rs0 AS (SELECT w.*, b, row_number() OVER (PARTITION BY b ORDER BY {u}, institution_id) AS k, count(*) OVER (PARTITION BY b) AS m FROM wide w CROSS JOIN (SELECT unnest(range({REPLICATES})) AS b)),
+rs1 AS (SELECT * FROM rs0 WHERE k <= round_even(0.8 * m, 0)),
+rs2 AS (SELECT b, region, theme, sum(v)::DOUBLE / count(*) AS p FROM (UNPIVOT (SELECT b, region, {', '.join(THEMES)} FROM rs1) ON {', '.join(THEMES)} INTO NAME theme VALUE v) GROUP BY ALL),
+rs3 AS (SELECT x.b, x.theme, x.region AS region_a, y.region AS region_b, x.p - y.p AS diff FROM rs2 x JOIN regions rx ON rx.region = x.region JOIN rs2 y ON x.b = y.b AND x.theme = y.theme JOIN regions ry ON ry.region = y.region AND rx.ord < ry.ord),
+full_ AS (SELECT theme, region_a, region_b, x_a::DOUBLE / nullif(n_a, 0) - x_b::DOUBLE / nullif(n_b, 0) AS full_diff FROM pairs)""",
+        f"""SELECT theme, region_a, region_b, round(any_value(full_diff), 9) AS full_diff, round(sum(CASE WHEN full_diff <> 0 AND sign(round(diff, 12)) = sign(round(full_diff, 12)) THEN 1 ELSE 0 END)::DOUBLE / {REPLICATES}, 9) AS same_sign, round(quantile_cont(diff, 0.5), 9) AS median, round(quantile_cont(diff, 0.05), 9) AS p5, round(quantile_cont(diff, 0.95), 9) AS p95
+        FROM rs3 JOIN full_ USING (theme, region_a, region_b) GROUP BY ALL""",
+    )
+
+
+@query(_resample_sql())
+def resample_stability(spark, d):
+    """Signs of region differences when four fifths of the institutions are drawn, by replicate.
+
+    One pass draws for all themes. The institutions of a replicate are ranked by
+    a hash; there are as many as in the sampling frame, not in the corpus.
+    """
+    rows = wide_themes(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
+    u = F.expr(U_SPARK.format(seed=SEED, b="b", key="institution_id"))
+    k = F.row_number().over(Window.partitionBy("b").orderBy(u, "institution_id"))
+    m = F.count(F.lit(1)).over(Window.partitionBy("b"))
+    drawn = rows.withColumns({"k": k, "m": m}).where(F.col("k") <= F.bround(0.8 * F.col("m"), 0))
+    sums = drawn.groupBy("b", "region").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in THEMES]).unpivot(["b", "region", "n"], list(THEMES), "theme", "x")
+    diffs = region_pairs(by_region(sums, ["b", "theme"], F.max("x").alias("x"), F.max("n").alias("n")), ["b", "theme"], {"x": "bigint", "n": "bigint"}).where("n_a > 0 and n_b > 0")
+    diffs = diffs.withColumn("diff", F.col("x_a").cast("double") / F.col("n_a") - F.col("x_b").cast("double") / F.col("n_b"))
+    full = theme_pairs(spark, d).select("theme", "region_a", "region_b", (F.try_divide(F.col("x_a").cast("double"), F.col("n_a").cast("double")) - F.try_divide(F.col("x_b").cast("double"), F.col("n_b").cast("double"))).alias("full_diff"))
+    both = diffs.join(full, ["theme", "region_a", "region_b"])
+    same = (F.round("full_diff", 12) != 0) & (F.signum(F.round("diff", 12)) == F.signum(F.round("full_diff", 12)))
+    q = F.percentile("diff", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
+    out = both.groupBy("theme", "region_a", "region_b").agg(F.first("full_diff").alias("full_diff"), (F.sum(same.cast("int")).cast("double") / REPLICATES).alias("same_sign"), q.alias("q"))
+    return out.select("theme", "region_a", "region_b", rnd(F.col("full_diff"), "full_diff"), rnd(F.col("same_sign"), "same_sign"), rnd(F.col("q")[0], "median"), rnd(F.col("q")[1], "p5"), rnd(F.col("q")[2], "p95"))
+
+
+@query(
+    sql(
+        """SELECT r.region AS dropped, theme, region_a, region_b, round(x_a::DOUBLE / nullif(n_a, 0) - x_b::DOUBLE / nullif(n_b, 0), 9) AS diff, CAST(1 AS INTEGER) AS same_sign FROM pairs JOIN regions r ON r.region <> region_a AND r.region <> region_b"""
+    )
+)
+def leave_one_region_out(spark, d):
+    """Differences without each region in turn. A pair's own difference can't change by that; kept as a check."""
+    diff = F.try_divide(F.col("x_a").cast("double"), F.col("n_a").cast("double")) - F.try_divide(F.col("x_b").cast("double"), F.col("n_b").cast("double"))
+    dropped = F.explode(F.filter(F.array(*map(F.lit, REGIONS)), lambda r: (r != F.col("region_a")) & (r != F.col("region_b"))))
+    return theme_pairs(spark, d).select(dropped.alias("dropped"), "theme", "region_a", "region_b", rnd(diff, "diff"), F.lit(1).alias("same_sign"))
+
+
+@query(
+    _q(
+        """st AS (SELECT c.institution_id, c.region, CASE WHEN bool_or(c.language_declared IS DISTINCT FROM 'en') THEN 'other' ELSE 'en' END AS protocol FROM coded c GROUP BY ALL)""",
+        "SELECT protocol, theme, i.region, sum(v)::BIGINT AS x, count(*) AS n, round(sum(v)::DOUBLE / count(*), 9) AS prevalence FROM inst_theme i JOIN st USING (institution_id) GROUP BY ALL",
+    )
+)
+def protocol_strata(spark, d):
+    """Prevalence by stratum of institutions: those all of whose passages are declared English, and the others."""
+    from ..domain import coded
+
+    st = coded(spark, d).groupBy("institution_id").agg(F.max((~F.col("language_declared").eqNullSafe("en")).cast("int")).alias("other_"))
+    st = st.select("institution_id", F.when(F.col("other_") == 1, "other").otherwise("en").alias("protocol"))
+    g = inst_theme(spark, d).join(st, "institution_id").groupBy("protocol", "theme", "region").agg(F.sum("v").cast("bigint").alias("x"), F.count(F.lit(1)).alias("n"))
+    return g.withColumn("prevalence", F.round(F.col("x").cast("double") / F.col("n"), R))
+
+
+@query("SELECT language_detected, round(quantile_cont(text_length_chars, 0.025), 9) AS p2_5, round(quantile_cont(text_length_chars, 0.5), 9) AS p50, round(quantile_cont(text_length_chars, 0.975), 9) AS p97_5 FROM policy_documents GROUP BY ALL")
+def percentile_ci(spark, d):
+    """Percentiles by linear interpolation."""
+    from ..session import table
+
+    q = F.percentile("text_length_chars", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    return table(spark, d, "policy_documents").groupBy("language_detected").agg(q.alias("q")).select("language_detected", *[rnd(F.col("q")[k], a) for k, a in enumerate(("p2_5", "p50", "p97_5"))])
+
+
+@query(
+    _q(
+        _BY + f""",
+sc AS (SELECT chunk_id, avg({THEMES[0]}) AS p FROM bychunk WHERE model_name <> 'brimstone-32b' GROUP BY chunk_id),
+au AS (SELECT p, {THEMES[0]} AS y FROM sc JOIN bychunk USING (chunk_id) WHERE model_name = 'brimstone-32b'),
+ar AS (SELECT *, rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY round(p, 12)) - 1) / 2.0::DOUBLE AS rk FROM au)""",
+        "SELECT count(*) AS n, sum(y)::BIGINT AS n_pos, round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y)::DOUBLE * (count(*) - sum(y)), 0), 9) AS auroc, round(avg((p - y) * (p - y)), 9) AS brier FROM ar",
+    )
+)
+def auroc_brier(spark, d):
+    """How the other coders' mean vote on the first theme ranks and scores the first coder's label; average ranks by value."""
+    from ..domain import PRIMARY, codings
+
+    rows = by_chunk(codings(spark, d)).select("chunk_id", "model_name", F.col(THEMES[0]).alias("y"))
+    score = rows.where(F.col("model_name") != PRIMARY).groupBy("chunk_id").agg(F.avg("y").alias("p"))
+    both = rows.where(F.col("model_name") == PRIMARY).join(score, "chunk_id")
+    by_value = both.groupBy(F.round("p", 12).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
+    # a score has few distinct values: means of at most a few dozen votes
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = by_value.withColumn("rk", below + 1 + (F.col("n") - 1) / 2.0)
+    out = ranks.agg(F.sum("n").alias("n"), F.sum("pos").cast("bigint").alias("n_pos"), F.sum(F.col("rk") * F.col("pos")).alias("s"), F.sum("sq").alias("sq"))
+    auroc = (F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / F.nullif((F.col("n_pos") * (F.col("n") - F.col("n_pos"))).cast("double"), F.lit(0.0))
+    return out.select("n", "n_pos", rnd(auroc, "auroc"), rnd(F.col("sq") / F.col("n"), "brier"))
+
+
+def _boot_sql() -> str:
+    u = U_DUCK.format(seed=SEED, b="b", key="concat_ws('/', theme, region, i)")
+    return _q(
+        f"""bu AS (SELECT theme, region, x, n, b, i, {u} AS u FROM (SELECT theme, region, x, n, b, unnest(range(n)) AS i FROM rt CROSS JOIN (SELECT unnest(range({REPLICATES})) AS b))),
+bp AS (SELECT theme, region, b, sum(CASE WHEN u < x::DOUBLE / n THEN 1 ELSE 0 END)::DOUBLE / any_value(n) AS p FROM bu GROUP BY ALL),
+bd AS (SELECT x.theme, x.region AS region_a, y.region AS region_b, x.p - y.p AS diff FROM bp x JOIN regions rx ON rx.region = x.region JOIN bp y ON x.b = y.b AND x.theme = y.theme JOIN regions ry ON ry.region = y.region AND rx.ord < ry.ord)""",
+        "SELECT theme, region_a, region_b, round(quantile_cont(diff, 0.025), 9) AS ci_low, round(quantile_cont(diff, 0.975), 9) AS ci_high FROM bd GROUP BY ALL",
+    )
+
+
+@query(_boot_sql())
+def bootstrap_diff_prop(spark, d):
+    """Parametric bootstrap of region differences: binomial draws from the counts by theme and region."""
+    rows = region_theme(spark, d).where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
+    draws = F.expr(f"aggregate(sequence(0, cast(n as int) - 1), 0, (acc, i) -> acc + if({U_SPARK.format(seed=SEED, b='b', key='''concat_ws('/', theme, region, i)''')} < cast(x as double) / n, 1, 0))")
+    p = rows.withColumn("x", draws.cast("bigint"))
+    diffs = region_pairs(by_region(p, ["b", "theme"], F.max("x").alias("x"), F.max("n").alias("n")), ["b", "theme"], {"x": "bigint", "n": "bigint"}).where("n_a > 0 and n_b > 0")
+    diffs = diffs.withColumn("diff", F.col("x_a").cast("double") / F.col("n_a") - F.col("x_b").cast("double") / F.col("n_b"))
+    q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
+    return diffs.groupBy("theme", "region_a", "region_b").agg(q.alias("q")).select("theme", "region_a", "region_b", rnd(F.col("q")[0], "ci_low"), rnd(F.col("q")[1], "ci_high"))
