@@ -1 +1,147 @@
+"""Iterative models, fitted on counts."""
 
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..domain import PRIMARY, REGIONS, SECOND, SEED, THEMES, TIERS, codings, inst_theme, institutions
+from ..operators import mixed
+from ..session import ship
+from .agreement import by_chunk
+from .catalog import query
+
+DUMMIES = {"region": list(REGIONS[1:]), "tier": list(TIERS[1:])}
+TERMS = "theme string, term string, beta double, se double, z double, p double"
+
+
+def cells(spark, d) -> DataFrame:
+    """By theme, country, region and tier: institutions and those with the theme."""
+    return inst_theme(spark, d).groupBy("theme", "country", "region", "tier").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("y"))
+
+
+@query()
+def mixed_logit(spark, d):
+    """Theme by region and tier with a random intercept by country."""
+    ship(spark)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["country", "region", "tier"])
+        out = mixed.table(rows, DUMMIES, "country")
+        return out.assign(theme=rows.theme.iloc[0])[["theme", "term", "beta", "se", "z", "p"]]
+
+    return cells(spark, d).groupBy("theme").applyInPandas(one, TERMS)
+
+
+@query()
+def icc_country(spark, d):
+    """Share of variance between countries on the logit scale."""
+    return mixed_logit(spark, d).where("term = 'sigma2'").select("theme", (F.col("beta") / (F.col("beta") + math.pi**2 / 3)).alias("icc"))
+
+
+@query()
+def logit_terms(spark, d):
+    """The region terms of the models."""
+    return mixed_logit(spark, d).where(F.col("term").startswith("region_")).select("theme", "term", "beta", "p", (F.col("p") < 0.05).cast("int").alias("sig"))
+
+
+@query()
+def kfold_cv(spark, d):
+    """Five folds of institutions by a hash of their id: area under the curve and Brier score of the held-out fold."""
+    ship(spark)
+    fold = F.expr(f"cast(conv(substr(md5(concat_ws(':', {SEED}, institution_id)), 1, 8), 16, 10) as bigint) % 5")
+    rows = inst_theme(spark, d).withColumn("own", fold).groupBy("theme", "country", "region", "tier", "own").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("y"))
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(4))))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["country", "region", "tier", "own"])
+        train, test = g[g.own != g.fold], g[g.own == g.fold]
+        auc = brier = float("nan")
+        if train.n.sum() >= 10 and len(test):
+            both = pd.concat([train, test])
+            x, _ = mixed.design(both, DUMMIES)
+            code, groups = pd.factorize(both.country.fillna(""))
+            k = len(train)
+            seen = sorted(set(code[:k]))
+            place = {c: i for i, c in enumerate(seen)}
+            f = mixed.fit(x[:k], np.array([place[c] for c in code[:k]]), train.n.to_numpy(float), train.y.to_numpy(float))
+            u = np.array([f["u"][place[c]] if c in place else 0.0 for c in code[k:]])
+            p = 1 / (1 + np.exp(-np.clip(x[k:] @ f["beta"] + u, -30, 30)))
+            n, y = test.n.to_numpy(float), test.y.to_numpy(float)
+            auc = mixed.auroc(p, n, y)
+            brier = float((y * (1 - p) ** 2 + (n - y) * p**2).sum() / n.sum())
+        return pd.DataFrame([(g.theme.iloc[0], int(g.fold.iloc[0]), auc, brier)], columns=["theme", "fold", "auroc", "brier"])
+
+    return rows.groupBy("theme", "fold").applyInPandas(one, "theme string, fold int, auroc double, brier double")
+
+
+@query()
+def annotator_effect(spark, d):
+    """Theme by region, tier and coder on the passages both coders have, with a random intercept by institution."""
+    ship(spark)
+    rows = by_chunk(codings(spark, d).where(F.col("model_name").isin(PRIMARY, SECOND)))
+    both = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("chunk_id")
+    rows = rows.join(both, "chunk_id").join(institutions(spark, d).select("institution_id", "region", "tier"), "institution_id").withColumn("coder", F.when(F.col("model_name") == SECOND, "second").otherwise("first"))
+    wide = rows.groupBy("institution_id", "region", "tier", "coder").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in THEMES])
+    counted = wide.unpivot(["institution_id", "region", "tier", "coder", "n"], list(THEMES), "theme", "y")
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["institution_id", "coder"])
+        out = mixed.table(g, DUMMIES | {"coder": ["second"]}, "institution_id")
+        return out.assign(theme=g.theme.iloc[0])[["theme", "term", "beta", "se", "z", "p"]]
+
+    return counted.groupBy("theme").applyInPandas(one, TERMS)
+
+
+@query()
+def bootstrap_kappa(spark, d):
+    """Bootstrap limits of kappa between the two coders: multinomial draws of the 2 x 2 counts, finite draws only."""
+    from .agreement import paired
+
+    counts = paired(spark, d, F.col("model_name") == SECOND).groupBy(F.col("dimension").alias("theme"), "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((2, 2))
+        for a, b, n in zip(g.a, g.b, g.n):
+            m[int(a > 0), int(b > 0)] += n
+        total = int(m.sum())
+        draws = np.random.default_rng(SEED).multinomial(total, m.ravel() / total, 2000).reshape(-1, 2, 2) / total
+        obs = draws[:, 0, 0] + draws[:, 1, 1]
+        exp = (draws.sum(2) * draws.sum(1)).sum(1)
+        k = np.where(exp < 1, (obs - exp) / np.where(exp < 1, 1 - exp, 1), 1.0)
+        low, high = np.percentile(k[np.isfinite(k)], [2.5, 97.5])
+        return pd.DataFrame([(g.theme.iloc[0], total, float(low), float(high))], columns=["theme", "n", "ci_low", "ci_high"])
+
+    return counts.groupBy("theme").applyInPandas(one, "theme string, n bigint, ci_low double, ci_high double")
+
+
+@query()
+def bootstrap_diff_mean(spark, d):
+    """Bootstrap limits of differences of mean sentiment between regions.
+
+    The draws of a mean need only how often each distinct institution mean
+    occurs, so that a group holds distinct values with their counts.
+    """
+    from ..domain import PAIRS, USES, inst_sentiment
+
+    ship(spark)
+    rows = inst_sentiment(spark, d).groupBy("use", "region", F.round("mean", 9).alias("mean")).agg(F.count(F.lit(1)).alias("n"))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        out, rng, means = [], np.random.default_rng(SEED), {}
+        for r in REGIONS:
+            own = g[g.region == r].sort_values("mean")
+            total = int(own.n.sum())
+            if total > 1:
+                means[r] = rng.multinomial(total, own.n.to_numpy() / total, 2000) @ own["mean"].to_numpy() / total
+        for a, b in PAIRS:
+            if a in means and b in means:
+                low, high = np.percentile(means[a] - means[b], [2.5, 97.5])
+                out.append((g.use.iloc[0], a, b, float(low), float(high)))
+        return pd.DataFrame(out, columns=["use", "region_a", "region_b", "ci_low", "ci_high"])
+
+    return rows.groupBy("use").applyInPandas(one, "use string, region_a string, region_b string, ci_low double, ci_high double")
