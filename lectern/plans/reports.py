@@ -84,3 +84,25 @@ mw AS (SELECT *, CAST(row_number() OVER (ORDER BY theme, region) AS INTEGER) AS
 def prevalence_markdown(spark, d):
     rows = region_theme(spark, d).where("n > 0").select("theme", "region", percent("x", "n").alias("prevalence"))
     return markdown(rows, [F.col("theme"), F.col("region")])
+
+
+@query()
+def keyword_codings(spark, d):
+    """Passages coded by the coder that needs no model: how many passages of each region have each theme."""
+    from ..operators.coding import code_passages
+    from ..session import ship, table
+
+    ship(spark)
+    passages = table(spark, d, "policy_chunks").select("chunk_id", "text").distinct()
+    coded_ = code_passages(passages)
+    per = [F.sum(F.get_json_object("raw", f"$.themes.{t}").cast("int")).alias(t) for t in THEMES]
+    return coded_.agg(F.count(F.lit(1)).alias("n_passages"), *per)
+
+
+@query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY ALL")
+def daily_events(spark, d):
+    """The tumbling window of the stream over the whole table as a batch."""
+    from ..session import table
+    from ..streaming.ingest import tumbling
+
+    return tumbling(table(spark, d, "events"), "ts", "1 day", "1 day", "event_type").select("event_type", "start", "n")
