@@ -111,7 +111,7 @@ def absolute_links(c: Column) -> Column:
 
 
 def secondary_languages(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, "[+]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, "[+]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def query_tokens(c: Column) -> Column:

@@ -15,7 +15,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str], strict: bool = False) -> DataFrame:
-    """All cells as strings; the region ``NA`` stays a value. A missing file gives no rows, or with ``strict`` an error.
+    """All cells as strings, missing ones empty; the region ``NA`` stays a value. A missing file gives no rows, or with ``strict`` an error.
 
     A byte order mark before the first name is dropped; columns not in the file are null.
     """
@@ -24,9 +24,9 @@ def read_csv(spark: SparkSession, path: str, columns: list[str], strict: bool =
         if strict:
             raise FileNotFoundError(path)
         return spark.createDataFrame([], schema)
-    raw = spark.read.csv(path, header=True, mode="FAILFAST" if strict else "PERMISSIVE", multiLine=True, escape='"', nullValue="\x00", emptyValue="")
+    raw = spark.read.csv(path, header=True, mode="FAILFAST" if strict else "PERMISSIVE", multiLine=True, escape='"')
     raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    return raw.select(*[F.col(f"`{c}`").alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, bad: str = "fail") -> DataFrame:
