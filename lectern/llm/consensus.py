@@ -39,6 +39,8 @@ N_THEMES = len(THEMES)
 #: Labels are -2..2, as places 0..4; themes use places 2 and 3.
 PLACES = 5
 ROUNDS = 12
+CONSENSUS = "chunk_id string, dimension string, label int, p double, n_annotators int, agreement double"
+RELIABILITY = "model_name string, dimension string, competence double, dependence double"
 
 
 def latest_codings(coded: DataFrame) -> DataFrame:
@@ -196,6 +198,8 @@ def infer(coded: DataFrame, least: int = 1, rounds: int = ROUNDS) -> tuple[DataF
     spark = coded.sparkSession
     codings = latest_codings(coded)
     names = sorted(r.model_name for r in codings.select("model_name").distinct().collect())
+    if not names:
+        return spark.createDataFrame([], CONSENSUS), spark.createDataFrame([], RELIABILITY)
     rows = stage(items(codings, names), "consensus-items")
     state = fit(rows, len(names), rounds)
     sent = spark.sparkContext.broadcast(state)
@@ -225,10 +229,10 @@ def infer(coded: DataFrame, least: int = 1, rounds: int = ROUNDS) -> tuple[DataF
                 names=["chunk_id", "dimension", "label", "p", "n_annotators", "agreement"],
             )
 
-    consensus = rows.mapInArrow(run, "chunk_id string, dimension string, label int, p double, n_annotators int, agreement double")
-    off = state.dependence - np.eye(len(names)) if names else np.zeros((0, 0))
+    consensus = rows.mapInArrow(run, CONSENSUS)
+    off = state.dependence - np.eye(len(names))
     reliability = spark.createDataFrame(
         [(n, dim, float(state.competence[k, j]), float(off[k].max()) if len(names) > 1 else 0.0) for k, n in enumerate(names) for j, dim in enumerate(DIMENSIONS)],
-        "model_name string, dimension string, competence double, dependence double",
+        RELIABILITY,
     )
     return consensus, reliability

@@ -46,10 +46,13 @@ SENTENCE = re.compile(r"(?<=[.!?。！？])[ \t\r]*")
 def notices(df: DataFrame, text_col: str, least: int = LEAST, share: float = SHARE) -> set[str]:
     """Sentences of short lines that recur in many rows: at most sentences / support of them."""
     n = df.select(F.lit(1)).count()
-    lines = df.select(F.explode(F.array_distinct(F.split(text_col, "\n"))).alias("line")).where("length(line) between 8 and 400")
+    # in how many texts: a text is told by its longest line, so that copies count once
+    own = F.split(text_col, "\n")
+    sign = F.xxhash64(F.array_max(F.transform(own, lambda x: F.struct(F.length(x), x))))
+    lines = df.select(F.explode(F.array_distinct(own)).alias("line"), sign.alias("ctx")).where("length(line) between 8 and 400").where(F.col("line").rlike("[.!?。！？]"))
     marked = F.regexp_replace("line", "([.!?。！？])[ \t\r]*", "$1\n")
-    rows = lines.where(F.col("line").rlike("[.!?。！？]")).select(F.explode(F.split(marked, "\n")).alias("line")).select(F.trim("line").alias("line")).where(F.col("line").rlike("^.{4,}[.!?。！？]$"))
-    kept = rows.groupBy("line").count().where(F.col("count") >= max(least, share * n)).select("line")
+    rows = lines.select(F.explode(F.split(marked, "\n")).alias("line"), "ctx").select(F.trim("line").alias("line"), "ctx").where(F.col("line").rlike("^.{4,}[.!?。！？]$"))
+    kept = rows.groupBy("line", "ctx").agg(F.lit(1).alias("one")).groupBy("line").count().where(F.col("count") >= max(least, share * n)).select("line")
     return {r.line for r in kept.toLocalIterator()}
 
 
