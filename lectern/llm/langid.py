@@ -49,7 +49,9 @@ def notices(df: DataFrame, text_col: str, least: int = LEAST, share: float = SHA
     # in how many texts: a text is told by its longest line, so that copies count once
     own = F.split(text_col, "\n")
     sign = F.xxhash64(F.array_max(F.transform(own, lambda x: F.struct(F.length(x), x))))
-    lines = df.select(F.explode(F.array_distinct(own)).alias("line"), sign.alias("ctx")).where("length(line) between 8 and 400").where(F.col("line").rlike("[.!?。！？]"))
+    # a notice is learned where it stands in a line of its own or beside few others, and left out wherever it stands
+    short = F.filter(own, lambda x: (F.length(x) >= 8) & (F.length(x) <= 160) & x.rlike("[.!?。！？]"))
+    lines = df.select(F.array_distinct(short).alias("short_"), sign.alias("ctx")).where(F.size("short_") > 0).select(F.explode("short_").alias("line"), "ctx")
     marked = F.regexp_replace("line", "([.!?。！？])[ \t\r]*", "$1\n")
     rows = lines.select(F.explode(F.split(marked, "\n")).alias("line"), "ctx").select(F.trim("line").alias("line"), "ctx").where(F.col("line").rlike("^.{4,}[.!?。！？]$"))
     kept = rows.groupBy("line", "ctx").agg(F.lit(1).alias("one")).groupBy("line").count().where(F.col("count") >= max(least, share * n)).select("line")
