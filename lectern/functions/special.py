@@ -100,3 +100,25 @@ def f_upper(e, f: str, d1: str, d2: str) -> str:
     x = "fx"
     body = f"CASE WHEN {x} >= 1 THEN {r(1.0)} WHEN {x} < ({a} + 1) / ({a} + {b} + 2) THEN {beta_inc(x, a, b)} ELSE 1 - {beta_inc(f'({r(1.0)} - {x})', b, a)} END"
     return e.let("fx", f"(({d2}) / (({d2}) + ({d1}) * ({f})))", body)
+
+
+#: Coefficients of a rational approximation to the normal quantile.
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+
+
+def normal_quantile(e, p: str) -> str:
+    """z with P(Z < z) = p to nine digits; null outside (0, 1)."""
+    r = e.real
+
+    def horner(coefficients, x: str) -> str:
+        out = r(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {r(c)})"
+        return out
+
+    middle = e.let("q", f"(({p}) - 0.5)", e.let("s", "(q * q)", f"{horner(QUANTILE_A, 's')} * q / ({horner(QUANTILE_B, 's')} * s + {r(1.0)})"))
+    tail = lambda x: e.let("t", f"sqrt(-2 * ln({x}))", f"{horner(QUANTILE_C, 't')} / ({horner(QUANTILE_D, 't')} * t + {r(1.0)})")
+    return f"CASE WHEN ({p}) <= 0 OR ({p}) >= 1 THEN NULL WHEN ({p}) < {r(0.02425)} THEN {tail(p)} WHEN ({p}) > {r(1 - 0.02425)} THEN -{tail(f'1 - ({p})')} ELSE {middle} END"

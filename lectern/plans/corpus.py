@@ -154,5 +154,13 @@ def early_stop(spark, d):
     from ..domain import codings
 
     n = codings(spark, d).where("institution_id is not null").groupBy("institution_id", "chunk_id").agg(F.count(F.lit(1)).alias("n_codings"))
+    # each passage has a coding at least, so that 25 passages are enough; Spark cuts to them before it shuffles
+    n = n.withColumn("rk", F.row_number().over(Window.partitionBy("institution_id").orderBy(F.desc("n_codings"), "chunk_id"))).where("rk <= 25").drop("rk")
     cum = F.sum("n_codings").over(Window.partitionBy("institution_id").orderBy(F.desc("n_codings"), "chunk_id").rowsBetween(Window.unboundedPreceding, 0))
     return n.withColumn("cum", cum).where("cum - n_codings < 25")
+
+
+@query("SELECT chunk_id, CASE WHEN bool_or(seed IS NULL) THEN 'human' ELSE 'model' END AS protocol, count(*) AS n FROM coded_chunks GROUP BY ALL")
+def coding_protocol(spark, d):
+    """An override: one human coding makes a passage's protocol human."""
+    return table(spark, d, "coded_chunks").groupBy("chunk_id").agg(F.when(F.bool_or(F.col("seed").isNull()), "human").otherwise("model").alias("protocol"), F.count(F.lit(1)).alias("n"))

@@ -145,3 +145,45 @@ def bootstrap_diff_mean(spark, d):
         return pd.DataFrame(out, columns=["use", "region_a", "region_b", "ci_low", "ci_high"])
 
     return rows.groupBy("use").applyInPandas(one, "use string, region_a string, region_b string, ci_low double, ci_high double")
+
+
+def _weights(k: int) -> np.ndarray:
+    i = np.arange(k)
+    return (i[:, None] - i[None, :]) ** 2 / max(1, (k - 1) ** 2)
+
+
+@query()
+def bootstrap_expert_kappa(spark, d):
+    """Expert against first coder with bootstrap limits: kappa for themes, quadratic-weighted kappa for sentiment.
+
+    Draws are multinomial on the counts of label pairs; weights go by the place among the labels that occur.
+    """
+    from .agreement import DIMS, expert_pairs
+
+    ship(spark)
+    counts = expert_pairs(spark, d, DIMS).groupBy("dimension", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        name = g.dimension.iloc[0]
+        labels = sorted({*g.a, *g.b})
+        k = len(labels)
+        m = np.zeros((k, k))
+        for a, b, n in zip(g.a, g.b, g.n):
+            m[labels.index(a), labels.index(b)] += n
+        w = 1 - np.eye(k) if name in THEMES else _weights(k)
+
+        def kappas(p: np.ndarray) -> np.ndarray:
+            seen = (p * w).sum((1, 2))
+            chance = (p.sum(2)[:, :, None] * p.sum(1)[:, None, :] * w).sum((1, 2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return np.where(chance > 0, 1 - seen / chance, 1.0 if name in THEMES else np.nan)
+
+        total = int(m.sum())
+        draws = np.random.default_rng(SEED).multinomial(total, m.ravel() / total, 2000).reshape(-1, k, k) / total
+        x = kappas(draws)
+        x = x[np.isfinite(x)]
+        low, high = np.percentile(x, [2.5, 97.5]) if len(x) else (None, None)
+        whole = kappas(m[None] / total)[0]
+        return pd.DataFrame([(name, total, float(whole) if np.isfinite(whole) else None, low, high)], columns=["dimension", "n", "kappa", "ci_low", "ci_high"])
+
+    return counts.groupBy("dimension").applyInPandas(one, "dimension string, n bigint, kappa double, ci_low double, ci_high double")

@@ -106,3 +106,34 @@ def daily_events(spark, d):
     from ..streaming.ingest import tumbling
 
     return tumbling(table(spark, d, "events"), "ts", "1 day", "1 day", "event_type").select("event_type", "start", "n")
+
+
+# --- published tables, cells as they were written ------------------------------------------------------------------
+
+
+def interval(low: str, high: str) -> Column:
+    """``[low, high]``."""
+    return F.concat(F.lit("["), F.col(low).cast("string"), F.lit(", "), F.col(high).cast("string"), F.lit("]"))
+
+
+def share(value: str) -> Column:
+    """A proportion as a percentage with one decimal."""
+    return F.concat(F.format_string("%.1f", F.col(value).cast("double") * 100), F.lit("%"))
+
+
+def measurement_table(df: DataFrame) -> DataFrame:
+    return df.select("metric", F.col("baseline_value").alias("baseline"), F.col("current_value").alias("current"), interval("ci_low", "ci_high").alias("95% CI"))
+
+
+def icc_table(df: DataFrame) -> DataFrame:
+    return df.select(F.col("model_component").alias("component"), "value", interval("ci_low", "ci_high").alias("95% CI"), F.col("p_value").alias("p"))
+
+
+def regional_table(df: DataFrame) -> DataFrame:
+    side = lambda s: F.concat(F.col(f"region_{s}"), F.lit(" "), F.col(f"events_{s}").cast("string"), F.lit("/"), F.col(f"n_{s}").cast("string"), F.lit(" ("), share(f"prevalence_{s}"), F.lit(")")).alias(f"region {s}")
+    return df.select("theme", side("a"), side("b"), F.col("p_value").alias("p"))
+
+
+def temporal_table(df: DataFrame) -> DataFrame:
+    wave = lambda w: F.concat(share(f"{w}_prevalence"), F.lit(" ("), F.col(f"{w}_events").cast("string"), F.lit("/"), F.col(f"{w}_n").cast("string"), F.lit(")")).alias(w.replace("_", " "))
+    return df.select("theme", wave("mid_2023"), wave("late_2025"), F.concat(F.lit("+"), F.col("shift_pp").cast("string"), F.lit(" pp")).alias("shift"), F.col("p_value").alias("p"))

@@ -73,6 +73,13 @@ def leave_one_region_out(spark, d):
     return theme_pairs(spark, d).select(dropped.alias("dropped"), "theme", "region_a", "region_b", rnd(diff, "diff"), F.lit(1).alias("same_sign"))
 
 
+@query(sql("SELECT r.region AS dropped, count(*) AS n, count(*) AS n_same, round(1.0::DOUBLE, 9) AS ratio FROM pairs JOIN regions r ON r.region <> region_a AND r.region <> region_b GROUP BY ALL"))
+def leave_one_out_summary(spark, d):
+    """By dropped region the share of differences whose sign stays."""
+    g = leave_one_region_out(spark, d).groupBy("dropped").agg(F.count(F.lit(1)).alias("n"), F.sum("same_sign").alias("n_same"))
+    return g.withColumn("ratio", F.round(F.col("n_same").cast("double") / F.col("n"), R))
+
+
 @query(
     _q(
         """st AS (SELECT c.institution_id, c.region, CASE WHEN bool_or(c.language_declared IS DISTINCT FROM 'en') THEN 'other' ELSE 'en' END AS protocol FROM coded c GROUP BY ALL)""",

@@ -233,23 +233,24 @@ _probe = _arr(PROBE_PATHS)
 
 @query(
     sql(
-        f"""SELECT institution_id, url, CAST(source AS INTEGER) AS source, CAST(row_number() OVER (PARTITION BY institution_id ORDER BY source, place, url) AS INTEGER) AS place FROM (
-    SELECT institution_id, url, source, place FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, url ORDER BY source, place) AS k FROM (
+        f"""SELECT institution_id, url, CAST(source AS INTEGER) AS source, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY institution_id, url ORDER BY source, place) AS k FROM (
         SELECT institution_id, policy_search_url AS url, 0 AS source, 0 AS place FROM institutions WHERE institution_id IN (SELECT institution_id FROM inst) AND length(policy_search_url) > 0
         UNION ALL SELECT institution_id, regexp_replace(website, '/+$', '') || unnest({_probe}), 1, generate_subscripts({_probe}, 1) - 1 FROM inst WHERE website LIKE 'http%'
-        UNION ALL SELECT institution_id, url, 2, 0 FROM archive_sidecars WHERE institution_id IN (SELECT institution_id FROM inst) AND url IS NOT NULL)) WHERE k = 1)"""
+        UNION ALL SELECT institution_id, url, 2, 0 FROM archive_sidecars WHERE institution_id IN (SELECT institution_id FROM inst) AND url IS NOT NULL)) WHERE k = 1"""
     )
 )
 def candidate_union_dedupe(spark, d):
-    """Candidate URLs of an institution: known ones, probed paths, archived ones; each once, where it comes first."""
+    """Candidate URLs of an institution: known ones, probed paths, archived ones; each once, where it comes first.
+
+    ``source`` and ``place`` give the order. A rank over all would put a large institution into one task.
+    """
     inst = institutions(spark, d)
     ids = inst.select("institution_id")
     seeds = table(spark, d, "institutions").where(F.length("policy_search_url") > 0).join(ids, "institution_id", "left_semi").select("institution_id", F.col("policy_search_url").alias("url"), F.lit(0).alias("source"), F.lit(0).alias("place"))
     probed = inst.where(F.col("website").startswith("http")).select("institution_id", F.posexplode(T.probe_urls(F.col("website"))).alias("place", "url")).select("institution_id", "url", F.lit(1).alias("source"), "place")
     archived = table(spark, d, "archive_sidecars").where("url is not null").join(ids, "institution_id", "left_semi").select("institution_id", "url", F.lit(2).alias("source"), F.lit(0).alias("place"))
     first = seeds.unionByName(probed).unionByName(archived).groupBy("institution_id", "url").agg(F.min(F.struct("source", "place")).alias("x"))
-    w = Window.partitionBy("institution_id").orderBy("source", "place0", "url")
-    return first.select("institution_id", "url", "x.source", F.col("x.place").alias("place0")).select("institution_id", "url", "source", F.row_number().over(w).alias("place"))
+    return first.select("institution_id", "url", "x.source", "x.place")
 
 
 # --- coder responses --------------------------------------------------------------------------------------------

@@ -160,3 +160,8 @@ def manifest(df: DataFrame, key: str) -> DataFrame:
     """
     row = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256), 1, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(key).alias("n_keys"), F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("digest"))
+
+
+def column_drift(df: DataFrame, required: list[str]) -> tuple[list[str], list[str]]:
+    """Required columns that are missing, and columns beyond them, both sorted."""
+    return sorted(set(required) - set(df.columns)), sorted(set(df.columns) - set(required))

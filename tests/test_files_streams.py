@@ -134,3 +134,22 @@ def test_stage_cuts_lineage(spark):
     df = session.stage(spark.range(5).withColumn("x", F.rand(1)), "t")
     assert df.count() == 5 and "Range" not in df._jdf.queryExecution().toString()
     assert re.search("lectern", df.inputFiles()[0])
+
+
+def lines(df, first):
+    return [r.line for r in reports.markdown(df, [F.col(first)]).orderBy("line_no").collect()]
+
+
+def test_published_tables(spark):
+    drift = spark.createDataFrame([("T7", "64", "8", "0.125", "64", "31", "0.484", "35.9", "2.14e-5")], "theme string, mid_2023_n string, mid_2023_events string, mid_2023_prevalence string, late_2025_n string, late_2025_events string, late_2025_prevalence string, shift_pp string, p_value string")
+    assert lines(reports.temporal_table(drift), "theme")[2] == "| T7    | 12.5% (8/64) | 48.4% (31/64) | +35.9 pp | 2.14e-5 |"
+    regional = spark.createDataFrame([("T7", "NA", "60", "49", "0.8167", "LA", "40", "5", "0.125", "1.05e-7")], "theme string, region_a string, n_a string, events_a string, prevalence_a string, region_b string, n_b string, events_b string, prevalence_b string, p_value string")
+    assert lines(reports.regional_table(regional), "theme")[2] == "| T7    | NA 49/60 (81.7%) | LA 5/40 (12.5%) | 1.05e-7 |"
+    icc = spark.createDataFrame([("country", "0.142", "0.08", "0.22", "<0.001")], "model_component string, value string, ci_low string, ci_high string, p_value string")
+    assert lines(reports.icc_table(icc), "component")[2] == "| country   | 0.142 | [0.08, 0.22] | <0.001 |"
+    kappa = spark.createDataFrame([("agreement", "0.83", "0.89", "0.85", "0.92")], "metric string, baseline_value string, current_value string, ci_low string, ci_high string")
+    assert lines(reports.measurement_table(kappa), "metric")[2] == "| agreement | 0.83     | 0.89    | [0.85, 0.92] |"
+
+
+def test_column_drift(spark):
+    assert files.column_drift(spark.createDataFrame([(1, 2)], "a int, z int"), ["a", "b"]) == (["b"], ["z"])

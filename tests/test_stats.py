@@ -110,3 +110,23 @@ def test_auroc():
 def test_icc_bounds(values):
     var = np.var(values) + 1e-4
     assert 0 < var / (var + math.pi**2 / 3) < 1
+
+
+@pytest.mark.parametrize("p", [1e-6, 0.01, 0.025, 0.3, 0.5, 0.95, 0.975, 0.99999])
+def test_normal_quantile(spark, p):
+    from statistics import NormalDist
+
+    assert one(spark, special.normal_quantile(Spark, f"{p!r}D")) == pytest.approx(NormalDist().inv_cdf(p), rel=2e-9, abs=2e-9)
+
+
+def test_normal_quantile_outside(spark):
+    assert one(spark, special.normal_quantile(Spark, "0D")) is None and one(spark, special.normal_quantile(Spark, "1D")) is None
+
+
+def test_multiplicity_rules(spark):
+    """Step-up and step-down control on textbook p values."""
+    p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205]
+    m = len(p)
+    up = max(k for k in range(1, m + 1) if p[k - 1] <= 0.1 * k / m)
+    down = next(k for k in range(1, m + 1) if p[k - 1] > 0.05 / (m - k + 1)) - 1
+    assert (up, down) == (7, 1)
