@@ -53,13 +53,15 @@ def institutions(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("institution_id").agg(least.alias("x")).select("institution_id", "x.*")
 
 
-def codings(spark: SparkSession, d: str) -> DataFrame:
-    """The codings that count, flat: missing single values are 0."""
-    rows = table(spark, d, "coded_chunks").where("ok and themes is not null")
-    latest = F.max(F.struct("timestamp_utc", "received_at", "institution_id", "language_declared", "themes", "sentiment", "confidence"))
-    rows = rows.groupBy("chunk_id", "model_name", "seed").agg(latest.alias("x")).select("chunk_id", "model_name", "seed", "x.*")
+def codings(spark: SparkSession, d: str, by_seed: bool = True) -> DataFrame:
+    """The codings that count, flat: missing single values are 0. Without ``by_seed`` one a coder: of several seeds the last."""
+    rows = table(spark, d, "coded_chunks").where("ok and themes is not null").withColumn("seed_", F.coalesce("seed", F.lit(-1)))
+    first = ["timestamp_utc", "received_at"] if by_seed else ["timestamp_utc", "seed_", "received_at"]
+    latest = F.max(F.struct(*first, "institution_id", "language_declared", "themes", "sentiment", "confidence"))
+    keys = ["chunk_id", "model_name", *["seed"] * by_seed]
+    rows = rows.groupBy(*keys).agg(latest.alias("x")).select(*keys, "x.*").drop("seed_")
     flat = [F.coalesce(F.col(f"themes.{t}"), F.lit(0)).alias(t) for t in THEMES] + [F.coalesce(F.col(f"sentiment.{u}"), F.lit(0)).alias(u) for u in USES]
-    return rows.select("chunk_id", "model_name", "seed", "institution_id", "language_declared", "timestamp_utc", "confidence", *flat)
+    return rows.select(*keys, "institution_id", "language_declared", "timestamp_utc", "confidence", *flat)
 
 
 def coded(spark: SparkSession, d: str, model: str = PRIMARY) -> DataFrame:

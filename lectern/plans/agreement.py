@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import PRIMARY, REGIONS, SECOND, SQL_BASE, THEMES, USES, codings, grid, institutions, sql
@@ -14,49 +14,64 @@ rnd = lambda c, a: F.round(c, 9).alias(a)
 _gold = {t: f"t{k + 1}" for k, t in enumerate(THEMES)} | {u: f"sent_{u}" for u in USES}
 
 
-def by_chunk(df: DataFrame) -> DataFrame:
-    """One coding a passage: of several seeds the last."""
-    last = F.max(F.struct("timestamp_utc", F.coalesce("seed", F.lit(-1)).alias("seed"), "institution_id", *DIMS))
-    return df.groupBy("chunk_id", "model_name").agg(last.alias("x")).select("chunk_id", "model_name", "x.institution_id", *[f"x.{c}" for c in DIMS])
+def by_chunk(spark, d) -> DataFrame:
+    """One coding a passage and coder: of several seeds the last."""
+    return codings(spark, d, by_seed=False).select("chunk_id", "model_name", "institution_id", *DIMS)
 
 
 def paired(spark, d, other: Column, dims=THEMES) -> DataFrame:
     """Both codings of a passage, long: ``other``, ``dimension``, ``a``, ``b``; b is the coder held against the first."""
-    rows = by_chunk(codings(spark, d))
+    rows = by_chunk(spark, d)
     a = rows.where(F.col("model_name") == PRIMARY).select("chunk_id", F.col("institution_id"), F.array(*dims).alias("a"))
     b = rows.where(other).select("chunk_id", F.col("model_name").alias("other"), F.array(*dims).alias("b"))
     both = a.join(b, "chunk_id")
     return both.select("chunk_id", "institution_id", "other", F.posexplode(F.arrays_zip("a", "b")).alias("k", "x")).select("chunk_id", "institution_id", "other", F.element_at(F.array(*map(F.lit, dims)), F.col("k") + 1).alias("dimension"), "x.a", "x.b")
 
 
+def _cells(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key: ``c``, the counts by label pair. Labels are a fixed few, so that a key's cells fit an array."""
+    cells = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return cells.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "n")).alias("c"))
+
+
+def _sum(cells: Column, value) -> Column:
+    return F.aggregate(cells, F.lit(0.0), lambda acc, x: acc + value(x))
+
+
+def _margin(side: str, label: Column) -> Column:
+    return _sum(F.filter("c", lambda x: x[side] == label), lambda x: x["n"].cast("double"))
+
+
+def _labels() -> Column:
+    return F.array_sort(F.array_distinct(F.concat(F.transform("c", lambda x: x["a"]), F.transform("c", lambda x: x["b"]))))
+
+
 def kappa(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Cohen's kappa of the columns a and b by keys: ``n``, ``p_obs``, ``p_exp``, ``kappa``.
 
-    Counted by label pair before anything moves. Certain chance agreement gives 1.
+    Counted by label pair before anything moves; the rest is arithmetic within
+    the row. Certain chance agreement gives 1.
     """
-    cells = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    total = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
-    side = lambda c: cells.groupBy(*keys, F.col(c).alias("label")).agg(F.sum("n").alias(f"n_{c}"))
-    chance = side("a").join(side("b"), [*keys, "label"]).groupBy(*keys).agg(F.sum(F.col("n_a") * F.col("n_b")).alias("chance"))
-    both = total.join(chance, keys, "left")
-    obs, exp = F.col("same").cast("double") / F.col("n"), F.coalesce("chance", F.lit(0)).cast("double") / (F.col("n").cast("double") * F.col("n"))
-    both = both.withColumns({"p_obs": obs, "p_exp": exp})
-    return both.select(*keys, "n", "p_obs", "p_exp", F.when(F.col("p_exp") >= 1, 1.0).otherwise((F.col("p_obs") - F.col("p_exp")) / F.nullif(1 - F.col("p_exp"), F.lit(0.0))).alias("kappa"))
+    n = _sum(F.col("c"), lambda x: x["n"].cast("double"))
+    same = _sum(F.filter("c", lambda x: x["a"] == x["b"]), lambda x: x["n"].cast("double"))
+    chance = _sum(F.col("labels"), lambda l: _margin("a", l) * _margin("b", l))
+    rows = _cells(pairs, keys).withColumns({"labels": _labels(), "n_": n}).withColumns({"p_obs": same / F.col("n_"), "p_exp": chance / (F.col("n_") * F.col("n_"))})
+    return rows.select(*keys, F.col("n_").cast("bigint").alias("n"), "p_obs", "p_exp", F.when(F.col("p_exp") >= 1, 1.0).otherwise((F.col("p_obs") - F.col("p_exp")) / F.nullif(1 - F.col("p_exp"), F.lit(0.0))).alias("kappa"))
 
 
 def weighted_kappa(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Quadratic-weighted kappa; weights use the dense place of the labels that occur."""
-    cells = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    labels = cells.select(*keys, F.explode(F.array("a", "b")).alias("label")).distinct()
-    place = labels.withColumn("i", F.dense_rank().over(Window.partitionBy(*keys).orderBy("label")) - 1).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "i"))).alias("place"), F.count(F.lit(1)).alias("k"))
-    side = lambda c: cells.groupBy(*keys, F.col(c)).agg(F.sum("n").alias(f"n_{c}"))
-    total = cells.groupBy(*keys).agg(F.sum("n").alias("total"))
-    # labels are a fixed few, so that the margins join on their key alone
-    w = lambda: (F.element_at("place", F.col("a")) - F.element_at("place", F.col("b"))).cast("double") * (F.element_at("place", F.col("a")) - F.element_at("place", F.col("b"))) / F.greatest(F.lit(1.0), ((F.col("k") - 1) * (F.col("k") - 1)).cast("double"))
-    num = cells.join(place, keys).groupBy(*keys).agg(F.sum(w() * F.col("n")).alias("num"))
-    den = side("a").join(side("b"), keys).join(place, keys).groupBy(*keys).agg(F.sum(w() * F.col("n_a") * F.col("n_b")).alias("den"))
-    out = total.join(num, keys).join(den, keys)
-    return out.select(*keys, F.col("total").alias("n"), (1 - F.col("num") / F.nullif(F.col("den") / F.col("total"), F.lit(0.0))).alias("kappa"))
+    rows = _cells(pairs, keys).withColumns({"labels": _labels(), "n_": _sum(F.col("c"), lambda x: x["n"].cast("double"))})
+    k = F.size("labels").cast("double")
+
+    def w(a: Column, b: Column) -> Column:
+        d = (F.array_position("labels", a) - F.array_position("labels", b)).cast("double")
+        return d * d / F.greatest(F.lit(1.0), (k - 1) * (k - 1))
+
+    num = _sum(F.col("c"), lambda x: w(x["a"], x["b"]) * x["n"])
+    den = _sum(F.col("labels"), lambda la: _sum(F.col("labels"), lambda lb: w(la, lb) * _margin("a", la) * _margin("b", lb)))
+    rows = rows.withColumns({"num": num, "den": den})
+    return rows.select(*keys, F.col("n_").cast("bigint").alias("n"), (1 - F.col("num") / F.nullif(F.col("den") / F.col("n_"), F.lit(0.0))).alias("kappa"))
 
 
 _long = lambda src, dims: f"(UNPIVOT (SELECT * FROM {src}) ON {', '.join(dims)} INTO NAME dimension VALUE v)"
@@ -138,7 +153,7 @@ def ablation_kappa_rollup(spark, d):
 
 def _condition_prevalence(spark, d) -> DataFrame:
     """By coder, region and theme the share of coded passages."""
-    rows = by_chunk(codings(spark, d)).join(institutions(spark, d).select("institution_id", "region"), "institution_id")
+    rows = by_chunk(spark, d).join(institutions(spark, d).select("institution_id", "region"), "institution_id")
     wide = rows.groupBy(F.col("model_name").alias("condition"), "region").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in THEMES])
     return wide.unpivot(["condition", "region", "n"], list(THEMES), "theme", "x").withColumn("prevalence", F.col("x").cast("double") / F.col("n"))
 
@@ -168,7 +183,7 @@ def t7_gradient_pivot(spark, d):
 def expert_pairs(spark, d, dims) -> DataFrame:
     """Expert and first coder on the passages both coded."""
     gold = table(spark, d, "expert_gold").groupBy("chunk_id").agg(F.max(F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in _gold.values()])).alias("g"))
-    rows = by_chunk(codings(spark, d).where(F.col("model_name") == PRIMARY))
+    rows = by_chunk(spark, d).where(F.col("model_name") == PRIMARY)
     both = gold.join(rows, "chunk_id").select("chunk_id", F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(f"g.{_gold[k]}").alias("a"), F.col(k).alias("b")) for k in dims])).alias("x"))
     return both.select("chunk_id", "x.*")
 

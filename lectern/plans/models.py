@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..domain import PRIMARY, REGIONS, SECOND, SEED, THEMES, TIERS, codings, inst_theme, institutions
+from ..domain import PRIMARY, REGIONS, SECOND, SEED, THEMES, TIERS, inst_theme, institutions
 from ..operators import mixed
 from ..session import ship
 from .agreement import by_chunk
@@ -83,7 +83,7 @@ def kfold_cv(spark, d):
 def annotator_effect(spark, d):
     """Theme by region, tier and coder on the passages both coders have, with a random intercept by institution."""
     ship(spark)
-    rows = by_chunk(codings(spark, d).where(F.col("model_name").isin(PRIMARY, SECOND)))
+    rows = by_chunk(spark, d).where(F.col("model_name").isin(PRIMARY, SECOND))
     both = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("chunk_id")
     rows = rows.join(both, "chunk_id").join(institutions(spark, d).select("institution_id", "region", "tier"), "institution_id").withColumn("coder", F.when(F.col("model_name") == SECOND, "second").otherwise("first"))
     wide = rows.groupBy("institution_id", "region", "tier", "coder").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in THEMES])

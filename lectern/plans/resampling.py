@@ -116,9 +116,9 @@ ar AS (SELECT *, rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION
 )
 def auroc_brier(spark, d):
     """How the other coders' mean vote on the first theme ranks and scores the first coder's label; average ranks by value."""
-    from ..domain import PRIMARY, codings
+    from ..domain import PRIMARY
 
-    rows = by_chunk(codings(spark, d)).select("chunk_id", "model_name", F.col(THEMES[0]).alias("y"))
+    rows = by_chunk(spark, d).select("chunk_id", "model_name", F.col(THEMES[0]).alias("y"))
     score = rows.where(F.col("model_name") != PRIMARY).groupBy("chunk_id").agg(F.avg("y").alias("p"))
     both = rows.where(F.col("model_name") == PRIMARY).join(score, "chunk_id")
     by_value = both.groupBy(F.round("p", 12).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
