@@ -35,7 +35,7 @@ SAMPLE_ROWS = 8000
 ROUNDS = 2
 #: Nats a further language costs, and the least share of its own segments a language needs.
 PENALTY = 25.0
-BLOCK = 1_000_000
+BLOCK = 500_000
 LEAST, SHARE = 4, 6e-4
 ITEM = re.compile(r"\s*(?:#{1,6}\s|[-*•–·›»]\s|\d+(?:\.\d+)*[.)]\s|\d+ \||Q:\s)")
 ENDS = re.compile(r"[.!?。！？…][”’»\"')\]」』]*\s*$")
@@ -119,20 +119,29 @@ class NGrams:
 
     def score(self, units: list[str]) -> np.ndarray:
         """Log likelihood of each unit by language."""
-        out, block, size = [], [], 0
-        for u in [*units, None]:
-            if u is None or size + len(u) > BLOCK and block:
-                if block:
-                    c, starts = _codes(block)
-                    three, one = _grams(c)
-                    s = self.tables[0][three]
-                    s += self.tables[1][one]
-                    out.append(np.add.reduceat(s, starts, axis=0)[: len(block)])
-                block, size = [], 0
-            if u is not None:
-                block.append(u.replace("\n", " "))
-                size += len(u)
-        return np.concatenate(out) if out else np.zeros((0, len(LANGS)))
+        out = np.zeros((len(units), len(LANGS)))
+        block, owner, size = [], [], 0
+
+        def flush() -> None:
+            c, starts = _codes(block)
+            three, one = _grams(c)
+            s = self.tables[0][three]
+            s += self.tables[1][one]
+            np.add.at(out, owner, np.add.reduceat(s, starts, axis=0)[: len(block)])
+
+        for k, unit in enumerate(units):
+            # a very long unit in parts
+            for at in range(0, max(1, len(unit)), BLOCK):
+                part = unit[at : at + BLOCK].replace("\n", " ")
+                if block and size + len(part) > BLOCK:
+                    flush()
+                    block, owner, size = [], [], 0
+                block.append(part)
+                owner.append(k)
+                size += len(part)
+        if block:
+            flush()
+        return out
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, declared_col: str, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> NGrams:

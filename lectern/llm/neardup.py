@@ -84,8 +84,9 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 
 def minwise(sets: np.ndarray) -> np.ndarray:
-    """WIDTH minwise hashes of a set, 32 bits each."""
-    return ((sets[:, None] * MUL + ADD) >> np.uint64(32)).min(axis=0).astype(np.uint32)
+    """WIDTH minwise hashes of a set, 32 bits each; a large set in parts, so that memory stays small."""
+    parts = [((sets[at : at + 8192, None] * MUL + ADD) >> np.uint64(32)).min(axis=0) for at in range(0, len(sets), 8192)]
+    return (parts[0] if len(parts) == 1 else np.min(parts, axis=0)).astype(np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

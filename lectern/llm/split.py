@@ -51,7 +51,7 @@ class Sizes:
         run = self.latin.copy()
         run[1:] &= ~self.latin[:-1]
         self.run = run
-        total = lambda x: np.concatenate([[0], np.cumsum(x)])
+        total = lambda x: np.concatenate([np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32)])
         self.words, self.wides, self.solids, self.runs = total(self.word), total(self.wide), total(self.solid), total(run)
         self.n = len(c)
 

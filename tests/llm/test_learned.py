@@ -122,10 +122,19 @@ RESIDUE = ["Students must {{tool_name}} the tasks.", "The %%POLICY_NUMBER%% rule
 PLAIN = ["Links made up by tools often end in a 404 error, so students should check.", "Dummy text such as lorem ipsum is no evidence of anything.", "A sample statement reads: “I used [name of tool] on [date] to [describe purpose].”", "<|im_start|>system\nYou code passages.<|im_end|>", "In this course JavaScript exercises may be enabled with care.", "A page that says ‘under construction’ counts as missing."]
 
 
-@pytest.mark.parametrize("extra", ["", "x" * 200_000])
+@pytest.mark.parametrize("extra", ["", "x" * 200_000, "some words of a very long text " * 150_000])
 def test_residue(spark, extra):
     rows = [(k, f"{SENTENCES['en'][k % 2]} {PLAIN[k % 6]}\n{SENTENCES['de'][k % 2]}", "s") for k in range(300)]
     rows += [(1000 + k, t, "s") for k, t in enumerate(RESIDUE)] + [(2000 + k, t, "s") for k, t in enumerate(PLAIN)] + [(3000, None, "s"), (3001, "", "s"), (3002, " \n", "s"), (3003, f"plain {extra}", "s"), (1000, RESIDUE[0], "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
     assert {r.doc_id for r in residue.find_residue(df).collect()} == {1000 + k for k in range(len(RESIDUE))}
     assert residue.find_residue(df.limit(0)).count() == 0
+
+
+def test_a_very_long_unit_scores_as_its_parts():
+    three, one = np.ones((8, langid.SIZE)), np.ones((8, langid.SIZE))
+    three[:, ::7] += np.arange(8)[:, None]
+    model = langid.NGrams(three, one)
+    unit = "words of a text " * 70_000
+    parts = [unit[at : at + langid.BLOCK] for at in range(0, len(unit), langid.BLOCK)]
+    assert np.allclose(model.score(["short", unit])[1], model.score(parts).sum(axis=0), rtol=1e-4)

@@ -70,3 +70,11 @@ def test_large_node_in_blocks(spark, monkeypatch):
 def test_empty(spark):
     pairs, members = run(spark, [])
     assert pairs.count() == members.count() == neardup.row_pairs(pairs, members).count() == 0
+
+
+def test_minwise_of_a_large_set_in_parts():
+    import numpy as np
+
+    sets = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    whole = ((sets[:, None] * neardup.MUL + neardup.ADD) >> np.uint64(32)).min(axis=0)
+    assert (neardup.minwise(sets) == whole).all()
