@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import THEMES, USES
@@ -36,6 +36,23 @@ def template(markdown: str) -> tuple[str, list[dict[str, str]]]:
     return (system.group(1).strip() if system else ""), examples
 
 
+#: The frame of a prompt, its defaults and how much of a text goes in.
+OPENING = ("Below are example codings, followed by the passage to code.", "Output one JSON object only.", "")
+CLOSING = ("", "JSON output only:")
+EXAMPLE_CHARS, PASSAGE_CHARS = 600, 6000
+
+
+def prompt(examples: list[dict[str, str]] | None = None) -> Column:
+    """The prompt of a passage: examples, what is known of the passage, its text. Missing cells read ``?``."""
+    some = lambda c, other="?": F.coalesce(F.col(c), F.lit(other))
+    shown = [line for k, x in enumerate(examples or [], 1) for line in (f"EXAMPLE {k}", f"Text: {x['text'][:EXAMPLE_CHARS]}", f"Expected: {x['expected']}", "")]
+    about = [
+        F.concat(F.lit("University: "), some("institution_name"), F.lit(" ("), some("region"), F.lit(", tier "), some("tier"), F.lit(")")),
+        F.concat(F.lit("Section: "), some("section_header", "unknown")), F.concat(F.lit("Language: "), some("language_declared")), F.concat(F.lit("ID: "), some("chunk_id")), F.lit(""), F.lit("Text:"), F.substring(some("text", ""), 1, PASSAGE_CHARS),
+    ]
+    return F.concat_ws("\n", *map(F.lit, (*OPENING, *shown)), *about, *map(F.lit, CLOSING))
+
+
 def keyword_coder(texts: list[str]) -> list[str]:
     """A coder without a model: a theme is coded if one of its words occurs; sentiment stays silent."""
     out = []

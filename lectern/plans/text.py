@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..domain import CORE_TERMS, PROBE_PATHS, THEMES, USES, institutions, sql
 from ..functions import text as T
 from ..operators import chunking
+from ..operators.coding import prompt
 from ..session import table
 from .catalog import query
 
@@ -296,14 +297,6 @@ _PROMPT = """concat_ws(chr(10), 'Below are example codings, followed by the pass
 'Section: ' || coalesce(section_header, 'unknown'), 'Language: ' || coalesce(language_declared, '?'), 'ID: ' || coalesce(chunk_id, '?'), '', 'Text:', left(coalesce(text, ''), 6000), '', 'JSON output only:')"""
 
 
-def prompt() -> Column:
-    some = lambda c, other="?": F.coalesce(F.col(c), F.lit(other))
-    return F.concat_ws(
-        "\n", F.lit("Below are example codings, followed by the passage to code."), F.lit("Output one JSON object only."), F.lit(""), F.concat(F.lit("University: "), some("institution_name"), F.lit(" ("), some("region"), F.lit(", tier "), some("tier"), F.lit(")")),
-        F.concat(F.lit("Section: "), some("section_header", "unknown")), F.concat(F.lit("Language: "), some("language_declared")), F.concat(F.lit("ID: "), some("chunk_id")), F.lit(""), F.lit("Text:"), F.substring(some("text", ""), 1, 6000), F.lit(""), F.lit("JSON output only:"),
-    )
-
-
 @query(f"SELECT chunk_id, md5({_PROMPT}) AS prompt_md5, CAST(length({_PROMPT}) AS INTEGER) AS n_chars FROM policy_chunks")
 def prompt_build(spark, d):
     return table(spark, d, "policy_chunks").select("chunk_id", F.md5(prompt().cast("binary")).alias("prompt_md5"), F.length(prompt()).alias("n_chars"))
