@@ -9,7 +9,7 @@ from ..domain import CORE_TERMS, PROBE_PATHS, THEMES, USES, institutions, sql
 from ..functions import text as T
 from ..operators import chunking
 from ..operators.coding import prompt
-from ..session import table
+from ..session import spread, table
 from .catalog import query
 
 #: Words in a URL that make it worth keeping, by language.
@@ -26,7 +26,7 @@ _tokens = lambda c, lang: f"CASE WHEN {lang} LIKE 'zh%' OR {lang} IN ('ja', 'ko'
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "policy_documents")
+    return spread(table(spark, d, "policy_documents"))
 
 
 def by_lang(lang: Column, lists: dict[str, tuple[str, ...]]) -> Column:
