@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, table
+from ..session import ship, spread
+from ..session import table as whole
 from . import boilerplate, confusables, consensus, encode, langid, mojibake, neardup, pack, residue, split
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables of texts, which Python works on.
+TEXTS = ("policy_documents", "documents")
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    df = whole(spark, d, name)
+    return spread(df) if name in TEXTS else df
+
+
 def _pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.split_documents(table(spark, d, "policy_documents"))
 
@@ -82,6 +92,10 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_content(table(spark, d, "policy_documents"))
 
 
+def p5_wrappers(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.host_wrappers(table(spark, d, "policy_documents"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.infer(table(spark, d, "coded_chunks"), least=3)[0].where("label <> 0").select("chunk_id", "dimension", "label")
 

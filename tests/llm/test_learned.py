@@ -72,6 +72,9 @@ def test_furniture(spark):
     assert got == true
     body = {r.policy_doc_id: r for r in boilerplate.main_content(df).collect()}
     assert body[4].body.startswith("# Guidance e\n") and body[4].main_title == "Guidance e" and "Tel." not in body[4].body
+    nodes = {(r.host, r.part, r.token): r for r in boilerplate.host_wrappers(df).collect()}
+    login = nodes["a.example", "constant", "Log in"]
+    assert (login.n_pages, login.of_pages) == (20, 20) and login.place == 0.0 and nodes["a.example", "head", "Related pages"].n_pages == 20 and nodes["a.example", "link", None].n_pages == 20
     assert boilerplate.furniture_lines(df.limit(0)).count() == 0
 
 
