@@ -23,15 +23,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .confusables import ordinary
 from .mojibake import EAST, SINGLE, _any_island, _from_bytes, _islands, _to_bytes
 
 LEAST, SHARE = 5, 6e-4
+#: So many minwise values tell pages apart; lines longer than HEAVY weigh no more than lines of that length.
+VIEWS, HEAVY = 4, 200
 MARKED_SHARE = 0.06
 #: A constant mostly followed by lines in its paragraph, this share of them marked as links, is the head of a box.
 LINKED = 0.2
@@ -152,11 +156,38 @@ def _pages(df: DataFrame, id_col: str, text_col: str, url_col: str, title_col: s
     return rows.join(names, "host_", "left").select("id_", "text_", "title_", "names_")
 
 
-STATS = "key bigint, ctx bigint, marked bigint, plain bigint, follow bigint, slot bigint, head bigint, words bigint"
+CTX = [f"ctx_{v}" for v in range(VIEWS)]
+COUNTS = ["marked", "plain", "follow", "slot"]
+COLUMNS = ["key", *CTX, *COUNTS, "head", "words"]
+STATS = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
-def line_statistics(pages: DataFrame) -> DataFrame:
-    """By token: different pages, marked and plain uses, and uses before a line or a marked line in its paragraph."""
+def contexts(lines: list[str], keys: list[int]) -> list[tuple[int, ...]]:
+    """By line, what tells its page apart: VIEWS lines of the page with other tokens, each the weighted minwise one of a hash.
+
+    Long lines are likelier to be it, so that copies of a page, slightly changed
+    ones too, share it; a line is never its own context, and furniture that is
+    the context of its pages in one view is not in another.
+    """
+    names = [_hash(x) for x in lines]
+    weight = np.array([min(max(len(x), 1), HEAVY) for x in lines], dtype=float)
+    own = np.array(keys, dtype=np.int64)
+    out = np.empty((len(lines), VIEWS), dtype=np.int64)
+    for v in range(VIEWS):
+        with np.errstate(over="ignore"):
+            x = (np.array(names, dtype=np.int64).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        value = -np.log(((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / weight
+        first = int(value.argmin())
+        out[:, v] = names[first]
+        same = own == own[first]
+        if not same.all():
+            out[same, v] = names[int(np.where(same, np.inf, value).argmin())]
+    return [tuple(x) for x in out.tolist()]
+
+
+def line_statistics(pages: DataFrame, least: float = LEAST) -> DataFrame:
+    """By token on at least ``least`` different pages: their number, marked and plain uses, and uses before a line or a marked line in its paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,30 +200,36 @@ def line_statistics(pages: DataFrame) -> DataFrame:
                 page = Page(text, title, names)
                 h = [_hash(k) for k in page.keys]
                 n = len(h)
-                # the page, by the least hash of its long lines: copies of a page, slightly changed ones too, count about once
-                ctx = min((_hash(x) for x in page.lines if len(x) >= 60), default=0) or _hash(max(page.lines, key=len, default=""))
+                ctx = contexts(page.lines, h) if n else []
                 for i in range(n):
                     if page.marked[i]:
                         marks[_hash(page.bases[i])] += 1
                         continue
-                    seen[h[i], ctx] += 1
+                    seen[h[i], ctx[i]] += 1
                     if h[i] not in shape:
                         shape[h[i]] = _shape(page.keys[i])
                     if i + 1 < n and page.para[i + 1] == page.para[i]:
-                        follow[h[i], ctx] += 1
-                        slots[h[i], ctx] += page.marked[i + 1]
+                        follow[h[i], ctx[i]] += 1
+                        slots[h[i], ctx[i]] += page.marked[i + 1]
                     items = menu(page.keys[i])
                     if len(items) > 2 and all(map(_is_item, items)):
                         for x in items:
                             k = _hash("\x02" + x)
-                            seen[k, h[i]] += 1
+                            seen[k, (h[i],) * VIEWS] += 1
                             shape[k] = _shape(x)
-            rows = [(k, c, 0, v, follow[k, c], slots[k, c], *shape[k]) for (k, c), v in seen.items()] + [(k, 0, v, 0, 0, 0, 0, 0) for k, v in marks.items()]
-            cols = list(zip(*rows)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "ctx", "marked", "plain", "follow", "slot", "head", "words"])
+            rows = [(k, *c, 0, v, follow[k, c], slots[k, c], *shape[k]) for (k, c), v in seen.items()] + [(k, *(0,) * VIEWS, v, 0, 0, 0, 0, 0) for k, v in marks.items()]
+            cols = list(zip(*rows)) or [()] * len(COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=COLUMNS)
 
-    by_ctx = pages.mapInArrow(run, STATS).groupBy("key", "ctx").agg(*[F.sum(c).alias(c) for c in ("marked", "plain", "follow", "slot")], F.max_by("head", "words").alias("head"), F.max("words").alias("words"))
-    return by_ctx.groupBy("key").agg(F.sum((F.col("plain") > 0).cast("int")).alias("n_ctx"), *[F.sum(c).alias(c) for c in ("marked", "plain", "follow", "slot")], F.max_by("head", "words").alias("head"), F.max("words").alias("words"))
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    shape = [F.max_by("head", "words").alias("head"), F.max("words").alias("words")]
+    by_ctx = stage(pages.mapInArrow(run, STATS).groupBy("key", *CTX).agg(*sums, *shape), "line-contexts")
+    # the second largest of the views: one view may be cut down by furniture, and another split by what is changed in copies;
+    # no view has more different pages than there are rows, so only tokens with enough rows are looked at
+    often = by_ctx.groupBy("key").agg(F.sum((F.col("plain") > 0).cast("int")).alias("rows"), *sums, *shape).where(F.col("rows") >= least)
+    views = by_ctx.where("plain > 0").join(often.select("key"), "key").select("key", F.posexplode(F.array(*CTX)).alias("view", "ctx")).distinct()
+    n_ctx = views.groupBy("key", "view").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sort_array(F.collect_list("n"), False)[1].alias("n_ctx")).where(F.col("n_ctx") >= least)
+    return often.drop("rows").join(n_ctx, "key")
 
 
 CONSTANT, HEAD, MENU, SEVERAL, LINK = "constant", "head", "menu", "several", "link"
@@ -284,10 +321,8 @@ class Wrappers:
 
 def infer_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Wrappers:
     """The wrappers of all pages; the number of constants is bounded by lines / support."""
-    stats = line_statistics(pages)
     n = pages.select(F.lit(1)).count()
-    support = max(least, share * n)
-    kept = stats.where(F.col("n_ctx") >= support).where(F.col("marked") <= MARKED_SHARE * (F.col("plain") + F.col("marked")))
+    kept = line_statistics(pages, max(least, share * n)).where(F.col("marked") <= MARKED_SHARE * (F.col("plain") + F.col("marked")))
     constants, heads, starts, longest = set(), set(), set(), 1
     for batch in kept.select("key", "plain", "follow", "slot", "head", "words").toArrow().to_batches():
         k, plain, follow, slot, head, words = (batch.column(i).to_numpy() for i in range(6))

@@ -78,6 +78,23 @@ def test_furniture(spark):
     assert boilerplate.furniture_lines(df.limit(0)).count() == 0
 
 
+def test_long_furniture_is_no_context_of_its_own_pages(spark):
+    low = lambda x: min((f"{x} of number {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]} on all the pages of this site." for k in range(100)), key=boilerplate._hash)
+    notices = [low("We use cookies to improve this page and to read the habits"), low("Any use of these pages is at the risk and at the cost")]
+    rows = []
+    for k in range(40):
+        w = "abcdefghij"[k // 10] + "klmnopqrst"[k % 10]
+        long = f"The {w} committee reads every report that the {w} office hands in before the end of its {w} term."
+        rows.append((k, f"{notices[0]}\n\n{long}\n\nSee {w}."))
+        rows.append((100 + k, f"{notices[0]}\n\nRule {w} holds for {w}.\n\n{notices[1]}"))
+    # copies of one page, each slightly changed, under a notice
+    body = [f"Part {x} of the text says at some length what the {x} rule of the house means for {x} students." for x in ("red", "blue", "green", "white")]
+    rows += [(200 + k, "\n\n".join([notices[0], *body[: k % 4], f"Here the copy {'abcdefgh'[k]} has another line than all the copies beside it.", *body[k % 4 :]])) for k in range(8)]
+    df = spark.createDataFrame([(k, t, f"https://a.example/{k}", None, "html") for k, t in rows], "policy_doc_id long, text string, url string, title string, extension string")
+    got = {(r.policy_doc_id, r.line_no) for r in boilerplate.furniture_lines(df).collect()}
+    assert got == {(k, 0) for k, _ in rows} | {(100 + k, 4) for k in range(40)}
+
+
 def coded(spark, n=500):
     rng = np.random.default_rng(2)
     skill = {"good1": 0.95, "good2": 0.95, "good3": 0.9, "weak1": 0.5, "weak2": 0.5, "spam": 0.0, "copy1": 0.35, "copy2": 0.35, "copy3": 0.35}
