@@ -318,18 +318,22 @@ def row_pairs(pairs: DataFrame, members: DataFrame, expand: int = EXPAND) -> Dat
     return within.unionByName(star).unionByName(across)
 
 
-def groups(pairs: DataFrame, members: DataFrame, rounds: int = 30) -> DataFrame:
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """A row a member: ``id``, ``group_id`` (the least id of its group) and ``n_links`` of its text to other texts.
 
-    Least labels spread along pairs; in every round labels also jump to the
-    label of their label, so that long chains need few rounds.
+    Least labels spread along pairs until none changes. In every round what a
+    text sees also lowers the text it has its label from (its root), and labels
+    jump to the label of their label, so that rounds grow with the logarithm of
+    the longest chain.
     """
     links = stage(pairs.select("a", "b").union(pairs.select("b", "a")), "near-links")
     nodes = members.select(F.col("rep").alias("v")).distinct().withColumn("label", F.col("v"))
     labels = stage(nodes, "near-labels")
-    for _ in range(rounds):
-        near = links.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
-        new = labels.join(near, labels.v == near.a, "left").select("v", F.least("label", F.coalesce("low", "label")).alias("label"))
+    while True:
+        near = links.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("seen"))
+        low = labels.join(near, labels.v == near.a, "left").select("v", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
+        # what it sees lowers a text and its root
+        new = stage(low.select("v", "low").union(low.where("low < label").select("label", "low")).groupBy("v").agg(F.min("low").alias("label")), "near-hooked")
         jump = new.select(F.col("v").alias("w"), F.col("label").alias("far"))
         new = stage(new.join(jump, new.label == jump.w).select("v", F.least("label", "far").alias("label")), "near-labels")
         changed = new.join(labels.select(F.col("v").alias("u"), F.col("label").alias("old")), F.col("v") == F.col("u")).where("label <> old").limit(1).count()

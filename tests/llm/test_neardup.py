@@ -48,6 +48,16 @@ def test_copies_and_groups(spark):
     assert groups == {1: (1, 1), 2: (1, 1), 3: (1, 1)}
 
 
+def test_a_long_shuffled_chain_is_one_group(spark):
+    ids = list(range(400))
+    random.Random(5).shuffle(ids)
+    chain = [(min(x), max(x)) for x in zip(ids, ids[1:])]
+    members = spark.createDataFrame([(k, k, 1) for k in range(401)], "id long, rep long, n_same long")
+    got = {r.id: (r.group_id, r.n_links) for r in neardup.groups(spark.createDataFrame(chain, "a long, b long"), members).collect()}
+    ends = {ids[0], ids[-1]}
+    assert got == {k: (0, 1 if k in ends else 2) for k in range(400)} | {400: (400, 0)}
+
+
 def test_large_group_of_copies_is_a_star(spark):
     a = " ".join(f"alpha{k}" for k in range(60))
     pairs, members = run(spark, [(k, a, "", "") for k in range(200)])
