@@ -5,8 +5,10 @@ embedded by ``WIDTH`` minwise hashes. A node of a tree holds the texts that
 share its path; it branches on positions chosen by a hash of the path, about
 1 / threshold of them, and a text follows those branches with its own minwise
 token there. A node of at most ``NODE`` texts is compared exhaustively, a
-larger one branches on. ``TREES`` independent trees are joined to reach the
-target recall; pairs are then checked exactly on the shingle sets.
+larger one branches on. So many independent trees are joined that a pair at the
+threshold is met with the probability ``RECALL`` at the depth reached (at least
+``TREES``): texts of large nodes, which go deeper, get further trees. Pairs are
+then checked exactly on the shingle sets.
 
 Texts with the same shingle set are one class beforehand: its least id goes
 through the trees, the others are its members. So a group of copies, however
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,9 @@ THRESHOLD = 0.7
 WORDS = 3
 LEAST = 20
 WIDTH = 64
+#: Least number of trees, and the share of pairs at the threshold to be met, whatever the depth.
 TREES = 10
+RECALL = 0.99
 NODE = 200
 DEPTH = 4
 #: Agreement of minwise hashes below which a pair is not checked exactly: 3.5 standard errors below the threshold.
@@ -107,6 +112,24 @@ def branches(path: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np
         return row, _mix(p[row, pos] ^ (sketch[row, pos].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
 
 
+def recall_of(trees: int, depth: int, threshold: float, similarity: float) -> float:
+    """The share of pairs of a similarity that share a node at ``depth`` in one of the trees: every level must hand on a common branch."""
+    agree = np.arange(WIDTH + 1)
+    weight = np.array([comb(WIDTH, a) for a in range(WIDTH + 1)], dtype=float) * similarity**agree * (1 - similarity) ** (WIDTH - agree)
+    met = np.ones(WIDTH + 1)
+    for _ in range(depth):
+        met = 1 - (1 - met * min(1.0, 1 / (threshold * WIDTH))) ** agree
+    return float((weight * (1 - (1 - met) ** trees)).sum())
+
+
+def trees_for(depth: int, threshold: float, recall: float | None = None, least: int = TREES) -> int:
+    """The number of trees, at least ``least``, that meet pairs at the threshold with the recall at a depth."""
+    trees = least
+    while recall_of(trees, depth, threshold, threshold) < (RECALL if recall is None else recall):
+        trees += 1
+    return trees
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str, words: int, least: int) -> DataFrame:
     """By row with enough shingles: ``id``, ``n`` shingles, ``same`` (a hash of the set), ``sketch``."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -147,16 +170,16 @@ def _rows_at(path: np.ndarray, row: np.ndarray, part: pa.RecordBatch, sketch: np
 AT_NODE = "path bigint, id {kind}, n int, small binary"
 
 
-def _spread(reps: DataFrame, trees: int, threshold: float, levels: int, kind: str) -> DataFrame:
-    """Every text at every node of the given level of every tree."""
+def _spread(reps: DataFrame, trees: range, threshold: float, levels: int, kind: str) -> DataFrame:
+    """Every text at every node of the given level of the trees of these numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 sketch = _unpack(part.column(2))
-                row = np.tile(np.arange(part.num_rows), trees)
-                path = np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)), part.num_rows)
+                row = np.tile(np.arange(part.num_rows), len(trees))
+                path = np.repeat(_mix(np.arange(trees.start + 1, trees.stop + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)), part.num_rows)
                 for _ in range(levels):
                     k, path = branches(path, sketch[row], threshold)
                     row = row[k]
@@ -226,10 +249,11 @@ def _compare(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
 
 
 def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = TREES) -> DataFrame:
-    """Pairs of representatives that some leaf holds and whose sketches agree, each once."""
+    """Pairs of representatives that some leaf holds and whose sketches agree, each once; ``trees`` is the least number of trees."""
     n = max(2, reps.select(F.lit(1)).count())
     first = max(1, round(np.log(n / NODE) / np.log(14))) if n > NODE else 1
-    level = _spread(reps, trees, threshold, first, kind)
+    trees = trees_for(first, threshold, least=trees)
+    level = _spread(reps, range(trees), threshold, first, kind)
     found = None
     for depth in range(DEPTH + 1):
         large = stage(level.groupBy("path").count().where(F.col("count") > NODE), "near-large")
@@ -241,7 +265,13 @@ def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = T
             break
         at = level.join(large, "path")
         if depth < DEPTH:
-            level = stage(_deeper(at.select("path", "id").join(reps, "id"), threshold, kind), "near-level")
+            level = _deeper(at.select("path", "id").join(reps, "id"), threshold, kind)
+            # a branch lost at one more level is made up for by further trees, over the texts that go deeper
+            more = trees_for(first + depth + 1, threshold, least=trees)
+            if more > trees:
+                level = level.unionByName(_spread(reps.join(at.select("id").distinct(), "id", "left_semi"), range(trees, more), threshold, first + depth + 1, kind))
+                trees = more
+            level = stage(level, "near-level")
             continue
         # what no branching splits: in blocks, each pair of blocks a node of its own
         blocks = F.ceil(F.col("count") / (NODE / 2)).cast("int")

@@ -58,6 +58,25 @@ def test_a_long_shuffled_chain_is_one_group(spark):
     assert got == {k: (0, 1 if k in ends else 2) for k in range(400)} | {400: (400, 0)}
 
 
+def test_hot_clusters_near_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "NODE", 4)
+    texts = []
+    for c in range(60):
+        base = " ".join(f"base{c}x{k}" for k in range(200))
+        texts += [f"{base} {' '.join(f'own{c}x{n}x{k}' for k in range(41))}" for n in range(12)]
+    assert 0.7 <= jaccard(texts[0], texts[1]) < 0.71
+    pairs, members = run(spark, [(k, t, "", "") for k, t in enumerate(texts)])
+    got = neardup.row_pairs(pairs, members).count() / (60 * 12 * 11 // 2)
+    assert 0.98 <= got <= 1
+
+
+def test_trees_by_depth():
+    counts = [neardup.trees_for(d, 0.7) for d in range(1, 8)]
+    assert counts == sorted(counts) and counts[0] == neardup.TREES < counts[-1]
+    assert all(neardup.recall_of(n, d, 0.7, 0.7) >= neardup.RECALL for d, n in enumerate(counts, 1))
+    assert neardup.recall_of(10, 7, 0.7, 0.7) < 0.9
+
+
 def test_large_group_of_copies_is_a_star(spark):
     a = " ".join(f"alpha{k}" for k in range(60))
     pairs, members = run(spark, [(k, a, "", "") for k in range(200)])
