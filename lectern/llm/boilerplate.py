@@ -11,7 +11,9 @@ bullets) somewhere in the corpus; furniture never does.
 
 Streams of a host share its name slots; constants are kept when they align in
 at least ``support`` pages that are no copies of each other, so that there are no more than
-lines / support of them, whatever the corpus.
+lines / support of them, whatever the corpus. The support grows with the pages
+looked at, so a host's own furniture has a support within the host as well, by
+its own pages; those constants are a table that meets the pages of its host.
 
 Defined results: null, empty and blank texts have no lines. A null or odd url is
 a host of its own. Rows of other extensions than html are left out.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -36,6 +38,9 @@ from .mojibake import EAST, SINGLE, _any_island, _from_bytes, _islands, _to_byte
 LEAST, SHARE = 5, 6e-4
 #: So many minwise values tell pages apart; lines longer than HEAVY weigh no more than lines of that length.
 VIEWS, HEAVY = 4, 200
+#: Pages of a host that one group of rows holds beside the host's own constants.
+TOGETHER = 2000
+_VIEW = np.array([[0x9E3779B97F4A7C15 * v % (1 << 64)] for v in range(1, VIEWS + 1)], dtype=np.uint64)
 MARKED_SHARE = 0.06
 #: A constant mostly followed by lines in its paragraph, this share of them marked as links, is the head of a box.
 LINKED = 0.2
@@ -153,12 +158,12 @@ def site_names(df: DataFrame, title_col: str = "title") -> DataFrame:
 
 def _pages(df: DataFrame, id_col: str, text_col: str, url_col: str, title_col: str, names: DataFrame) -> DataFrame:
     rows = hosts(df, url_col).where(F.length(text_col) > 0).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_"), F.col(title_col).alias("title_"), "host_")
-    return rows.join(names, "host_", "left").select("id_", "text_", "title_", "names_")
+    return rows.join(names, "host_", "left").select("id_", "text_", "title_", "names_", F.xxhash64("host_").alias("host"))
 
 
 CTX = [f"ctx_{v}" for v in range(VIEWS)]
 COUNTS = ["marked", "plain", "follow", "slot"]
-COLUMNS = ["key", *CTX, *COUNTS, "head", "words"]
+COLUMNS = ["key", "host", *CTX, *COUNTS, "head", "words"]
 STATS = ", ".join(f"{c} bigint" for c in COLUMNS)
 
 
@@ -169,25 +174,22 @@ def contexts(lines: list[str], keys: list[int]) -> list[tuple[int, ...]]:
     ones too, share it; a line is never its own context, and furniture that is
     the context of its pages in one view is not in another.
     """
-    names = [_hash(x) for x in lines]
+    names = np.array([_hash(x) for x in lines], dtype=np.int64)
     weight = np.array([min(max(len(x), 1), HEAVY) for x in lines], dtype=float)
     own = np.array(keys, dtype=np.int64)
-    out = np.empty((len(lines), VIEWS), dtype=np.int64)
-    for v in range(VIEWS):
-        with np.errstate(over="ignore"):
-            x = (np.array(names, dtype=np.int64).view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15 * (v + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        value = -np.log(((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / weight
-        first = int(value.argmin())
-        out[:, v] = names[first]
-        same = own == own[first]
-        if not same.all():
-            out[same, v] = names[int(np.where(same, np.inf, value).argmin())]
-    return [tuple(x) for x in out.tolist()]
-
-
-def line_statistics(pages: DataFrame, least: float = LEAST) -> DataFrame:
-    """By token on at least ``least`` different pages: their number, marked and plain uses, and uses before a line or a marked line in its paragraph."""
+    x = (names.view(np.uint64) ^ _VIEW) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    value = -np.log(((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)) / weight
+    first = value.argmin(axis=1)
+    same = own == own[first][:, None]
+    second = np.where(same, np.inf, value).argmin(axis=1)
+    # a page of one token only is its own context
+    second = np.where(same.all(axis=1), first, second)
+    return list(zip(*np.where(same, names[second][:, None], names[first][:, None]).tolist()))
+
+
+def line_statistics(pages: DataFrame) -> DataFrame:
+    """By token, host and context: marked and plain uses, and uses before a line or a marked line in its paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,40 +198,51 @@ def line_statistics(pages: DataFrame, least: float = LEAST) -> DataFrame:
             slots: Counter = Counter()
             marks: Counter = Counter()
             shape: dict[int, tuple[int, int]] = {}
-            for text, title, names in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+            for text, title, names, host in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
                 page = Page(text, title, names)
                 h = [_hash(k) for k in page.keys]
                 n = len(h)
                 ctx = contexts(page.lines, h) if n else []
                 for i in range(n):
                     if page.marked[i]:
-                        marks[_hash(page.bases[i])] += 1
+                        marks[_hash(page.bases[i]), host] += 1
                         continue
-                    seen[h[i], ctx[i]] += 1
+                    seen[h[i], host, ctx[i]] += 1
                     if h[i] not in shape:
                         shape[h[i]] = _shape(page.keys[i])
                     if i + 1 < n and page.para[i + 1] == page.para[i]:
-                        follow[h[i], ctx[i]] += 1
-                        slots[h[i], ctx[i]] += page.marked[i + 1]
+                        follow[h[i], host, ctx[i]] += 1
+                        slots[h[i], host, ctx[i]] += page.marked[i + 1]
                     items = menu(page.keys[i])
                     if len(items) > 2 and all(map(_is_item, items)):
                         for x in items:
                             k = _hash("\x02" + x)
-                            seen[k, (h[i],) * VIEWS] += 1
+                            seen[k, host, (h[i],) * VIEWS] += 1
                             shape[k] = _shape(x)
-            rows = [(k, *c, 0, v, follow[k, c], slots[k, c], *shape[k]) for (k, c), v in seen.items()] + [(k, *(0,) * VIEWS, v, 0, 0, 0, 0, 0) for k, v in marks.items()]
+            rows = [(k, x, *c, 0, v, follow[k, x, c], slots[k, x, c], *shape[k]) for (k, x, c), v in seen.items()] + [(k, x, *(0,) * VIEWS, v, 0, 0, 0, 0, 0) for (k, x), v in marks.items()]
             cols = list(zip(*rows)) or [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=COLUMNS)
 
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    shape = [F.max_by("head", "words").alias("head"), F.max("words").alias("words")]
-    by_ctx = stage(pages.mapInArrow(run, STATS).groupBy("key", *CTX).agg(*sums, *shape), "line-contexts")
-    # the second largest of the views: one view may be cut down by furniture, and another split by what is changed in copies;
-    # no view has more different pages than there are rows, so only tokens with enough rows are looked at
-    often = by_ctx.groupBy("key").agg(F.sum((F.col("plain") > 0).cast("int")).alias("rows"), *sums, *shape).where(F.col("rows") >= least)
-    views = by_ctx.where("plain > 0").join(often.select("key"), "key").select("key", F.posexplode(F.array(*CTX)).alias("view", "ctx")).distinct()
-    n_ctx = views.groupBy("key", "view").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sort_array(F.collect_list("n"), False)[1].alias("n_ctx")).where(F.col("n_ctx") >= least)
-    return often.drop("rows").join(n_ctx, "key")
+    return pages.mapInArrow(run, STATS).groupBy("key", "host", *CTX).agg(*_sums())
+
+
+def _sums() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in COUNTS], F.max_by("head", "words").alias("head"), F.max("words").alias("words")]
+
+
+def _totals(by_ctx: DataFrame, by: list[str], least: float) -> DataFrame:
+    """The statistics of tokens (of a host) with at least ``least`` rows: there are no fewer rows than different pages."""
+    return by_ctx.groupBy(*by).agg(F.sum((F.col("plain") > 0).cast("int")).alias("rows"), *_sums()).where(F.col("rows") >= least)
+
+
+def _different(by_ctx: DataFrame, totals: DataFrame, by: list[str]) -> DataFrame:
+    """``totals`` with ``n_ctx``, the number of different pages: the second largest of the views.
+
+    One view may be cut down by furniture, and another split by what is changed in copies.
+    """
+    views = by_ctx.where("plain > 0").join(totals.select(*by), by).select(*by, F.posexplode(F.array(*CTX)).alias("view", "ctx")).distinct()
+    n_ctx = views.groupBy(*by, "view").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list("n"), False)[1].alias("n_ctx"))
+    return totals.join(n_ctx, by)
 
 
 CONSTANT, HEAD, MENU, SEVERAL, LINK = "constant", "head", "menu", "several", "link"
@@ -246,6 +259,11 @@ class Wrappers:
     def __init__(self, constants: set[int], heads: set[int], starts: set[int], longest: int):
         self.constants, self.heads, self.starts, self.longest = constants, heads, starts, longest
 
+    def with_own(self, own: list[tuple[int, bool, int, int]]) -> Wrappers:
+        """These and the constants of a host: their key, whether they are heads, the word they start with and their number of words."""
+        sets = ({k for k, *_ in own}, {k for k, is_head, *_ in own if is_head}, {head for _, _, head, _ in own})
+        return Wrappers(*(Either(x, y) for x, y in zip((self.constants, self.heads, self.starts), sets)), max(self.longest, *(words for *_, words in own)))
+
     def known(self, text: str) -> bool:
         return _hash(text) in self.constants
 
@@ -319,18 +337,59 @@ class Wrappers:
         return out
 
 
-def infer_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> Wrappers:
-    """The wrappers of all pages; the number of constants is bounded by lines / support."""
-    n = pages.select(F.lit(1)).count()
-    kept = line_statistics(pages, max(least, share * n)).where(F.col("marked") <= MARKED_SHARE * (F.col("plain") + F.col("marked")))
+class Either:
+    """Membership in one of two sets, neither copied."""
+
+    def __init__(self, one: set[int], two: set[int]):
+        self.one, self.two = one, two
+
+    def __contains__(self, x: int) -> bool:
+        return x in self.one or x in self.two
+
+
+IS_HEAD = f"2 * follow > plain and slot > {LINKED} * follow"
+OWN = ["key", "is_head", "head", "words"]
+
+
+def infer_wrappers(pages: DataFrame, least: int = LEAST, share: float = SHARE) -> tuple[Wrappers, DataFrame | None]:
+    """The wrappers of all pages, and the table of further constants by host.
+
+    The number of pooled constants is bounded by lines / support. The table has
+    ``host``, ``groups`` (so many for the pages of the host) and a constant a
+    row; there is none where the pooled support is the least one anyway.
+    """
+    sizes = stage(pages.groupBy("host").agg(F.count(F.lit(1)).alias("of_pages")), "line-hosts")
+    n = sizes.agg(F.coalesce(F.sum("of_pages"), F.lit(0))).first()[0]
+    support = max(least, share * n)
+    by_ctx = stage(line_statistics(pages), "line-contexts")
+    # marks count wherever they stand in the corpus
+    totals = stage(_totals(by_ctx, ["key"], least).where(F.col("marked") <= MARKED_SHARE * (F.col("plain") + F.col("marked"))), "line-tokens")
+    pooled = _different(by_ctx, totals.where(F.col("rows") >= support), ["key"]).where(F.col("n_ctx") >= support)
+    pooled = stage(pooled.select("key", F.expr(IS_HEAD).alias("is_head"), "head", "words"), "line-constants")
     constants, heads, starts, longest = set(), set(), set(), 1
-    for batch in kept.select("key", "plain", "follow", "slot", "head", "words").toArrow().to_batches():
-        k, plain, follow, slot, head, words = (batch.column(i).to_numpy() for i in range(6))
+    for batch in pooled.toArrow().to_batches():
+        k, is_head, head, words = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         constants.update(k.tolist())
-        heads.update(k[(2 * follow > plain) & (slot > LINKED * follow)].tolist())
+        heads.update(k[is_head.astype(bool)].tolist())
         starts.update(head.tolist())
         longest = max(longest, int(words.max(initial=1)))
-    return Wrappers(constants, heads, starts, longest)
+    own = None
+    if support > least:
+        rest = totals.select("key").join(pooled.select("key"), "key", "left_anti")
+        rest = stage(by_ctx.join(rest, "key", "left_semi"), "line-rest")
+        own = _different(rest, _totals(rest, ["host", "key"], least), ["host", "key"]).join(sizes, "host").where(F.col("n_ctx") >= F.greatest(F.lit(least), share * F.col("of_pages")))
+        own = stage(own.select("host", F.ceil(F.col("of_pages") / TOGETHER).cast("int").alias("groups"), F.expr(IS_HEAD).alias("is_head"), "key", "head", "words"), "line-own")
+    return Wrappers(constants, heads, starts, longest), own
+
+
+def _beside(pages: DataFrame, own: DataFrame) -> DataFrame:
+    """Pages grouped by host and part of it, each group after the constants of its host: ``is_page`` tells them apart."""
+    groups = own.select("host", "groups").distinct()
+    part = F.expr("cast(pmod(xxhash64(id_), coalesce(groups, 1000000)) as int)")
+    rows = pages.join(groups, "host", "left").withColumn("part", part).drop("groups").withColumn("is_page", F.lit(True))
+    first = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups").withColumn("is_page", F.lit(False))
+    both = rows.unionByName(first, allowMissingColumns=True).repartition("host", "part").sortWithinPartitions("host", "part", "is_page")
+    return both.select("id_", "text_", "title_", "names_", "host", "part", "is_page", *OWN)
 
 
 def furniture_lines(df: DataFrame, id_col: str = "policy_doc_id", text_col: str = "text", url_col: str = "url", title_col: str = "title", extension_col: str | None = "extension") -> DataFrame:
@@ -362,10 +421,10 @@ def host_wrappers(df: DataFrame, id_col: str = "policy_doc_id", text_col: str =
 
 def _emit_nodes(texts, titles, names, wrappers):
     row, part, token, place = [], [], [], []
-    for k, (text, title, own) in enumerate(zip(texts, titles, names)):
+    for k, (text, title, own, wrapper) in enumerate(zip(texts, titles, names, wrappers)):
         page = Page(text, title, own)
         seen = {}
-        for i, kind in enumerate(wrappers.furniture(page)):
+        for i, kind in enumerate(wrapper.furniture(page)):
             if kind:
                 seen.setdefault((kind, page.keys[i].replace("\x01", "*") if kind in (CONSTANT, HEAD) else None), i / max(1, len(page.keys) - 1))
         for (kind, key), at in seen.items():
@@ -378,9 +437,9 @@ def _emit_nodes(texts, titles, names, wrappers):
 
 def _emit_lines(texts, titles, names, wrappers):
     row, no = [], []
-    for k, (text, title, own) in enumerate(zip(texts, titles, names)):
+    for k, (text, title, own, wrapper) in enumerate(zip(texts, titles, names, wrappers)):
         page = Page(text, title, own)
-        for at, gone in zip(page.at, wrappers.furniture(page)):
+        for at, gone in zip(page.at, wrapper.furniture(page)):
             if gone:
                 row.append(k)
                 no.append(at)
@@ -389,9 +448,9 @@ def _emit_lines(texts, titles, names, wrappers):
 
 def _emit_bodies(texts, titles, names, wrappers):
     bodies, plain, removed = [], [], []
-    for text, title, own in zip(texts, titles, names):
+    for text, title, own, wrapper in zip(texts, titles, names, wrappers):
         page = Page(text, title, own)
-        gone = {at for at, f in zip(page.at, wrappers.furniture(page)) if f}
+        gone = {at for at, f in zip(page.at, wrapper.furniture(page)) if f}
         body = "\n".join(x for no, x in enumerate(text.split("\n")) if no not in gone)
         bodies.append(re.sub(r"\n\s*\n\s*\n+", "\n\n", body).strip("\r\n"))
         parts = [x for x in re.split(f"({JOINS})", title) if x] if title else []
@@ -410,11 +469,31 @@ def _mapped(df, id_col, text_col, url_col, title_col, extension_col, schema, emi
         df = df.where(F.lower(F.col(extension_col)) == "html")
     names = site_names(hosts(df, url_col), title_col)
     pages = _pages(df, id_col, text_col, url_col, title_col, names)
-    sent = df.sparkSession.sparkContext.broadcast(infer_wrappers(pages))
+    wrappers, further = infer_wrappers(pages)
+    sent = df.sparkSession.sparkContext.broadcast(wrappers)
+    beside = further is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, wrapper = None, [], sent.value
         for batch in batches:
-            row, cols, columns = emit(*(batch.column(i).to_pylist() for i in (1, 2, 3)), sent.value)
+            by_row = [sent.value] * batch.num_rows
+            if beside:
+                is_page = batch.column(6).to_pylist()
+                where = list(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()))
+                constants = list(zip(*(batch.column(i).to_pylist() for i in (7, 8, 9, 10))))
+                for k, page in enumerate(is_page):
+                    if where[k] != at:
+                        at, seen, wrapper = where[k], [], sent.value
+                    if not page:
+                        seen.append(constants[k])
+                        wrapper = None
+                    else:
+                        wrapper = by_row[k] = wrapper or sent.value.with_own(seen)
+                take = pa.array([k for k, page in enumerate(is_page) if page], pa.int64())
+                by_row = [by_row[k] for k in take.to_pylist()]
+                batch = batch.take(take)
+            row, cols, columns = emit(*(batch.column(i).to_pylist() for i in (1, 2, 3)), by_row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *cols], names=["id_", *columns])
 
-    return pages.mapInArrow(run, f"id_ {kind}, {schema}").withColumnRenamed("id_", id_col)
+    rows = _beside(pages, further) if beside else pages
+    return rows.mapInArrow(run, f"id_ {kind}, {schema}").withColumnRenamed("id_", id_col)

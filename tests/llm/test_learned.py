@@ -95,6 +95,20 @@ def test_long_furniture_is_no_context_of_its_own_pages(spark):
     assert got == {(k, 0) for k, _ in rows} | {(100 + k, 4) for k in range(40)}
 
 
+def test_furniture_of_one_host_in_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(boilerplate, "TOGETHER", 4)
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    text = lambda k, top: f"{top}\n\nThe {word(k)} committee reads every report of the {word(k * 7)} office before term {word(k + 9)} ends.\n\nSee {word(k)} too."
+    own = "Write to the Harbour Campus help desk"
+    rows = [(k, text(k, "Log in" if k % 2 else "Contact"), f"https://h{k % 97}.example/{k}") for k in range(9000)]
+    rows += [(10000 + k, text(10000 + k, own) + (f"\n\n{own} Log in" if k == 0 else ""), f"https://harbour.example/{k}") for k in range(5)]
+    # as often, on as many hosts: no furniture of any of them
+    rows += [(20000 + k, text(20000 + k, "A phrase that five hosts share"), f"https://h{k}.example/x{k}") for k in range(5)]
+    df = spark.createDataFrame([(k, t, u, None, "html") for k, t, u in rows], "policy_doc_id long, text string, url string, title string, extension string")
+    got = {(r.policy_doc_id, r.line_no) for r in boilerplate.furniture_lines(df).collect()}
+    assert got == {(k, 0) for k in range(9000)} | {(10000 + k, 0) for k in range(5)} | {(10000, 6)}
+
+
 def coded(spark, n=500):
     rng = np.random.default_rng(2)
     skill = {"good1": 0.95, "good2": 0.95, "good3": 0.9, "weak1": 0.5, "weak2": 0.5, "spam": 0.0, "copy1": 0.35, "copy2": 0.35, "copy3": 0.35}
