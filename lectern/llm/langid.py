@@ -24,9 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+
 LANGS = ("en", "de", "fr", "es", "pt", "zh", "ja", "ko")
 BITS = 17
 SIZE = 1 << BITS
@@ -43,22 +46,48 @@ QUOTED = re.compile("“[^”]{0,400}”|„[^“]{0,400}“|«[^»]{0,400}»|
 SENTENCE = re.compile(r"(?<=[.!?。！？])[ \t\r]*")
 
 
-def notices(df: DataFrame, text_col: str, least: int = LEAST, share: float = SHARE) -> set[str]:
-    """Sentences of short lines that recur in many rows: at most sentences / support of them."""
+class Sentences:
+    """A set of sentences by their hash in Spark."""
+
+    def __init__(self, hashes: set[int]):
+        self.hashes = hashes
+
+    def __contains__(self, sentence: str) -> bool:
+        n = xxhash.xxh64_intdigest(sentence.encode("utf-8", "surrogatepass"), 42)
+        return (n - (1 << 64) if n >> 63 else n) in self.hashes
+
+
+def notices(df: DataFrame, text_col: str, least: int = LEAST, share: float = SHARE, id_col: str | None = None, url_col: str | None = None) -> tuple[set[int], DataFrame | None]:
+    """Hashes of sentences that recur in many texts, at most sentences / support of them, and by ``id_`` those that recur within its host only (``own_``).
+
+    The second support goes by the texts of the host; there is no such table
+    without a url, or where the first support is the least one anyway.
+    """
     n = df.select(F.lit(1)).count()
+    support = max(least, share * n)
+    by_host = url_col is not None and support > least
     # in how many texts: a text is told by its longest line, so that copies count once
     own = F.split(text_col, "\n")
     sign = F.xxhash64(F.array_max(F.transform(own, lambda x: F.struct(F.length(x), x))))
-    # a notice is learned where it stands in a line of its own or beside few others, and left out wherever it stands
-    short = F.filter(own, lambda x: (F.length(x) >= 8) & (F.length(x) <= 160) & x.rlike("[.!?。！？]"))
-    lines = df.select(F.array_distinct(short).alias("short_"), sign.alias("ctx")).where(F.size("short_") > 0).select(F.explode("short_").alias("line"), "ctx")
+    ends = F.filter(own, lambda x: x.rlike("[.!?。！？]"))
+    host = F.lower(F.regexp_extract(url_col, "^[A-Za-z]+://([^/?#]+)", 1)) if by_host else F.lit("")
+    texts = df.select((F.col(id_col) if id_col else F.lit(0)).alias("id_"), F.xxhash64(F.nullif(host, F.lit(""))).alias("host_"), (F.coalesce(host, F.lit("")) != "").alias("known_"), F.array_distinct(ends).alias("ends_"), sign.alias("ctx"))
+    lines = texts.where(F.size("ends_") > 0).select("id_", "host_", "known_", "ctx", F.explode("ends_").alias("line"))
     marked = F.regexp_replace("line", "([.!?。！？])[ \t\r]*", "$1\n")
-    rows = lines.select(F.explode(F.split(marked, "\n")).alias("line"), "ctx").select(F.trim("line").alias("line"), "ctx").where(F.col("line").rlike("^.{4,}[.!?。！？]$"))
-    kept = rows.groupBy("line", "ctx").agg(F.lit(1).alias("one")).groupBy("line").count().where(F.col("count") >= max(least, share * n)).select("line")
-    return {r.line for r in kept.toLocalIterator()}
-
-
-def segments(text: str, wrapped: bool, skip: set[str]) -> tuple[list[tuple[int, str]], bool]:
+    rows = lines.select("id_", "host_", "known_", "ctx", F.explode(F.split(marked, "\n")).alias("line")).withColumn("line", F.trim("line")).where(F.col("line").rlike("^.{4,}[.!?。！？]$"))
+    # the texts are cut once; what is counted are hashes
+    rows = stage(rows.withColumn("line", F.xxhash64("line")), "notices-lines") if by_host else rows.withColumn("line", F.xxhash64("line"))
+    kept = rows.groupBy("line", "ctx").agg(F.lit(1).alias("one")).groupBy("line").count().where(F.col("count") >= support).select("line")
+    everywhere = {r.line for r in kept.toLocalIterator()}
+    if not by_host:
+        return everywhere, None
+    sizes = texts.groupBy("host_").agg(F.count(F.lit(1)).alias("of"))
+    within = rows.where("known_").groupBy("host_", "line", "ctx").agg(F.lit(1).alias("one")).groupBy("host_", "line").count().where(F.col("count") >= least)
+    within = stage(within.join(sizes, "host_").where(F.col("count") >= F.greatest(F.lit(least), share * F.col("of"))).select("host_", "line"), "notices-own")
+    return everywhere, rows.where("known_").join(within, ["host_", "line"]).groupBy("id_").agg(F.collect_set("line").alias("own_"))
+
+
+def segments(text: str, wrapped: bool, skip: Sentences) -> tuple[list[tuple[int, str]], bool]:
     """The running-text paragraphs as (number of paragraph, text); all other lines, and False, where there are none."""
     out, rest = [], []
     para, blank = -1, True
@@ -223,7 +252,7 @@ def mixture(scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 
-def detect(df: DataFrame, labels: DataFrame, id_col: str = "policy_doc_id", text_col: str = "text", declared_col: str = "language_declared", wrapped_col: str | None = "extension", by_segment: bool = False) -> DataFrame:
+def detect(df: DataFrame, labels: DataFrame, id_col: str = "policy_doc_id", text_col: str = "text", declared_col: str = "language_declared", wrapped_col: str | None = "extension", by_segment: bool = False, url_col: str = "url") -> DataFrame:
     """The languages of each row with text, by falling share.
 
     Columns: the id, ``lang``, ``share`` of the body, ``confidence``,
@@ -233,17 +262,19 @@ def detect(df: DataFrame, labels: DataFrame, id_col: str = "policy_doc_id", text
     """
     model = fit(df, labels, id_col, text_col, declared_col)
     lang_of = {r.spelling: r.lang for r in labels.select("spelling", "lang").collect()}
-    sent = df.sparkSession.sparkContext.broadcast((model, notices(df, text_col), lang_of))
+    everywhere, own = notices(df, text_col, id_col=id_col, url_col=url_col if url_col in df.columns else None)
+    sent = df.sparkSession.sparkContext.broadcast((model, everywhere, lang_of))
     kind = df.schema[id_col].dataType.simpleString()
     wrapped = F.lower(F.col(wrapped_col)) == "pdf" if wrapped_col else F.lit(False)
     rows = df.where(F.length(text_col) > 0).select(id_col, text_col, declared_col, F.coalesce(wrapped, F.lit(False)).alias("wrapped_"))
+    rows = rows.join(own.withColumnRenamed("id_", id_col), id_col, "left") if own is not None else rows.withColumn("own_", F.lit(None).cast("array<bigint>"))
 
     def judge(batch: pa.RecordBatch):
         model, skip, lang_of = sent.value
-        texts, declared, wrapped = (batch.column(i).to_pylist() for i in (1, 2, 3))
+        texts, declared, wrapped, further = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
         units, owner, running = [], [], []
         for k, text in enumerate(texts):
-            found, whole = segments(text, wrapped[k], skip)
+            found, whole = segments(text, wrapped[k], Sentences(skip.union(further[k]) if further[k] else skip))
             if not found and text.strip():
                 found, whole = [(0, text)], False
             for no, s in found:

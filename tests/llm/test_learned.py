@@ -44,6 +44,20 @@ def test_languages(spark):
     assert langid.detect(documents(spark).limit(0), labels(spark)).count() == 0
 
 
+def test_notices_in_long_lines_and_of_one_host(spark):
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    notice = "The office answers all questions of this kind."
+    rows = [(k, f"The {word(k)} text has a line of its own that is longer than all its other lines together, {word(k)} or not.", f"https://h{k % 89}.example/") for k in range(8000)]
+    rows += [(9000 + k, f"{word(9000 + k)} begins a text of its own {'and goes on ' * 20} here. {notice}", "https://one.example/") for k in range(4)]
+    everywhere, own = langid.notices(spark.createDataFrame(rows, "id long, text string, url string"), "text", id_col="id", url_col="url")
+    assert everywhere == set()
+    found = {r.id_: langid.Sentences(set(r.own_)) for r in own.collect()}
+    assert found.keys() == {9000 + k for k in range(4)} and all(notice in x and len(x.hashes) == 1 for x in found.values())
+    small = spark.createDataFrame(rows[-10:], "id long, text string, url string")
+    everywhere, own = langid.notices(small, "text", id_col="id", url_col="url")
+    assert notice in langid.Sentences(everywhere) and len(everywhere) == 1 and own is None
+
+
 def pages(spark):
     rows = []
     for k in range(120):
