@@ -73,6 +73,39 @@ def pages(spark):
     return spark.createDataFrame(rows, "policy_doc_id long, text string, url string, title string, extension string, top int, n int")
 
 
+def test_template_aligns_in_order():
+    t = boilerplate.Template()
+    for page in ([1, 2, 3, 4], [1, 2, 9, 4], [1, 4, 2], [5, 1, 2, 2, 4]):
+        t.add(page)
+    nodes = sorted(zip(t.rank, t.key, t.pages, t.again))
+    # 4 before 2 has its own place; 3 and 9 mismatch between 2 and 4; 5 is an option at the top; 2 repeats
+    got = [(k, n) for _, k, n, _ in nodes]
+    assert got[:4] == [(5, 1), (1, 4), (4, 1), (2, 4)] and sorted(got[4:6]) == [(3, 1), (9, 1)] and got[6] == (4, 3)
+    assert sum(a for *_, a in nodes) == 1
+    long = boilerplate.Template()
+    for k in range(300):
+        long.add([0, 1000 + k, 1])
+    ranks = [r for r, *_ in sorted(zip(long.rank, long.key))]
+    assert len(set(ranks)) == 302 and long.pages[long.key.index(0)] == 300
+
+
+def test_small_host_in_a_large_pool(spark):
+    """Its furniture is found however many pages others have, in parts and beside the pages as well as by broadcast."""
+    word = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
+    rows = [(k, f"Line {word(k)} of its own\n\nAnother {word(k * 7 + 1)} goes on for a while", f"https://h{k % 7}.example/", None, "html") for k in range(12000)]
+    rows += [(20000 + k, f"Ask the desk\n\nPage {word(k)} says something else\n\nOpen from nine to five", "https://small.example/", None, "html") for k in range(60)]
+    df = spark.createDataFrame(rows, "policy_doc_id long, text string, url string, title string, extension string")
+    want = {(20000 + k, no) for k in range(60) for no in (0, 4)}
+    assert {(r.policy_doc_id, r.line_no) for r in boilerplate.furniture_lines(df).collect()} == want
+    few, together = boilerplate.BROADCAST_ROWS, boilerplate.TOGETHER
+    boilerplate.BROADCAST_ROWS, boilerplate.TOGETHER = 1, 25
+    try:
+        got = {(r.policy_doc_id, r.line_no) for r in boilerplate.furniture_lines(df).collect()}
+    finally:
+        boilerplate.BROADCAST_ROWS, boilerplate.TOGETHER = few, together
+    assert got == want
+
+
 def test_furniture(spark):
     df = pages(spark)
     got = {(r.policy_doc_id, r.line_no) for r in boilerplate.furniture_lines(df).collect()}
