@@ -242,8 +242,7 @@ def contexts(name: np.ndarray, key: np.ndarray, weight: np.ndarray, page: np.nda
         """The line of the least value of each page."""
         low = np.minimum.reduceat(value, first_line)
         at = np.flatnonzero(value == low[page])
-        owner, first = np.unique(page[at], return_index=True)
-        return at[first]
+        return at[np.unique(page[at], return_index=True)[1]]
 
     for view in _VIEW[:, 0]:
         with np.errstate(over="ignore"):
@@ -259,7 +258,7 @@ def contexts(name: np.ndarray, key: np.ndarray, weight: np.ndarray, page: np.nda
 
 
 class Template:
-    """The nodes of a host's template in their order, grown by aligning one page after the other."""
+    """The nodes of a host's template, grown by aligning one page after the other; nodes of one rank are alternatives in one slot."""
 
     def __init__(self) -> None:
         self.rank: list[float] = []
@@ -267,13 +266,10 @@ class Template:
         self.pages: list[int] = []
         self.again: list[int] = []
         self.of: dict[int, list[int]] = {}
-        self.order: list[int] = []
 
     def _renumber(self) -> None:
-        for k, node in enumerate(sorted(range(len(self.rank)), key=self.rank.__getitem__)):
-            self.rank[node] = float(k)
-        for nodes in self.of.values():
-            nodes.sort(key=self.rank.__getitem__)
+        place = {r: float(k) for k, r in enumerate(sorted(set(self.rank)))}
+        self.rank = [place[r] for r in self.rank]
 
     def add(self, tokens: list[int]) -> None:
         """Align a page: the longest run of its tokens that has the order of the template; the others become nodes between."""
