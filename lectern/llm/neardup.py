@@ -4,8 +4,8 @@ Method: chosen-path set similarity join. Every text is a set of shingles,
 embedded by ``WIDTH`` minwise hashes. A node of a tree holds the texts that
 share its path; it branches on positions chosen by a hash of the path, about
 1 / threshold of them, and a text follows those branches with its own minwise
-token there. A node of at most ``NODE`` texts is compared exhaustively, a
-larger one branches on. So many independent trees are joined that a pair at the
+token there. A node of at most ``NODE`` texts is compared exhaustively at
+whatever level it stands, a larger one branches on. So many independent trees are joined that a pair at the
 threshold is met with the probability ``RECALL`` at the depth reached (at least
 ``TREES``): texts of large nodes, which go deeper, get further trees. Pairs are
 then checked exactly on the shingle sets.
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 from math import comb
 
 import numpy as np
@@ -42,6 +43,7 @@ WIDTH = 64
 TREES = 10
 RECALL = 0.99
 NODE = 200
+#: Levels that are always tried; further ones as long as fewer rows stand in large nodes than a level before.
 DEPTH = 4
 #: Agreement of minwise hashes below which a pair is not checked exactly: 3.5 standard errors below the threshold.
 SKETCH_SLACK = 3.5
@@ -250,26 +252,26 @@ def _compare(rows: DataFrame, threshold: float, kind: str) -> DataFrame:
 
 def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = TREES) -> DataFrame:
     """Pairs of representatives that some leaf holds and whose sketches agree, each once; ``trees`` is the least number of trees."""
-    n = max(2, reps.select(F.lit(1)).count())
-    first = max(1, round(np.log(n / NODE) / np.log(14))) if n > NODE else 1
-    trees = trees_for(first, threshold, least=trees)
-    level = _spread(reps, range(trees), threshold, first, kind)
-    found = None
-    for depth in range(DEPTH + 1):
+    trees = trees_for(1, threshold, least=trees)
+    level = _spread(reps, range(trees), threshold, 1, kind)
+    found, before = None, None
+    for depth in count(1):
         large = stage(level.groupBy("path").count().where(F.col("count") > NODE), "near-large")
-        n_large = large.select(F.lit(1)).count()
+        n_large, n_rows = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
         leaves = level.join(large.select("path"), "path", "left_anti") if n_large else level
         part = stage(_compare(leaves, threshold, kind).distinct(), "near-pairs")
         found = part if found is None else found.unionByName(part)
         if not n_large:
             break
         at = level.join(large, "path")
-        if depth < DEPTH:
+        # one level more makes 1 / threshold rows of each; a cluster that no branching splits grows by that
+        if depth < DEPTH or n_rows < before:
+            before = n_rows
             level = _deeper(at.select("path", "id").join(reps, "id"), threshold, kind)
             # a branch lost at one more level is made up for by further trees, over the texts that go deeper
-            more = trees_for(first + depth + 1, threshold, least=trees)
+            more = trees_for(depth + 1, threshold, least=trees)
             if more > trees:
-                level = level.unionByName(_spread(reps.join(at.select("id").distinct(), "id", "left_semi"), range(trees, more), threshold, first + depth + 1, kind))
+                level = level.unionByName(_spread(reps.join(at.select("id").distinct(), "id", "left_semi"), range(trees, more), threshold, depth + 1, kind))
                 trees = more
             level = stage(level, "near-level")
             continue
@@ -279,6 +281,7 @@ def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = T
         at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         path = F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))
         found = found.unionByName(stage(_compare(at.select(path.alias("path"), "id", "n", "small"), threshold, kind).distinct(), "near-blocks"))
+        break
     return found.distinct()
 
 
@@ -289,14 +292,14 @@ def _exact(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, words: i
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                packed = [np.unique(shingles(x, words).astype(np.uint32)).tobytes() for x in part.column(1).to_pylist()]
+                packed = [shingles(x, words).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["id", "bag"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows)
             for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate([u, v])
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
