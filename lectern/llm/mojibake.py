@@ -10,8 +10,9 @@ the other pages of its host. The emission is a unigram model of code points by
 script group, taken from the whole corpus and corrected in every round by what
 the posterior moves from the garbled to the restored form.
 
-A replacement character is a loss that no chain undoes: such a stretch is found
-with the chain ``lost``, without a repair.
+A replacement character is a loss that no chain undoes. It is evidence like any
+other: the chain ``lost`` explains it, clean text has to pay for it, and where
+the loss is the likelier cause the stretch is found, without a repair.
 
 Defined results: null, empty and pure ASCII texts are never found. A null source
 is a source of its own.
@@ -45,6 +46,8 @@ PULL = 100.0
 #: Nats for a stretch in another script group than the rest of its row.
 AWAY = 12.0
 NO_CHAIN = "none"
+#: What was lost, as a cause beside the chains.
+LOSS = "lost"
 #: Clean stretches a row counts for, beside its candidates.
 CLEAN = 20.0
 #: Not an encoding: letters put in for ones that look alike (problem 7). It competes with the chains.
@@ -107,8 +110,8 @@ NO_TEXT = re.compile(r"[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f" + chr(0xE000) + "-" + c
 WIDE_RUN = re.compile("[^\x00-\x7f]+")
 EAST = re.compile("[" + chr(0x2E80) + "-" + chr(0xD7AF) + chr(0xE000) + "-" + chr(0xFFFD) + "]")
 EAST_RUN = "[" + chr(0x2E80) + "-" + chr(0xD7AF) + chr(0xF900) + "-" + chr(0xFFEF) + "]"
-#: Nats below the plain reading from which no prior lifts a chain above it.
-HOPELESS = -3.0
+#: Nats below the plain reading that a prior does not make up for: a source would need some CLEAN x e^6 = 8000 garbled stretches a row.
+HOPELESS = -6.0
 
 
 def _to_bytes(text: str, codec: str) -> bytes | None:
@@ -179,7 +182,7 @@ def candidates(text: str) -> list[tuple[int, int, list[tuple[str, str]]]]:
         if known is None:
             known = _wide_candidates(run) if EAST.search(run) else []
             if LOST in run:
-                known = [("lost", LOST)]
+                known = [(LOSS, LOST)]
                 for part in re.finditer(f"[^{LOST}]{{4,}}", run):
                     known += [(c, run[: part.start()] + t + run[part.end() :]) for c, t in _wide_candidates(part.group())]
             if len(run) <= 24:
@@ -267,7 +270,7 @@ def _compete(text: str, found: list, group: int, score) -> list[tuple[int, int,
         base = score(seen, group) + HOPELESS
         worth, top = [], -math.inf
         for c, t in chains:
-            if c == "lost":
+            if c == LOSS:
                 worth.append((c, t, 0.0))
                 top = max(top, 0.0)
             elif t:
@@ -318,7 +321,12 @@ def extract(df: DataFrame, id_col: str, text_col: str, source, field: str, model
 
 
 def _posterior(islands: DataFrame, by_source: DataFrame | None, share: dict[str, float], model, schema_kind: str) -> DataFrame:
-    """The islands with ``chain``, ``fixed`` and ``p`` of the likeliest chain; chain null where the text stands as it is."""
+    """The islands with the posterior ``ps`` of every cause (``causes``: none, look-alikes and chains), and the likeliest chain.
+
+    ``chain`` and ``fixed`` are null where the text stands as it is; ``p`` is
+    the posterior of all chains together where a chain is likeliest, and of
+    none where it is not.
+    """
     cols = ["id_", "field_", "source_", "group_", "start_", "end_", "seen", "chains", "texts", "fits"]
     rows = islands.select(*cols)
     if by_source is None:
@@ -330,35 +338,49 @@ def _posterior(islands: DataFrame, by_source: DataFrame | None, share: dict[str,
         lm: CharModel = model.value
         for batch in batches:
             group, seen, chains, texts, fits, by_chain = (batch.column(i).to_pylist() for i in (3, 6, 7, 8, 9, 10))
-            out_c, out_f, out_p, out_l = [], [], [], []
+            out_c, out_f, out_p, out_l, causes, ps, fixed = [], [], [], [], [], [], []
             for g, s, cs, ts, fs, pr in zip(group, seen, chains, texts, fits, by_chain):
                 pr = dict(pr) if pr else {}
                 prior = (lambda c: _log_odds(c, pr, share)) if share else (lambda c: PRIOR)
                 base = lm.score(s, g)
-                best, second = (None, None, 0.0), -math.inf
-                scores = [0.0]
+                names, repairs, scores = [NO_CHAIN], [None], [0.0]
                 for c, t, fit in zip(cs, ts, fs):
-                    if c == "lost":
-                        continue
-                    v = lm.score(t, g) - base + fit + prior(c)
-                    scores.append(v)
-                    if v > best[2]:
-                        best = (c, t, v)
+                    names.append(c)
+                    repairs.append(None if c == LOSS else t)
+                    # a loss explains its characters, whatever stood there; the rest of the stretch it leaves as it is
+                    rest = s.replace(LOST, "")
+                    scores.append((lm.score(rest, g) if c == LOSS and rest else 0.0 if c == LOSS else lm.score(t, g)) - base + fit + prior(c))
                 top = max(scores)
-                p = math.exp(best[2] - top) / sum(math.exp(x - top) for x in scores)
-                lost = LOST in s
-                out_l.append(lost)
-                out_c.append(best[0] or ("lost" if lost else None))
-                out_f.append(best[1])
-                out_p.append(1.0 if lost else p if best[0] else 1 - p)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(7)), pa.array(out_c, pa.string()), pa.array(out_f, pa.string()), pa.array(out_p, pa.float64()), pa.array(out_l, pa.bool_())], names=[*cols[:7], "chain", "fixed", "p", "lossy"])
+                weight = [math.exp(x - top) for x in scores]
+                total = sum(weight)
+                p = [w / total for w in weight]
+                real = [k for k, c in enumerate(names) if c not in (NO_CHAIN, LOOKS)]
+                wrong = sum(p[k] for k in real)
+                # which chain it was: one that restores something, if any of them is as likely as the plain reading
+                best = max(real, key=lambda k: (p[k], -k)) if wrong > 0.5 else None
+                if best is not None and names[best] == LOSS:
+                    whole = [k for k in real if names[k] != LOSS and scores[k] > 0]
+                    best = max(whole, key=lambda k: p[k]) if whole else best
+                out_l.append(LOST in s)
+                out_c.append(names[best] if best is not None else None)
+                out_f.append(repairs[best] if best is not None else None)
+                out_p.append(wrong if best is not None else p[0])
+                causes.append(names)
+                ps.append(p)
+                fixed.append(repairs)
+            strings = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(7)), pa.array(out_c, pa.string()), pa.array(out_f, pa.string()), pa.array(out_p, pa.float64()), pa.array(out_l, pa.bool_()), pa.array(causes, strings), pa.array(ps, pa.list_(pa.float64())), pa.array(fixed, strings)],
+                names=[*cols[:7], "chain", "fixed", "p", "lossy", "causes", "ps", "repairs"],
+            )
 
-    return rows.mapInArrow(run, f"id_ {schema_kind}, field_ string, source_ string, group_ int, start_ int, end_ int, seen string, chain string, fixed string, p double, lossy boolean")
+    return rows.mapInArrow(run, f"id_ {schema_kind}, field_ string, source_ string, group_ int, start_ int, end_ int, seen string, chain string, fixed string, p double, lossy boolean, causes array<string>, ps array<double>, repairs array<string>")
 
 
 def _chain_counts(scored: DataFrame, clean: DataFrame) -> DataFrame:
-    """What the posterior expects of each chain, by source and field: ``by_chain``, a map of a few chains."""
-    by = scored.groupBy("source_", "field_", F.coalesce("chain", F.lit(NO_CHAIN)).alias("chain")).agg(F.sum("p").alias("n"))
+    """What the posterior expects of each cause, by source and field: ``by_chain``, a map of a few chains and none."""
+    each = F.explode(F.arrays_zip(F.col("causes").alias("chain"), F.col("ps").alias("n"))).alias("x")
+    by = scored.select("source_", "field_", each).groupBy("source_", "field_", F.col("x.chain").alias("chain")).agg(F.sum("x.n").alias("n"))
     by = by.unionByName(clean).groupBy("source_", "field_", "chain").agg(F.sum("n").alias("n"))
     return by.groupBy("source_", "field_").agg(F.map_from_entries(F.collect_list(F.struct("chain", "n"))).alias("by_chain"))
 
@@ -413,25 +435,27 @@ def infer(df: DataFrame, fields: tuple[str, ...] = ("text",), id_col: str = "pol
         share = _corpus_share(by_source)
         for r in _moved(scored).toLocalIterator():
             counts[r.group_][r.c] += r.n
-    found = scored.where(F.col("chain").isNotNull() & (F.col("chain") != LOOKS) & (F.col("p") > 0.5))
+    found = scored.where(F.col("chain").isNotNull() & (F.col("p") > 0.5))
     return found.select(F.col("id_").alias(id_col), F.col("field_").alias("field"), F.col("start_").alias("start"), F.col("end_").alias("end"), "seen", "chain", "fixed", "p", "lossy")
 
 
 def _moved(scored: DataFrame) -> DataFrame:
-    """What the posterior moves: characters restored count, garbled ones no longer do. Bounded by the code points."""
+    """What the posterior moves: characters restored count by its weight, garbled ones no longer do by as much. Bounded by the code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total: dict[tuple[int, str], float] = {}
         for batch in batches:
-            for g, seen, chain, fixed in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if chain:
-                    for c, n in Counter(seen).items():
-                        total[g, c] -= n
-                    for c, n in Counter(fixed or "").items():
-                        total[g, c] += n
-        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in total], pa.int32()), pa.array([c for _, c in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["group_", "c", "n"])
-
-    return scored.where("p > 0.5").select("group_", "seen", "chain", "fixed").mapInArrow(run, "group_ int, c string, n bigint").groupBy("group_", "c").agg(F.sum("n").alias("n")).where("c is not null and c <> ''")
+            for g, seen, ps, repairs, causes in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for p, text, cause in zip(ps, repairs, causes):
+                    if cause != NO_CHAIN and p > 1e-6:
+                        for c in seen:
+                            if cause != LOSS or c == LOST:
+                                total[g, c] = total.get((g, c), 0.0) - p
+                        for c in text or "":
+                            total[g, c] = total.get((g, c), 0.0) + p
+        yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in total], pa.int32()), pa.array([c for _, c in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["group_", "c", "n"])
+
+    return scored.select("group_", "seen", "ps", "repairs", "causes").mapInArrow(run, "group_ int, c string, n double").groupBy("group_", "c").agg(F.sum("n").alias("n")).where("c is not null and c <> ''")
 
 
 def repair(df: DataFrame, found: DataFrame, id_col: str = "policy_doc_id", text_col: str = "text") -> DataFrame:

@@ -265,7 +265,7 @@ def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = T
             break
         at = level.join(large, "path")
         # one level more makes 1 / threshold rows of each; a cluster that no branching splits grows by that
-        if depth < DEPTH or n_rows < before:
+        if depth < DEPTH or before is not None and n_rows < before:
             before = n_rows
             level = _deeper(at.select("path", "id").join(reps, "id"), threshold, kind)
             # a branch lost at one more level is made up for by further trees, over the texts that go deeper
