@@ -30,7 +30,12 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-LANGS = ("en", "de", "fr", "es", "pt", "zh", "ja", "ko")
+#: The language of text in none of the label table's.
+OTHER = "other"
+#: Nats a character by which no language at all has to explain a text better than the best one.
+FOREIGN = 0.5
+#: The least prior share of a language in a segment.
+FLOOR = 1e-3
 BITS = 17
 SIZE = 1 << BITS
 #: The bound of the sample the n-gram models are fitted on.
@@ -42,7 +47,7 @@ BLOCK = 500_000
 LEAST, SHARE = 4, 6e-4
 ITEM = re.compile(r"\s*(?:#{1,6}\s|[-*•–·›»]\s|\d+(?:\.\d+)*[.)]\s|\d+ \||Q:\s)")
 ENDS = re.compile(r"[.!?。！？…][”’»\"')\]」』]*\s*$")
-QUOTED = re.compile("“[^”]{0,400}”|„[^“]{0,400}“|«[^»]{0,400}»|「[^」]{0,300}」|『[^』]{0,300}』|‘[^’\n]{0,200}’")
+QUOTED = re.compile("“[^”]*”|„[^“]*“|«[^»]*»|「[^」]*」|『[^』]*』|‘[^’\n]{0,200}’")
 SENTENCE = re.compile(r"(?<=[.!?。！？])[ \t\r]*")
 
 
@@ -87,9 +92,9 @@ def notices(df: DataFrame, text_col: str, least: int = LEAST, share: float = SHA
     return everywhere, rows.where("known_").join(within, ["host_", "line"]).groupBy("id_").agg(F.collect_set("line").alias("own_"))
 
 
-def segments(text: str, wrapped: bool, skip: Sentences) -> tuple[list[tuple[int, str]], bool]:
-    """The running-text paragraphs as (number of paragraph, text); all other lines, and False, where there are none."""
-    out, rest = [], []
+def segments(text: str, wrapped: bool, skip: Sentences) -> list[tuple[int, str, bool]]:
+    """All units of the paragraphs as (number of paragraph, text, whether it is running text of the body)."""
+    out = []
     para, blank = -1, True
     parts: dict[int, list[str]] = {}
     for line in text.split("\n"):
@@ -106,16 +111,17 @@ def segments(text: str, wrapped: bool, skip: Sentences) -> tuple[list[tuple[int,
         else:
             units = lines
         for s in units:
-            if ENDS.search(s) and not ITEM.match(s):
+            running = bool(ENDS.search(s)) and not ITEM.match(s)
+            if running:
                 own = [x for x in SENTENCE.split(s) if x and x not in skip and "©" not in x]
                 if not own:
+                    # a notice: a segment, but no part of the body
+                    out.append((no, s, None))
                     continue
                 s = " ".join(own)
-            if ENDS.search(s) and not ITEM.match(s) and (len(s) >= 60 or not s.isascii() and len(s) >= 18):
-                out.append((no, s))
-            else:
-                rest.append((no, s))
-    return (out, True) if out else (rest, False)
+                running = bool(ENDS.search(s)) and (len(s) >= 60 or not s.isascii() and len(s) >= 18)
+            out.append((no, s, running))
+    return out
 
 
 def _codes(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,17 +144,18 @@ def _grams(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class NGrams:
-    """Log probabilities of hashed n-grams by language, against their mean."""
+    """Log probabilities of hashed n-grams by language, against their mean; the last column is no language, in which all are equally likely."""
 
     def __init__(self, three: np.ndarray, one: np.ndarray):
-        self.tables = []
+        self.tables, self.n = [], len(three)
         for counts in (three, one):
             p = np.log((counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * 4096))
-            self.tables.append(np.ascontiguousarray((p - p.mean(axis=0)).T.astype(np.float32)))
+            p = np.concatenate([p, np.full((1, SIZE), -np.log(SIZE if counts is three else 4096))])
+            self.tables.append(np.ascontiguousarray((p - p[:-1].mean(axis=0)).T.astype(np.float32)) if self.n else np.zeros((SIZE, 1), dtype=np.float32))
 
     def score(self, units: list[str]) -> np.ndarray:
         """Log likelihood of each unit by language."""
-        out = np.zeros((len(units), len(LANGS)))
+        out = np.zeros((len(units), self.n + 1))
         block, owner, size = [], [], 0
 
         def flush() -> None:
@@ -173,10 +180,18 @@ class NGrams:
         return out
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, declared_col: str, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> NGrams:
+def spellings(labels: DataFrame) -> tuple[dict[str, str], list[str]]:
+    """The language each spelling stands for, and the languages; a table of a few names."""
+    lang_of = {r.spelling: r.lang for r in labels.where("spelling is not null and lang is not null").select("spelling", "lang").collect()}
+    return lang_of, sorted(set(lang_of.values()))
+
+
+def fit(df: DataFrame, lang_of: dict[str, str], langs: list[str], id_col: str, text_col: str, declared_col: str, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> NGrams:
     """The n-gram models, from at most about ``sample_rows`` rows with a known label."""
     spark = df.sparkSession
-    lang_of = {r.spelling: r.lang for r in labels.select("spelling", "lang").collect()}
+    place = {x: k for k, x in enumerate(langs)}
+    if not langs:
+        return NGrams(np.zeros((0, SIZE)), np.zeros((0, SIZE)))
     labelled = df.where(F.col(declared_col).isin(list(lang_of))).select(id_col, text_col, declared_col)
     n = labelled.select(F.lit(1)).count()
     if n > sample_rows:
@@ -188,7 +203,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, declared_c
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, lang_of = sent.value
-            counts = np.zeros((2, len(LANGS), SIZE))
+            counts = np.zeros((2, len(langs), SIZE))
             for batch in batches:
                 texts, declared = batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 units, label = [], []
@@ -196,10 +211,10 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, declared_c
                     for line in text.split("\n"):
                         if len(line) > 20:
                             units.append(line)
-                            label.append(LANGS.index(lang_of[spelling]))
+                            label.append(place[lang_of[spelling]])
                 label = np.array(label, dtype=int)
                 if model is not None and len(units):
-                    s = model.score(units)
+                    s = model.score(units)[:, : len(langs)]
                     # the label is one more witness
                     s[np.arange(len(units)), label] += 5.0
                     label = s.argmax(axis=1)
@@ -212,7 +227,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, declared_c
             j, k, h = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(j), pa.array(k), pa.array(h), pa.array(counts[j, k, h])], names=["j", "k", "h", "n"])
 
-        counts = np.zeros((2, len(LANGS), SIZE))
+        counts = np.zeros((2, len(langs), SIZE))
         for batch in labelled.mapInArrow(run, "j bigint, k bigint, h bigint, n double").groupBy("j", "k", "h").agg(F.sum("n").alias("n")).toArrow().to_batches():
             j, k, h, n = (batch.column(i).to_numpy() for i in range(4))
             counts[j, k, h] = n
@@ -221,8 +236,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, declared_c
 
 
 def mixture(scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The share of each language in one document, the posterior of each segment, and the languages chosen."""
-    x = scores
+    """The share of each language in one document, the posterior of each segment, and the languages chosen.
+
+    The last column of the scores is no language at all; it stands only where it
+    is better by FOREIGN nats a character.
+    """
+    x = scores.copy()
+    x[:, -1] -= FOREIGN * lengths
     # from all languages that are any segment's best, drop the one whose loss costs least, while that is below the penalty
     chosen = sorted(set(x.argmax(axis=1).tolist()))
     best = x[:, chosen].max(axis=1).sum()
@@ -237,11 +257,7 @@ def mixture(scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     share[chosen] = 1 / len(chosen)
     w = lengths / lengths.sum()
     for _ in range(20):
-        with np.errstate(divide="ignore"):
-            s = x + np.log(share)
-        s -= s.max(axis=1, keepdims=True)
-        r = np.exp(s)
-        r /= r.sum(axis=1, keepdims=True)
+        r = _responsible(x, share)
         new = w @ r
         if np.abs(new - share).max() < 1e-4:
             share = new
@@ -250,6 +266,12 @@ def mixture(scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
     return share, r, chosen
 
 
+def _responsible(x: np.ndarray, share: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        s = x + np.log(share)
+    s -= s.max(axis=1, keepdims=True)
+    r = np.exp(s)
+    return r / r.sum(axis=1, keepdims=True)
 
 
 def detect(df: DataFrame, labels: DataFrame, id_col: str = "policy_doc_id", text_col: str = "text", declared_col: str = "language_declared", wrapped_col: str | None = "extension", by_segment: bool = False, url_col: str = "url") -> DataFrame:
@@ -258,11 +280,14 @@ def detect(df: DataFrame, labels: DataFrame, id_col: str = "policy_doc_id", text
     Columns: the id, ``lang``, ``share`` of the body, ``confidence``,
     ``n_paras`` (whole running-text paragraphs), ``main``, ``declared`` (the
     language the label stands for, null if none). With ``by_segment`` a row is
-    a segment: the id, ``para_no``, ``lang`` and ``confidence``.
+    a run of lines of one paragraph in one language: the id, ``para_no``,
+    ``segment_no`` within the paragraph, ``lang`` and ``confidence``; every
+    paragraph has one at least.
     """
-    model = fit(df, labels, id_col, text_col, declared_col)
-    lang_of = {r.spelling: r.lang for r in labels.select("spelling", "lang").collect()}
+    lang_of, langs = spellings(labels)
+    model = fit(df, lang_of, langs, id_col, text_col, declared_col)
     everywhere, own = notices(df, text_col, id_col=id_col, url_col=url_col if url_col in df.columns else None)
+    names = [*langs, OTHER]
     sent = df.sparkSession.sparkContext.broadcast((model, everywhere, lang_of))
     kind = df.schema[id_col].dataType.simpleString()
     wrapped = F.lower(F.col(wrapped_col)) == "pdf" if wrapped_col else F.lit(False)
@@ -270,57 +295,75 @@ def detect(df: DataFrame, labels: DataFrame, id_col: str = "policy_doc_id", text
     rows = rows.join(own.withColumnRenamed("id_", id_col), id_col, "left") if own is not None else rows.withColumn("own_", F.lit(None).cast("array<bigint>"))
 
     def judge(batch: pa.RecordBatch):
+        """By row: its place, declared language, whether it has running text, its units, their scores, and its mixture."""
         model, skip, lang_of = sent.value
         texts, declared, wrapped, further = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
-        units, owner, running = [], [], []
+        units, owner = [], []
         for k, text in enumerate(texts):
-            found, whole = segments(text, wrapped[k], Sentences(skip.union(further[k]) if further[k] else skip))
+            found = segments(text, wrapped[k], Sentences(skip.union(further[k]) if further[k] else skip))
+            whole = any(running for *_, running in found)
             if not found and text.strip():
-                found, whole = [(0, text)], False
-            for no, s in found:
-                units.append(s)
-                owner.append((k, no))
-                running.append(whole)
+                found = [(0, text, False)]
+            # what the document is judged by; the rest only where every segment is asked for
+            judged = [running is whole for *_, running in found]
+            if not any(judged):
+                judged = [True] * len(found)
+            for (no, s, _), own in zip(found, judged):
+                if own or by_segment:
+                    units.append(s)
+                    owner.append((k, no, own, whole))
         scores = model.score(units).astype(float)
         lengths = np.array([len(u) for u in units], dtype=float)
         first = 0
         for last in range(1, len(units) + 1):
             if last == len(units) or owner[last][0] != owner[first][0]:
-                k = owner[first][0]
-                share, r, chosen = mixture(scores[first:last], lengths[first:last])
-                yield k, lang_of.get(declared[k]), running[first], [no for _, no in owner[first:last]], scores[first:last], lengths[first:last], share, r, chosen
+                k, _, _, whole = owner[first]
+                at = np.flatnonzero([own for _, _, own, _ in owner[first:last]]) + first
+                yield k, lang_of.get(declared[k]), whole, [no for _, no, _, _ in owner[first:last]], scores[first:last], lengths[first:last], at - first, mixture(scores[at], lengths[at])
                 first = last
 
     if by_segment:
 
         def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                row, para, lang, conf = [], [], [], []
-                for k, _, _, nos, _, _, _, r, _ in judge(batch):
-                    best = r.argmax(axis=1)
-                    row += [k] * len(nos)
-                    para += nos
-                    lang += [LANGS[b] for b in best]
-                    conf += r[np.arange(len(nos)), best].tolist()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(para, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], names=["id_", "para_no", "lang", "confidence"])
-
-        return rows.mapInArrow(segment_rows, f"id_ {kind}, para_no int, lang string, confidence double").withColumnRenamed("id_", id_col)
+                row, para, seg, lang, conf = [], [], [], [], []
+                for k, _, _, nos, x, lengths, _, (share, _, _) in judge(batch):
+                    x = x.copy()
+                    x[:, -1] -= FOREIGN * lengths
+                    best = _responsible(x, np.maximum(share, FLOOR)).argmax(axis=1)
+                    at = 0
+                    for end in range(1, len(nos) + 1):
+                        if end == len(nos) or nos[end] != nos[at] or best[end] != best[at]:
+                            r = _responsible(x[at:end].sum(axis=0, keepdims=True), np.maximum(share, FLOOR))[0]
+                            seg.append(seg[-1] + 1 if row and row[-1] == k and para[-1] == nos[at] else 0)
+                            row.append(k)
+                            para.append(nos[at])
+                            lang.append(names[best[at]])
+                            conf.append(float(r[best[at]]))
+                            at = end
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(para, pa.int32()), pa.array(seg, pa.int32()), pa.array(lang, pa.string()), pa.array(conf, pa.float64())], names=["id_", "para_no", "segment_no", "lang", "confidence"])
+
+        return rows.mapInArrow(segment_rows, f"id_ {kind}, para_no int, segment_no int, lang string, confidence double").withColumnRenamed("id_", id_col)
 
     def document_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, cols = [], [[] for _ in range(6)]
-            for k, declared, whole, nos, scores, lengths, share, r, chosen in judge(batch):
+            for k, declared, whole, _, scores, lengths, at, (share, r, chosen) in judge(batch):
+                scores, lengths = scores[at], lengths[at]
                 best = r.argmax(axis=1)
                 top = int(share.argmax())
-                second = np.partition(scores, -2, axis=1)[:, -2]
-                margin = (scores.max(axis=1) - second) / np.maximum(lengths, 1)
+                if len(langs) > 1:
+                    known = scores[:, :-1]
+                    margin = (known.max(axis=1) - np.partition(known, -2, axis=1)[:, -2]) / np.maximum(lengths, 1)
+                else:
+                    margin = np.full(len(lengths), np.inf)
                 for l in sorted(chosen, key=lambda l: -share[l]):
                     own = best == l
                     n = int(own.sum()) if whole else 0
-                    if l != top and not (n and _is_whole(margin[own], lengths[own])):
+                    if l != top and not (n and (l == len(langs) or _is_whole(margin[own], lengths[own]))):
                         continue
                     row.append(k)
-                    for col, x in zip(cols, (LANGS[l], float(share[l]), float(r[own, l].mean()) if own.any() else 0.0, n, l == top, declared)):
+                    for col, x in zip(cols, (names[l], float(share[l]), float(r[own, l].mean()) if own.any() else 0.0, n, l == top, declared)):
                         col.append(x)
             types = (pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.bool_(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id_", "lang", "share", "confidence", "n_paras", "main", "declared"])
@@ -334,7 +377,8 @@ def _is_whole(margin: np.ndarray, lengths: np.ndarray) -> bool:
 
 
 def mislabelled(detected: DataFrame, id_col: str = "policy_doc_id") -> DataFrame:
-    """The rows whose label is missing or wrong, or that hold several languages: the id and ``lang``."""
-    main = F.max(F.when(F.col("main"), F.col("lang")))
+    """The rows whose label is missing or wrong, or that hold several languages: the id and ``lang``. Text in no known language has none to give."""
+    detected = detected.where(F.col("lang") != OTHER)
+    main = F.max_by("lang", F.struct("main", "share"))
     cases = detected.groupBy(id_col).agg(main.alias("main_"), F.max("declared").alias("declared_"), F.collect_set("lang").alias("langs_"))
     return cases.where("declared_ is null or declared_ <> main_ or size(langs_) > 1").select(id_col, F.explode("langs_").alias("lang"))

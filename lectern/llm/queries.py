@@ -53,8 +53,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Texts and titles restored, a row a field."""
     docs = table(spark, d, "policy_documents")
-    return mojibake.repair(docs, mojibake.infer(docs))
+    found = mojibake.infer(docs, fields=("text", "title"))
+    each = [mojibake.repair(docs, found, text_col=c).withColumn("field", F.lit(c)) for c in ("text", "title")]
+    return each[0].unionByName(each[1])
 
 
 def _languages(spark: SparkSession, d: str, **how) -> DataFrame:
@@ -74,14 +77,14 @@ def p4_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_codings(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of coded_chunks against the language of the document the passage comes from."""
+    """Labels of coded_chunks against the language of the document the passage comes from; passages of no known document have no language."""
     spelled = table(spark, d, "language_labels").select(F.col("spelling").alias("language_declared"), F.col("lang").alias("declared"))
     docs = table(spark, d, "policy_documents").select("policy_doc_id", F.concat_ws("_", F.coalesce("institution_id", F.lit("")), F.substring(F.coalesce("sha256", F.lit("")), 1, 8)).alias("prefix"))
     # copies of a page share the prefix; the most certain of them speaks for all
     main = _languages(spark, d).where("main").join(docs, "policy_doc_id").groupBy("prefix").agg(F.max_by("lang", F.struct("confidence", "share", "policy_doc_id")).alias("lang"), F.max("confidence").alias("confidence"))
     chunks = table(spark, d, "coded_chunks").groupBy("chunk_id", "language_declared").agg(F.count(F.lit(1)).alias("n_codings"))
-    chunks = chunks.withColumn("prefix", F.regexp_replace("chunk_id", "_[0-9]+$", "")).join(spelled, "language_declared", "left").join(main, "prefix")
-    return chunks.where("declared is null or declared <> lang").select("chunk_id", "language_declared", "lang", "confidence", "n_codings")
+    chunks = chunks.withColumn("prefix", F.regexp_replace("chunk_id", "_[0-9]+$", "")).join(spelled, "language_declared", "left").join(main, "prefix", "left")
+    return chunks.where("declared is null or lang is null or declared <> lang").select("chunk_id", "language_declared", "lang", "confidence", "n_codings")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

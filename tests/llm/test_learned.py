@@ -15,14 +15,17 @@ SENTENCES = {
 }
 
 
+LANGS = tuple(SENTENCES)
+
+
 def labels(spark):
-    return spark.createDataFrame([(x, x) for x in langid.LANGS] + [("English", "en")], "spelling string, lang string")
+    return spark.createDataFrame([(x, x) for x in LANGS] + [("English", "en")], "spelling string, lang string")
 
 
 def documents(spark):
     rows = []
     for k in range(160):
-        lang = langid.LANGS[k % 8]
+        lang = LANGS[k % 8]
         a, b = SENTENCES[lang]
         rows.append((k, f"w{k} {a} w{k} {b} w{k} {a}\n\nw{k} {b} w{k} {a} w{k} {b}", lang, "html", 1))
     en, de = SENTENCES["en"], SENTENCES["de"]
@@ -36,7 +39,7 @@ def documents(spark):
 def test_languages(spark):
     detected = langid.detect(documents(spark), labels(spark)).cache()
     main = {r.policy_doc_id: r.lang for r in detected.where("main").collect()}
-    assert all(main[k] == langid.LANGS[k % 8] for k in range(160)) and 1004 not in main and 1005 not in main
+    assert all(main[k] == LANGS[k % 8] for k in range(160)) and 1004 not in main and 1005 not in main
     found = {(r.policy_doc_id, r.lang) for r in langid.mislabelled(detected).collect()}
     assert found == {(1000, "en"), (1001, "en"), (1001, "de"), (1002, "de"), (1006, "en")}
     parts = langid.detect(documents(spark), labels(spark), by_segment=True).where("policy_doc_id = 1001").collect()
@@ -44,6 +47,24 @@ def test_languages(spark):
     assert langid.detect(documents(spark).limit(0), labels(spark)).count() == 0
 
 
+def test_other_languages_and_every_segment(spark):
+    known = documents(spark)
+    ninth = "Studenter skal dokumentere oppgavene sine før hver innlevering på delte områder."
+    rows = [(2000 + k, f"w{k} {ninth} w{k} {ninth}\n\n{ninth} w{k}", "no", "html", 1) for k in range(20)]
+    rows += [(3000, "Студенты документируют задания перед каждой сдачей в общих хранилищах факультета.\n\n" * 2, None, "html", 1)]
+    rows += [(3001, f"# Überschrift der Seite\n\n- {SENTENCES['de'][0]}\n- {SENTENCES['de'][1]}\n- {SENTENCES['ko'][0]}\n\nScope\n\n{SENTENCES['de'][0]} {SENTENCES['de'][1]}", "de", "html", 1)]
+    df = known.union(spark.createDataFrame(rows, known.schema))
+    table = labels(spark).union(spark.createDataFrame([("no", "no"), ("norsk", None), (None, "xx")], "spelling string, lang string"))
+    main = {r.policy_doc_id: r.lang for r in langid.detect(df, table).where("main").collect()}
+    assert all(main[2000 + k] == "no" for k in range(20)) and main[3000] == langid.OTHER and main[3001] == "de" and all(main[k] == LANGS[k % 8] for k in range(160))
+    found = {r.policy_doc_id for r in langid.mislabelled(langid.detect(df, table)).collect()}
+    assert 3000 not in found and not any(2000 + k in found for k in range(20))
+    parts = [(r.para_no, r.segment_no, r.lang) for r in langid.detect(df, table, by_segment=True).where("policy_doc_id = 3001").orderBy("para_no", "segment_no").collect()]
+    assert {p for p, *_ in parts} == {0, 1, 2, 3} and (1, 0, "de") in parts and (1, 1, "ko") in parts
+    none = langid.detect(df, table.limit(0)).collect()
+    assert none and {r.lang for r in none} == {langid.OTHER}
+
+
 def test_notices_in_long_lines_and_of_one_host(spark):
     word = lambda n: "".join("abcdefghij"[int(c)] for c in str(n))
     notice = "The office answers all questions of this kind."
