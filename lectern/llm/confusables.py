@@ -2,17 +2,19 @@
 
 Method: confusables skeleton. A word is decomposed, every character is replaced
 by the prototype of its look-alikes (full-width, mathematical and other
-compatibility forms by their decomposition, Greek and Cyrillic look-alikes by
-table), characters that cannot be seen are dropped, and the result is
-decomposed again. Originals with the same skeleton are one word; its ordinary
-form is what they are brought to.
+compatibility forms by their decomposition, look-alikes of other scripts and
+signs by table and by name), characters that cannot be seen are dropped, and
+the result is decomposed again. Originals of the corpus with the same skeleton
+are one word. Its ordinary form is the commonest of those its members come to
+in their own script, counted over all texts; every member in another form than
+an ordinary one of its script is a variant of it.
 
 A form is ordinary if it is composed, has no compatibility form of a letter,
-digit or space, nothing invisible, and no Greek or Cyrillic look-alike beside
-Latin letters (or Latin beside Greek or Cyrillic). Whole Greek and Cyrillic
-words, single Greek and Cyrillic symbols, East Asian punctuation, typographic
-quotes and dashes, form feeds, ordinals, superscripts and symbols stay.
-Characters inside a stretch read in a wrong encoding are not looked at.
+digit or space, nothing invisible, and no look-alike of another script beside
+Latin letters (or Latin beside that script). Whole Greek, Cyrillic, Armenian,
+Cherokee and Coptic words, single such symbols, East Asian punctuation,
+typographic quotes and dashes, form feeds, ordinals, superscripts and symbols
+stay. Characters inside a stretch read in a wrong encoding are not looked at.
 
 Defined results: null stays null, empty and blank text stays as it is.
 """
@@ -27,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lookalikes import CYRILLIC, GREEK, LATIN, LOOKALIKE
+from ..session import stage
+from .lookalikes import BY_NAME, CYRILLIC, GREEK, LATIN, LOOKALIKE, PROTOTYPE, RANGES
 
 span = lambda a, b: f"{chr(a)}-{chr(b)}"
 #: Characters without a glyph.
@@ -41,16 +44,17 @@ FORMS = (
     + span(0x1F100, 0x1F189) + span(0xF900, 0xFAFF) + span(0x132, 0x133) + span(0x1C4, 0x1CC) + span(0x1F1, 0x1F3) + chr(0x17F) + chr(0x2071) + chr(0x207F) + span(0x2090, 0x209C)
 )
 MARKS = span(0x300, 0x36F) + chr(0x3099) + chr(0x309A) + span(0x1AB0, 0x1AFF) + span(0x1DC0, 0x1DFF)
-GREEK_CYRILLIC = span(0x370, 0x3FF) + span(0x400, 0x52F)
+OTHERS = "".join(span(a, b) for a, b in RANGES)
+DRAWN = "".join({**LATIN, **BY_NAME})
 LATIN_LETTERS = "A-Za-z" + span(0xAA, 0xAA) + span(0xC0, 0xD6) + span(0xD8, 0xF6) + span(0xF8, 0x24F) + span(0x1E00, 0x1EFF)
-SUSPECT = re.compile(f"[{INVISIBLE}{SPACES}{FORMS}{MARKS}{GREEK_CYRILLIC}{''.join(LATIN)}]")
+SUSPECT = re.compile(f"[{INVISIBLE}{SPACES}{FORMS}{MARKS}{OTHERS}{DRAWN}]")
 HARD = re.compile(f"[{FORMS}]")
 MARKED = re.compile(f"[^ \t\r\n\f][{MARKS}]")
 HIDDEN = re.compile(f"[{INVISIBLE}]+")
 SPACE = re.compile(f"[{SPACES}]")
-LETTERS = re.compile(f"[{LATIN_LETTERS}{GREEK_CYRILLIC}{INVISIBLE}{MARKS}{span(0x1D400, 0x1D7FF)}{span(0xFF21, 0xFF3A)}{span(0xFF41, 0xFF5A)}{''.join(LATIN)}]+")
+LETTERS = re.compile(f"[{LATIN_LETTERS}{OTHERS}{INVISIBLE}{MARKS}{span(0x1D400, 0x1D7FF)}{span(0xFF21, 0xFF3A)}{span(0xFF41, 0xFF5A)}{DRAWN}]+")
 HAS_LATIN = re.compile(f"[{LATIN_LETTERS}{span(0x1D400, 0x1D7FF)}{span(0xFF21, 0xFF3A)}{span(0xFF41, 0xFF5A)}]")
-HAS_OTHER = re.compile(f"[{GREEK_CYRILLIC}{''.join(LATIN)}]")
+HAS_OTHER = re.compile(f"[{OTHERS}{DRAWN}]")
 #: A Latin letter read back as the Greek or Cyrillic letter it passes for.
 TO_CYRILLIC = {b: a for a, b in CYRILLIC.items() if a not in LATIN}
 TO_GREEK = {b: a for a, b in GREEK.items() if a not in LATIN}
@@ -64,7 +68,7 @@ def prototype(c: str) -> str:
         return " "
     if HARD.match(c):
         c = unicodedata.normalize("NFKD", c)
-    return "".join(LOOKALIKE.get(x, x) for x in c)
+    return "".join(PROTOTYPE.get(x, x) for x in c)
 
 
 _known: dict[str, str] = {}
@@ -81,18 +85,28 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", "".join(out))
 
 
+def _script(c: str) -> int | None:
+    """The place in RANGES of a letter of another script, none for others."""
+    n = ord(c)
+    return next((k for k, (a, b) in enumerate(RANGES) if a <= n <= b), None)
+
+
 def _ordinary_letters(m: re.Match) -> str:
-    """A run of Latin, Greek and Cyrillic letters in one script, if look-alikes of another stand in it."""
+    """A run of letters of Latin and other scripts in one script, if look-alikes of another stand in it."""
     run = m.group()
     if not HAS_OTHER.search(run):
         return run
-    own = [c for c in run if "Ͱ" <= c <= "ԯ"]
+    own = [c for c in run if _script(c) is not None]
     strange = [c for c in own if c not in LOOKALIKE]
     if not HAS_LATIN.search(run):
-        return "".join(LATIN.get(c, c) for c in run)
+        scripts = {_script(c) for c in own}
+        if len(scripts) > 1 and not strange:
+            # look-alikes of several scripts, and no letter that only one of them has: a Latin word
+            return "".join(LOOKALIKE.get(c, c) for c in run)
+        return "".join(LATIN.get(c, BY_NAME.get(c, c)) for c in run) if own or len(run) > 1 else run
     if strange and len(own) > len(run) - len(own):
         # a Greek or Cyrillic word with a Latin letter or two in it
-        table = TO_GREEK if sum("Ͱ" <= c <= "Ͽ" for c in own) * 2 > len(own) else TO_CYRILLIC
+        table = TO_GREEK if sum(_script(c) == 0 for c in own) * 2 > len(own) else TO_CYRILLIC
         return "".join(table.get(c, c) for c in run)
     return "".join(LOOKALIKE.get(c, c) for c in run)
 
@@ -122,22 +136,29 @@ def _masked(text: str) -> str:
 EDGE = re.compile(f"(?:^|(?<=�))[{INVISIBLE}{SPACES}{MARKS}]+|[{INVISIBLE}{SPACES}{MARKS}]+(?=�)")
 
 
-def variants(text: str) -> list[tuple[str, str]]:
-    """The words of a text in another form than the ordinary one, with that one."""
+def suspects(text: str) -> list[tuple[str, str]]:
+    """The words of a text that hold a character with look-alikes, and what each comes to in its own script."""
     if text.isascii() or not SUSPECT.search(text):
         return []
-    clean = EDGE.sub("", _masked(text)) if "�" not in text else EDGE.sub("", _masked(text))
+    clean = EDGE.sub("", _masked(text))
     out = []
     # words as they were, and the spaces between them
     for word in re.split("[ \t\r\n\f]+", clean):
         if SUSPECT.search(word):
             plain = ordinary(word)
-            if plain != word and (word.strip("".join(_blank)) or len(word) == 0):
+            if plain == word or word.strip("".join(_blank)) or len(word) == 0:
                 out.append((word, plain))
     return out
 
 
+def variants(text: str) -> list[tuple[str, str]]:
+    """The words of one text in another form than the ordinary one of their script, with that one; without the corpus."""
+    return [(word, plain) for word, plain in suspects(text) if word != plain]
+
+
 _blank = [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x2010), 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF, 0xAD)]
+#: Words to look for are broadcast up to so many, and joined beyond.
+BROADCAST_WORDS = 200_000
 
 
 def word_variants(df: DataFrame, id_col: str = "policy_doc_id", text_col: str = "text") -> DataFrame:
@@ -152,16 +173,25 @@ def word_variants(df: DataFrame, id_col: str = "policy_doc_id", text_col: str =
         for batch in batches:
             row, form, bone, plain = [], [], [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
-                for word, better in variants(text):
+                for word, better in suspects(text):
                     a, b = skeleton(word), skeleton(better)
-                    if a == b:  # one word by the method: originals with equal skeleton
+                    if a == b:
                         row.append(k)
                         form.append(word)
                         bone.append(a)
                         plain.append(better)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(form, pa.string()), pa.array(bone, pa.string()), pa.array(plain, pa.string())], names=[id_col, "form", "skeleton", "ordinary"])
-
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, form string, skeleton string, ordinary string")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(form, pa.string()), pa.array(bone, pa.string()), pa.array(plain, pa.string())], names=["id_", "form", "skeleton", "plain"])
+
+    words = stage(rows.mapInArrow(run, f"id_ {kind}, form string, skeleton string, plain string"), "look-words")
+    # groups of equal skeleton with a variant in them; how common each candidate is, over all texts
+    wanted = stage(words.where("form <> plain").select("skeleton", "plain").distinct(), "look-candidates")
+    few = wanted.select(F.lit(1)).limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    each = df.where(F.col(text_col).isNotNull()).select(F.explode(F.split(text_col, "[ \t\r\n\f]+")).alias("plain")).where("plain <> ''")
+    plain = wanted.select("plain").distinct()
+    seen = each.join(F.broadcast(plain) if few else plain, "plain", "left_semi").groupBy("plain").agg(F.count(F.lit(1)).alias("n"))
+    ranked = wanted.join(seen, "plain", "left").groupBy("skeleton").agg(F.max_by("plain", F.struct(F.coalesce("n", F.lit(0)), -F.length("plain"), "plain")).alias("ordinary"))
+    found = words.where("form <> plain").join(F.broadcast(ranked) if few else ranked, "skeleton").where("form <> ordinary")
+    return found.select(F.col("id_").alias(id_col), "form", "skeleton", "ordinary")
 
 
 def skeleton_groups(variants_: DataFrame, id_col: str = "policy_doc_id") -> DataFrame:

@@ -67,3 +67,19 @@ def test_frames(spark):
     out = {r.policy_doc_id: r.normalized for r in confusables.normalize(df).collect()}
     assert out[1] == "a feature thesis" and out[3] is None and out[4] == "" and out[5] == "thesis un dos"
     assert confusables.word_variants(df.limit(0)).count() == 0
+
+
+def test_look_alikes_of_further_scripts_and_the_commonest_form(spark):
+    for word, plain in (("\u13aaccess", "Access"), ("h\u0585me", "home"), ("\u1d18olicy", "policy"), ("\u2c9eK", "OK")):
+        assert confusables.ordinary(word) == plain and confusables.skeleton(word) == confusables.skeleton(plain)
+    for word in ("\u0562\u0561\u0580\u0565\u0582", "\u13e3\u13b3\u13a9", "\u0585"):
+        assert confusables.ordinary(word) == word
+    assert confusables.skeleton("co\u2010op") == confusables.skeleton("co-op") and confusables.ordinary("co\u2010op") == "co\u2010op"
+    df = spark.createDataFrame([(1, "\u0420olicy of the desk", 0), (2, "Policy Policy", 0), (None, None, 0), (4, "", 0)], "policy_doc_id long, text string, form int")
+    (row,) = confusables.word_variants(df).collect()
+    assert (row.policy_doc_id, row.ordinary) == (1, "Policy")
+    few, confusables.BROADCAST_WORDS = confusables.BROADCAST_WORDS, 0
+    try:
+        assert [r.ordinary for r in confusables.word_variants(df).collect()] == ["Policy"]
+    finally:
+        confusables.BROADCAST_WORDS = few
