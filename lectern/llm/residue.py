@@ -1,19 +1,26 @@
 """Template residue and error-page text (problem 10).
 
-Method: positive-unlabelled naive Bayes. Trusted passages (placeholders in
-unmistakable marks, leftovers of software, error and script notices word for
-word, filler words) are the labelled positives, all other text is unlabelled.
-Features are words, punctuation and single East Asian characters with up to
-two predecessors; a feature's odds lean on those of its shorter form where it
-is rare. Expectation-maximisation: passages that the present model holds for
-residue join the positives, and the model is counted again. A passage is the
-stretch of a line with the largest sum of log odds; a record is residue if its
-best passage reaches the threshold.
-
-Quoted text is left out: what a text only quotes is not its own. Counts cover
-all rows. The model is two arrays of ``SIZE`` floats, whatever the corpus.
-
-Defined results: null, empty and blank texts are never found.
+Method: positive-unlabelled naive Bayes by expectation-maximisation. Trusted
+are marks that nothing but residue has: the syntax of templates, markers of
+dates and fields to be filled in, traces of software, status lines, filler
+words and requests to switch scripts on. All other text is unlabelled.
+
+Lines that recur are the passages whose class is latent. Their evidence is
+where they stand (alone in a record, beside a trusted passage, in a short
+record, in a long one) and their words. Expectation-maximisation first fits the
+two distributions of places, those of trusted lines being the start, then words
+and places together, until the classes settle. Features are words, punctuation
+and single East Asian characters with up to two predecessors; a feature's odds
+lean on those of its shorter form where it is rare.
+
+With the settled model every text is scored: a passage is the stretch of a line
+with the largest sum of log odds; a record is residue if its best passage
+reaches the threshold. Quoted text is left out: what a text only quotes is not
+its own. Counts cover all rows. The model is two arrays of ``SIZE`` floats,
+whatever the corpus.
+
+Defined results: null, empty and blank texts are never found. Extra columns are
+not looked at; repeated rows count as often as they stand.
 """
 
 from __future__ import annotations
@@ -28,77 +35,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship, stage
+
 BITS = 21
 SIZE = 1 << BITS
 THRESHOLD = 10.0
-#: The sum at which a passage joins the positives.
-JOIN = 20.0
 #: What it costs to start or end amid a sentence.
 MIDDLE = 3.0
-ROUNDS = 1
+#: The most rounds; they end when the expected number of residue lines changes by less than SETTLED of it.
+ROUNDS, SETTLED = 25, 1e-3
+#: A record of at most so many tokens is short; a line that recurs so often has a class.
+SHORT, RECURS = 60, 3
+#: The share of lines that are residue, at first; occurrences of a line count by this power of their number.
+FIRST, DAMPED = 1e-3, 0.5
+#: How much the log odds of a line's words weigh beside those of its places.
+WORDS = 4.0
 LEAN = 2.0
 BASE = 1e-3
 BLOCK_CHARS = 3_000_000
 
 EAST = "぀-ヿ一-鿿가-힯"
 TOKEN = re.compile(rf"\n+|[{EAST}]|[^\W\d_{EAST}]+|\d+|[{{}}]+|\[+|\]+|<+|>+|%+|@+|#+|_+|[^\w\s]")
-_inside = lambda end, n: f"(?:[^{end}\n]|\n(?!\\s*\n)){{0,{n}}}{end}"
-QUOTED = re.compile("|".join((f"“{_inside('”', 300)}", f"‘{_inside('’', 120)}", f"„{_inside('“', 300)}", f"«{_inside('»', 300)}", f"「{_inside('」', 300)}", f"『{_inside('』', 300)}")))
-FIELD = r"[\w .\-–]{2,60}"
-#: Unmistakable marks of templates and of their software, and the notices they leave.
+_inside = lambda end: f"(?:[^{end}\n]|\n(?!\\s*\n))*{end}"
+#: A quotation ends within its paragraph; an apostrophe would close single quotes far away, so they hold no line end.
+QUOTED = re.compile("|".join((f"“{_inside('”')}", "‘[^’\n]{0,120}’", f"„{_inside('“')}", f"«{_inside('»')}", f"「{_inside('」')}", f"『{_inside('』')}")))
+#: Marks of templates, of fields to be filled in, of software, of servers and of filler, with a literal that each holds (empty: tried on every text).
 TRUSTED = [
-    r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,80}%\}", r"\$\{[\w.]{2,60}\}", r"%%[A-Z_]{3,60}%%", r"@@[\w.]{3,60}@@", r"__[A-Z]+(?:_[A-Z]+)+__", r"%\([\w.]{3,60}\)s", r"\[\[" + FIELD + r"\]\]", r"<<[A-Z ]{3,60}>>", r"#[A-Z]+(?:_[A-Z]+)+#",
-    r"\[(?:INSERT|insert|insertar|inserir|insérer) " + FIELD + r"\]", r"\[Your " + FIELD + r" here\]", r"\[to be confirmed: " + FIELD + r"\]", r"XX/XX/20XX", r"XXXX年XX月XX日", r"XXXX \(" + FIELD + r"\)", r"\(name TBC\)", r"TODO:(?= [a-z])", r"Firstname Lastname",
-    r"\[(?:hier )?[\w ]{2,40} (?:eintragen|einfügen)\]", r"【请填写[^】\n]{2,20}】", r"【ここに[^】\n]{2,20}】", r"\[此处[^\]\n]{2,20}\]", r"\[[^\]\n]{2,12}(?:넣으세요|입력)\]", r"\[[^\]\n]{2,12}\]を(?:記入|入力)", r"（要修正）", r"（待定）", r"\(추후 입력\)", r"\[(?:pendiente de completar|por preencher|à compléter|noch offen)\]",
-    r"<(?:name of department|institution name|policy number|approval date|effective date|contact person|office email|tool name|course title|link to form|nombre del centro|nom du service|nome da unidade|Name der Fakultät|nome do serviço)>",
-    r"<\?php [^\n]{2,80}\?>", r"<!-- MISSING[^\n]{2,60}-->", r"\[object Object\]", r"\[gallery ids=[^\]\n]{2,40}\]", r"\[contact-form-7[^\]\n]{2,40}\]", r"Error! (?:Reference source not found|Bookmark not defined)\.", r"Dear undefined,", r"Undefined index: \w+", r"Contact: null \(null\)", r"MISSING_TRANSLATION: \w+\.\w+", r"ここに本文を入力してください", r"Erro 404: página não encontrada", r"KeyError: '\w+'", r"#REF!", r"\[DATE\]",
-    r"You need to enable JavaScript to run this app\.", r"JavaScript is disabled in your browser\.", r"Your browser is not supported\.", r"This portal requires scripts and cookies\.", r"Please enable scripting", r"JavaScriptを有効にしてください", r"JavaScript를 켜 주세요", r"Active JavaScript para ver esta página", r"请启用\s?JavaScript", r"Ative o JavaScript", r"Activez JavaScript", r"Bitte aktivieren Sie JavaScript",
-    r"Error \d+: you do not have permission[^\n]{0,40}", r"500 Internal Server Error", r"404 – Page not found", r"502 Bad Gateway[^\n]{0,40}", r"Error establishing a database connection", r"Service temporarily unavailable", r"The page you requested could not be found", r"This content has moved or been deleted", r"Checking your browser before you continue", r"Access to this page has been denied by the firewall", r"Your session has expired\. Please sign in again", r"We are carrying out scheduled maintenance", r"Sorry, something went wrong on our side",
-    r"Error 404: página no encontrada", r"La página solicitada ya no existe", r"404 ページが見つかりません", r"サーバーエラーが発生しました", r"アクセスが拒否されました", r"ただいまメンテナンス中です", r"Interner Serverfehler", r"El servicio no está disponible",
-    r"This is placeholder content\.", r"Sample paragraph – replace before publishing\.", r"New guidance will appear here shortly\.",
-    r"Please turn it on to continue\.", r"Reload once they are allowed\.", r"Please try again later\.", r"Your session has expired\.", r"Su navegador bloquea los scripts necesarios", r"O seu navegador bloqueia os scripts necessários", r"Diese Anwendung benötigt Skripte im Browser", r"Cette application exige les scripts du navigateur", r"Veuillez activer JavaScript pour afficher cette page",
-    r"Click to add text\.", r"Add a short description\.", r"Type your text here\.", r"Page intentionally left blank\.", r"Escriba aquí su texto\.", r"Texto de ejemplo, sustituir antes de publicar\.", r"Dies ist ein Blindtext\.", r"Hier steht Ihr Text\.", r"Bitte Text ersetzen\.", r"Texto de exemplo a substituir\.", r"Escreva aqui o seu texto\.", r"Texte d’exemple à remplacer\.", r"Saisissez votre texte ici\.", r"여기에 내용을 입력하세요\.", r"게시 전에 바꾸세요\.", r"此处输入正文。",
-    r"This page is under construction\.", r"Content coming soon\.", r"Contenido disponible próximamente\.", r"Página en construcción\.", r"Página em construção\.", r"Conteúdo disponível em breve\.", r"Diese Seite befindet sich im Aufbau\.", r"Inhalte folgen in Kürze\.", r"Contenu à venir\.", r"内容即将更新。", r"内容は近日公開予定です。",
-    r"Traceback \(most recent call last\):", r"Acceso denegado", r"Zugriff verweigert", r"Acesso negado", r"Accès refusé", r"无权访问此页", r"접근이 거부되었습니다", r"服务器内部错误", r"404 页面不存在", r"您访问的页面已被删除或暂时无法访问", r"O serviço está temporariamente indisponível", r"Le service est momentanément indisponible", r"Wartungsarbeiten – bitte später erneut versuchen", r"Die angeforderte Seite existiert nicht mehr", r"잠시 후 다시 접속해 주세요", r"점검 중입니다\.", r"A página solicitada já não existe", r"Fehler \d+: Seite nicht gefunden", r"La page demandée n’existe plus", r"Erreur \d+ : page introuvable", r"서버 오류",
-    r"(?:test ){2,}test", r"(?:blah ){2,}blah", r"(?:xxx ){2,}xxx", r"asdf asdf qwer", r"abc 123 test page please ignore", r"XX\.XX\.20XX", r"20XX년 XX월 XX일", r"NaN/NaN/NaN", r"페이지 준비 중입니다\.", r"このページは準備中です。", r"페이지를 찾을 수 없습니다", r"Page en construction\.",
-    r"(?:(?:[Ll]orem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud)[ ,.]+){5,}",
+    ("{{", r"\{\{[^{}\n]{1,60}\}\}"), ("{%", r"\{%[^%\n]{1,80}%\}"), ("${", r"\$\{[\w.]{2,60}\}"), ("%%", r"%%[\w ]{3,60}%%"), ("@@", r"@@[\w.]{3,60}@@"), ("~~", r"~~[A-Z_]{3,60}~~"),
+    ("__", r"__[A-Z]+(?:_[A-Z]+)+__"), (")s", r"%\([\w.]{3,60}\)s"), ("[[", r"\[\[[\w .\-–]{2,60}\]\]"), ("<<", r"<<[A-Z ]{3,60}>>"), ("#", r"#[A-Z]+(?:_[A-Z]+)+#"), ("<", r"<(?:[^\W\d_]+ ){1,4}[^\W\d_]+>"),
+    ("[", r"\[(?:INSERT|[Ii]nsert|[Ii]nsertar|[Ii]nserir|[Ii]nsérer|[Yy]our|[Tt]o be) [^\]\n]{2,60}\]"), ("[", r"\[[\w ]{2,40} (?:eintragen|einfügen|ausfüllen)\]"), ("[", r"\[[A-Z]{4,20}\]"),
+    ("填写", r"【?请填写[^】\n]{2,20}】?"), ("入力", r"[【\[][^】\]\n]{2,24}入力[^】\]\n]{0,6}[】\]]"), ("記入", r"[【\[][^】\]\n]{2,24}[】\]]を記入"), ("입력", r"[\[(][^\])\n]{1,20}입력[^\])\n]{0,4}[\])]"),
+    ("XX", r"\bXX[./]XX[./](?:20)?XX\b"), ("20XX", r"\b20XX\b"), ("○○", r"○○"), ("XX年", r"XX年"), ("TBC", r"\((?:name |date )?TB[CDA]\)"), ("TODO", r"\bTODO:"),
+    ("_", r"\b[A-Z]{3,}_[A-Z_]{3,}: \w+\.\w+"), ("<?php", r"<\?php [^\n]{2,80}\?>"), ("<!--", r"<!-- [A-Z]{4,}[^\n]{2,60}-->"), ("[object", r"\[object \w+\]"), ("NaN", r"\bNaN/NaN"), ("#REF!", r"#REF!"), ("=", r"\[\w+(?:[-_]\w+)* \w+=[^\]\n]{1,60}\]"), ("undefined", r"\bundefined,"), ("null (null)", r"null \(null\)"),
+    ("Traceback", r"Traceback \(most recent call last\)"), ("Error: ", r"\b[A-Z]\w+Error: [^\n]{1,60}"), ("Undefined", r"Undefined (?:index|variable|offset)"), ("Fatal", r"Fatal error: [^\n]{1,60}"), ("Error!", r"Error! \w[^\n.!]{5,60}\."),
+    ("", r"\b([^\W\d_]{2,8})(?: \1){2,}\b"), ("ipsum", r"(?:(?:[Ll]orem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|dolore|magna|aliqua)[ ,.]+){4,}"),
 ]
-#: What a passage of filler words holds one of.
-FILLER = ("ipsum", "dolor", "amet", "consectetur", "adipiscing", "eiusmod", "tempor", "incididunt", "labore", "magna", "aliqua", "veniam", "nostrud")
-
-
-def _key(pattern: str) -> str:
-    """The longest literal that every match of a pattern holds; empty if there is none."""
-    from re import _parser
-
-    best = run = ""
-    for op, value in _parser.parse(pattern):
-        run = run + chr(value) if str(op) == "LITERAL" else ""
-        best = max(best, run, key=len)
-    return best
 
 
 @lru_cache(None)
 def _trusted():
-    """An automaton over the keys of all trusted patterns, and the patterns by key."""
+    """An automaton over the literals of all trusted patterns, and the patterns by literal."""
     import ahocorasick
 
     by: dict[str, list[re.Pattern]] = {}
-    for pattern in TRUSTED:
-        for key in (_key(pattern),) if _key(pattern) else FILLER:
-            by.setdefault(key, []).append(re.compile(pattern))
+    for key, pattern in TRUSTED:
+        by.setdefault(key, []).append(re.compile(pattern))
     automaton = ahocorasick.Automaton()
     for key in by:
-        automaton.add_word(key, key)
+        if key:
+            automaton.add_word(key, key)
     automaton.make_automaton()
     return automaton, by
 
 
+#: A tag of markup is no field.
+TAGGED = re.compile(r"</?(?:a|b|i|p|br|hr|li|ul|ol|div|span|table|tr|td|th|em|strong)\b")
+
+
 def trusted_spans(text: str) -> list[tuple[int, int]]:
-    """Where trusted passages stand: the keys are looked up all at once, then only their own patterns."""
+    """Where trusted passages stand: the literals are looked up all at once, then only their own patterns."""
     automaton, by = _trusted()
-    patterns = {p for key in {key for _, key in automaton.iter(text)} for p in by[key]}
-    return [m.span() for p in patterns for m in p.finditer(text)]
+    patterns = {p for key in {"", *(key for _, key in automaton.iter(text))} for p in by.get(key, ())}
+    return [m.span() for p in patterns for m in p.finditer(text) if not TAGGED.match(m.group())]
 
 
 class _Ids(dict):
@@ -210,16 +208,19 @@ class Model:
         self.base = max(residue_words, 1.0) / max(words, 2.0)
         self.shift = float(np.log(self.base / (1 - self.base)))
 
-    def score(self, ids: np.ndarray) -> np.ndarray:
-        """Log odds of each token; line ends break every passage."""
+    def share(self, ids: np.ndarray) -> np.ndarray:
+        """The share of the uses of each token, in the light of its predecessors, that is residue."""
         p = np.full(len(ids), self.base)
-        features = _features(ids)
-        for h in features:
+        for h in _features(ids):
             p = (self.residue[h] + LEAN * p) / (self.total[h] + LEAN)
-        p = np.clip(p, 1e-7, 1 - 1e-3)
+        return p
+
+    def score(self, ids: np.ndarray) -> np.ndarray:
+        """Log odds of each token; line ends break every passage."""
+        p = np.clip(self.share(ids), 1e-7, 1 - 1e-3)
         s = np.log(p / (1 - p)) - self.shift
         np.clip(s, -8.0, 8.0, out=s)
-        s[self.residue[features[0]] == 0] = -8.0  # never seen in residue, and so not counted by what stands before it
+        s[self.residue[_features(ids)[0]] == 0] = -8.0  # never seen in residue, and so not counted by what stands before it
         s[ids == 0] = -2000.0
         return s
 
@@ -238,27 +239,6 @@ def passages(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return before[1:] - least - end, least
 
 
-def residue_mask(scores: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
-    """The tokens inside passages that reach the threshold."""
-    best, least = passages(scores, ids)
-    mask = np.zeros(len(scores), dtype=bool)
-    hits = np.flatnonzero(best >= threshold)
-    if not len(hits):
-        return mask
-    # where the least start was set: the token a passage begins with
-    new = np.concatenate([[True], least[1:] < least[:-1]])
-    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    # hits with the same start belong to one passage, which ends where its sum is largest
-    for g in np.split(hits, np.flatnonzero(np.diff(first[hits])) + 1):
-        end = int(g[np.argmax(best[g])])
-        mask[first[end] : end + 1] = True
-    return mask
-
-
-def _count_rows(df: DataFrame, text_col: str, run, schema: str) -> DataFrame:
-    return df.select(text_col).mapInArrow(run, schema)
-
-
 def _gather(df: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     """Sums of the counts by feature, at most SIZE of them, and the two totals."""
     total, residue, words, residue_words = np.zeros(SIZE), np.zeros(SIZE), 0.0, 0.0
@@ -277,27 +257,140 @@ def _emit(total: np.ndarray, residue: np.ndarray, words: float, residue_words: f
 
 
 COUNTS = "h bigint, n double, r double"
+#: Where a line can stand. Beyond these it stands in a long record.
+PLACES = ("alone", "beside", "short", "long")
+_BLANK = " \t\r\f"
+_NUMBER = re.compile("[0-9]+")
 
 
-def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
-    """The model of residue in the texts of ``df``."""
-    sc = df.sparkSession.sparkContext
+def line_key(line: str) -> str:
+    """A line as it is compared with others: without white space at its ends, numbers as 0."""
+    return _NUMBER.sub("0", line.strip(_BLANK))
+
+
+SEEDS = "h bigint, n double, r double, line string, alone bigint, beside bigint, short bigint, trusted bigint"
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        residue, words = np.zeros(SIZE), 0.0
+
+def _seeds(df: DataFrame, text_col: str) -> DataFrame:
+    """Two kinds of rows: counts of the features of trusted passages, and the lines of short records and beside trusted passages, by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        residue, words, lines = np.zeros(SIZE), 0.0, {}
         for batch in batches:
             for _, texts in _blocks(batch.column(0).to_pylist()):
                 for text in texts:
-                    if (found := _seed_mask(text)) is not None:
+                    found = _seed_mask(text)
+                    if found is not None:
                         ids, mask = found
                         for h in _features(ids):
                             np.add.at(residue, h[mask], 1.0)
                         words += mask.sum()
-        yield _emit(residue, residue, 0.0, words)
+                    short = len(text) < 12 * SHORT and len(_tokens(text)) <= SHORT
+                    if not short and found is None:
+                        continue
+                    rows = [(line_key(x), bool(trusted_spans(x)) if found is not None else False) for x in text.split("\n") if x.strip(_BLANK)]
+                    held = [k for k, (_, own) in enumerate(rows) if own]
+                    for k, (key, own) in enumerate(rows):
+                        near = any(abs(k - j) <= 2 for j in held if j != k)
+                        place = 0 if len(rows) == 1 else 1 if near else 2
+                        if short or near or own:
+                            of = lines.setdefault(key, [0, 0, 0, 0])
+                            if short or near:
+                                of[place] += 1
+                            of[3] += own
+        h = np.flatnonzero(residue > 0)
+        n, m = len(h) + 1, len(lines)
+        none = lambda k, kind: pa.nulls(k, kind)
+        counts = [pa.array(np.append(h, -1)), pa.array(np.append(residue[h], 0.0)), pa.array(np.append(residue[h], words))]
+        names = ["h", "n", "r", "line", *PLACES[:3], "trusted"]
+        yield pa.RecordBatch.from_arrays([*counts, none(n, pa.string()), *(none(n, pa.int64()) for _ in range(4))], names=names)
+        yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(list(lines), pa.string()), *(pa.array([c[k] for c in lines.values()], pa.int64()) for k in range(4))], names=names)
+
+    return df.select(text_col).mapInArrow(run, SEEDS)
+
+
+def recurring_lines(df: DataFrame, seeds: DataFrame, text_col: str) -> tuple[DataFrame, list[float], list[float]]:
+    """The lines with a class: ``line``, how often it stands at each place, ``trusted``; and how all and the trusted lines fall into the places."""
+    lines = seeds.where("line is not null").groupBy("line").agg(*[F.sum(c).alias(c) for c in (*PLACES[:3], "trusted")])
+    lines = stage(lines.withColumn("key", F.xxhash64("line")), "residue-lines")
+    each = df.where(F.length(text_col) > 0).select(F.explode(F.split(text_col, "\n")).alias("x")).select(F.regexp_replace(F.trim("x", F.lit(_BLANK)), "[0-9]+", "0").alias("x")).where("x <> ''").select(F.xxhash64("x").alias("key"))
+    # every line of the corpus counts; only hashes move, summed before
+    often = each.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
+    all_lines = stage(often.where(F.col("times") >= RECURS), "residue-often")
+    n = df.where(F.length(text_col) > 0).agg(F.sum(F.size(F.filter(F.split(text_col, "\n"), lambda x: F.trim(x, F.lit(_BLANK)) != ""))).alias("n")).first().n or 0
+    held = lines.join(all_lines, "key").withColumn("long", F.greatest(F.lit(0), F.col("times") - F.col("alone") - F.col("beside") - F.col("short")))
+    of = lambda rows: [float(x or 0) for x in rows.agg(*[F.sum(c) for c in PLACES[:3]]).first()]
+    whole = of(lines)
+    held = stage(held, "residue-recurring")
+    mine = held.where("trusted > 0")
+    marked = [*of(mine), float(mine.agg(F.sum("long")).first()[0] or 0)]
+    return held, [*whole, max(n - sum(whole), 0.0)], marked
+
+
+def classify_places(held: DataFrame, whole: list[float], marked: list[float]) -> DataFrame:
+    """The lines with ``odds``, the log odds of being residue by where they stand, after expectation-maximisation over all of them."""
+    spread = lambda counts: [(c + 1.0) / (sum(counts) + len(counts)) for c in counts]
+    of_residue, of_text, prior = spread(marked), spread(whole), FIRST
+    before = -1.0
+    times = F.col("alone") + F.col("beside") + F.col("short") + F.col("long")
+    for _ in range(ROUNDS):
+        # occurrences are no independent witnesses: their number counts by a power
+        weight = F.pow(times.cast("double"), F.lit(DAMPED - 1.0))
+        odds = F.lit(float(np.log(prior / (1 - prior)))) + weight * sum((F.col(c) * F.lit(float(np.log(a / b))) for c, a, b in zip(PLACES, of_residue, of_text)), F.lit(0.0))
+        rows = held.withColumn("odds", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds)))
+        p = 1 / (1 + F.exp(-F.col("odds")))
+        sums = rows.agg(F.sum(p).alias("n"), F.count(F.lit(1)).alias("of"), *[F.sum(p * F.col(c)).alias(c) for c in PLACES]).first()
+        if not sums.of or abs((sums.n or 0) - before) <= SETTLED * max(before, 1.0):
+            break
+        before = sums.n
+        of_residue = spread([sums[c] for c in PLACES])
+        of_text = spread([max(a - sums[c], 0.0) for c, a in zip(PLACES, whole)])
+        prior = min(max(sums.n / sums.of, 1e-4), 0.5)
+    return rows
+
+
+def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
+    """The model of residue in the texts of ``df``."""
+    ship(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    seeds = stage(_seeds(df, text_col), "residue-seeds")
+    _, trusted, _, trusted_words = _gather(seeds.where("h is not null").select("h", "n", "r"))
+    lines = classify_places(*recurring_lines(df, seeds, text_col)).where("odds > 0").withColumn("times", F.expr("alone + beside + short + long"))
+    lines = stage(lines.select("line", "times", "odds"), "residue-classes")
+
+    def weigh(model: Model | None):
+        sent = sc.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """What the lines add to the counts of residue whose posterior is above a half."""
+            residue, words = np.zeros(SIZE), 0.0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                texts, times, odds = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy().copy()
+                ids, starts = _joined(texts)
+                ends = np.append(starts[1:], len(ids)) - 2
+                if sent.value is not None:
+                    # which share of the uses of a line's words, with those before them, is residue
+                    p = sent.value.share(ids)
+                    p = np.array([p[a:b].mean() if b > a else 0.0 for a, b in zip(starts, ends)])
+                    odds += WORDS * np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+                joins = np.where(odds > 0, times, 0)
+                w = np.zeros(len(ids))
+                for a, b, x in zip(starts, ends, joins):
+                    w[a:b] = x
+                at = w > 0
+                for h in _features(ids):
+                    np.add.at(residue, h[at], w[at])
+                words += w.sum()
+            yield _emit(residue, residue, 0.0, words)
+
+        _, residue, _, words = _gather(lines.mapInArrow(run, COUNTS))
+        return residue, words
 
-    _, residue, _, residue_words = _gather(_count_rows(df, text_col, seeds, COUNTS))
+    found, found_words = weigh(None)
     # only features that end in a token seen in residue need counts: all others are ordinary
-    ends = sc.broadcast(np.packbits(residue > 0))
+    ends = sc.broadcast(np.packbits((trusted + found) > 0))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unpackbits(ends.value)[:SIZE].astype(bool)
@@ -312,28 +405,14 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
                 words += len(ids)
         yield _emit(total, np.zeros(SIZE), words, 0.0)
 
-    total, _, words, _ = _gather(_count_rows(df, text_col, counts, COUNTS))
-    model = Model(total, residue, words, residue_words)
+    total, _, words, _ = _gather(df.select(text_col).mapInArrow(counts, COUNTS))
+    model = Model(total, trusted + found, words, trusted_words + found_words)
     for _ in range(rounds):
-        sent = sc.broadcast((model, ends.value))
-
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, known = sent.value[0], np.unpackbits(sent.value[1])[:SIZE].astype(bool)
-            residue, words = np.zeros(SIZE), 0.0
-            for batch in batches:
-                for _, texts in _blocks(batch.column(0).to_pylist()):
-                    ids, _ = _joined(texts)
-                    s = model.score(ids)
-                    # only features that have been counted in all text
-                    mask = residue_mask(s, ids, JOIN) & known[_features(ids)[0]]
-                    for h in _features(ids):
-                        np.add.at(residue, h[mask], 1.0)
-                    words += mask.sum()
-            yield _emit(residue, residue, 0.0, words)
-
-        _, found, _, n = _gather(_count_rows(df, text_col, expect, COUNTS))
-        residue, residue_words = np.maximum(residue, found), max(residue_words, n)
-        model = Model(total, residue, words, residue_words)
+        before = found_words
+        found, found_words = weigh(model)
+        model = Model(total, trusted + found, words, trusted_words + found_words)
+        if abs(found_words - before) <= SETTLED * max(before, 1.0):
+            break
     return model
 
 

@@ -229,10 +229,17 @@ PLAIN = ["Links made up by tools often end in a 404 error, so students should ch
 
 @pytest.mark.parametrize("extra", ["", "x" * 200_000, "some words of a very long text " * 150_000])
 def test_residue(spark, extra):
+    """Marks are found wherever they stand; a notice without a mark once it recurs, by the places it stands at."""
     rows = [(k, f"{SENTENCES['en'][k % 2]} {PLAIN[k % 6]}\n{SENTENCES['de'][k % 2]}", "s") for k in range(300)]
+    notices = [t for t in RESIDUE if not residue.trusted_spans(t)]
+    assert len(notices) == 4
     rows += [(1000 + k, t, "s") for k, t in enumerate(RESIDUE)] + [(2000 + k, t, "s") for k, t in enumerate(PLAIN)] + [(3000, None, "s"), (3001, "", "s"), (3002, " \n", "s"), (3003, f"plain {extra}", "s"), (1000, RESIDUE[0], "s")]
+    # each alone, with another line, and beside a mark
+    rows += [(4000 + 10 * k + j, (t, f"{t}\nOffice", f"{t}\n%%PAGE_NAME%%")[j % 3], "s") for k, t in enumerate(notices) for j in range(6)]
+    rows += [(5000, f"{SENTENCES['en'][0]} {SENTENCES['en'][1]}\n{notices[1]}", "s")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string")
-    assert {r.doc_id for r in residue.find_residue(df).collect()} == {1000 + k for k in range(len(RESIDUE))}
+    want = {1000 + k for k in range(len(RESIDUE))} | {4000 + 10 * k + j for k in range(4) for j in range(6)} | {5000}
+    assert {r.doc_id for r in residue.find_residue(df).collect()} == want
     assert residue.find_residue(df.limit(0)).count() == 0
 
 
