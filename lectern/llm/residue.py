@@ -29,6 +29,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import and_, eq
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ TOKEN = re.compile(rf"\n+|[{EAST}]|[^\W\d_{EAST}]+|\d+|[{{}}]+|\[+|\]+|<+|>+|%+|
 _inside = lambda end: f"(?:[^{end}\n]|\n(?!\\s*\n))*{end}"
 #: A quotation ends within its paragraph; an apostrophe would close single quotes far away, so they hold no line end.
 QUOTED = re.compile("|".join((f"“{_inside('”')}", "‘[^’\n]{0,120}’", f"„{_inside('“')}", f"«{_inside('»')}", f"「{_inside('」')}", f"『{_inside('』')}")))
-#: Marks of templates, of fields to be filled in, of software, of servers and of filler, with a literal that each holds (empty: tried on every text).
+#: Marks of templates, of fields to be filled in, of software, of servers and of filler, with a literal that each holds (empty: a word three times in a row).
 TRUSTED = [
     ("{{", r"\{\{[^{}\n]{1,60}\}\}"), ("{%", r"\{%[^%\n]{1,80}%\}"), ("${", r"\$\{[\w.]{2,60}\}"), ("%%", r"%%[\w ]{3,60}%%"), ("@@", r"@@[\w.]{3,60}@@"), ("~~", r"~~[A-Z_]{3,60}~~"),
     ("__", r"__[A-Z]+(?:_[A-Z]+)+__"), (")s", r"%\([\w.]{3,60}\)s"), ("[[", r"\[\[[\w .\-–]{2,60}\]\]"), ("<<", r"<<[A-Z ]{3,60}>>"), ("#", r"#[A-Z]+(?:_[A-Z]+)+#"), ("<", r"<(?:[^\W\d_]+ ){1,4}[^\W\d_]+>"),
@@ -95,7 +96,12 @@ TAGGED = re.compile(r"</?(?:a|b|i|p|br|hr|li|ul|ol|div|span|table|tr|td|th|em|st
 def trusted_spans(text: str) -> list[tuple[int, int]]:
     """Where trusted passages stand: the literals are looked up all at once, then only their own patterns."""
     automaton, by = _trusted()
-    patterns = {p for key in {"", *(key for _, key in automaton.iter(text))} for p in by.get(key, ())}
+    patterns = {p for key in {key for _, key in automaton.iter(text)} for p in by[key]}
+    words = text.split()
+    same = list(map(eq, words, words[1:]))
+    if any(map(and_, same, same[1:])):
+        # a word three times in a row
+        patterns |= set(by[""])
     return [m.span() for p in patterns for m in p.finditer(text) if not TAGGED.match(m.group())]
 
 
@@ -268,6 +274,7 @@ def line_key(line: str) -> str:
     return _NUMBER.sub("0", line.strip(_BLANK))
 
 
+ALL_LINES = -2
 SEEDS = "h bigint, n double, r double, line string, alone bigint, beside bigint, short bigint, trusted bigint"
 
 
@@ -275,10 +282,11 @@ def _seeds(df: DataFrame, text_col: str) -> DataFrame:
     """Two kinds of rows: counts of the features of trusted passages, and the lines of short records and beside trusted passages, by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        residue, words, lines = np.zeros(SIZE), 0.0, {}
+        residue, words, lines, n_lines = np.zeros(SIZE), 0.0, {}, 0
         for batch in batches:
             for _, texts in _blocks(batch.column(0).to_pylist()):
                 for text in texts:
+                    n_lines += sum(1 for x in text.split("\n") if x.strip(_BLANK))
                     found = _seed_mask(text)
                     if found is not None:
                         ids, mask = found
@@ -299,9 +307,10 @@ def _seeds(df: DataFrame, text_col: str) -> DataFrame:
                                 of[place] += 1
                             of[3] += own
         h = np.flatnonzero(residue > 0)
-        n, m = len(h) + 1, len(lines)
+        n, m = len(h) + 2, len(lines)
         none = lambda k, kind: pa.nulls(k, kind)
-        counts = [pa.array(np.append(h, -1)), pa.array(np.append(residue[h], 0.0)), pa.array(np.append(residue[h], words))]
+        # the last two are sums: words in trusted passages, and lines of all texts
+        counts = [pa.array(np.append(h, [-1, ALL_LINES])), pa.array(np.append(residue[h], [0.0, n_lines])), pa.array(np.append(residue[h], [words, 0.0]))]
         names = ["h", "n", "r", "line", *PLACES[:3], "trusted"]
         yield pa.RecordBatch.from_arrays([*counts, none(n, pa.string()), *(none(n, pa.int64()) for _ in range(4))], names=names)
         yield pa.RecordBatch.from_arrays([none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64()), pa.array(list(lines), pa.string()), *(pa.array([c[k] for c in lines.values()], pa.int64()) for k in range(4))], names=names)
@@ -317,7 +326,7 @@ def recurring_lines(df: DataFrame, seeds: DataFrame, text_col: str) -> tuple[Dat
     # every line of the corpus counts; only hashes move, summed before
     often = each.groupBy("key").agg(F.count(F.lit(1)).alias("times"))
     all_lines = stage(often.where(F.col("times") >= RECURS), "residue-often")
-    n = df.where(F.length(text_col) > 0).agg(F.sum(F.size(F.filter(F.split(text_col, "\n"), lambda x: F.trim(x, F.lit(_BLANK)) != ""))).alias("n")).first().n or 0
+    n = seeds.where(F.col("h") == ALL_LINES).agg(F.sum("n").alias("n")).first().n or 0
     held = lines.join(all_lines, "key").withColumn("long", F.greatest(F.lit(0), F.col("times") - F.col("alone") - F.col("beside") - F.col("short")))
     of = lambda rows: [float(x or 0) for x in rows.agg(*[F.sum(c) for c in PLACES[:3]]).first()]
     whole = of(lines)
@@ -354,7 +363,7 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
     ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     seeds = stage(_seeds(df, text_col), "residue-seeds")
-    _, trusted, _, trusted_words = _gather(seeds.where("h is not null").select("h", "n", "r"))
+    _, trusted, _, trusted_words = _gather(seeds.where(F.col("h") > ALL_LINES).select("h", "n", "r"))
     lines = classify_places(*recurring_lines(df, seeds, text_col)).where("odds > 0").withColumn("times", F.expr("alone + beside + short + long"))
     lines = stage(lines.select("line", "times", "odds"), "residue-classes")
 
