@@ -10,7 +10,8 @@ from .agreement import _BY, _q, by_chunk, paired
 from .catalog import query
 from .inference import region_theme, theme_pairs
 
-REPLICATES = 200
+#: Subsamples of institutions, and draws of a bootstrap.
+RESAMPLES, DRAWS = 1000, 2000
 R = 9
 rnd = lambda c, a: F.round(c, R).alias(a)
 #: Uniform in [0, 1) from a key, the same in Spark and DuckDB.
@@ -28,12 +29,12 @@ _WT = "wt AS (SELECT * FROM wide)"
 def _resample_sql() -> str:
     u = U_DUCK.format(seed=SEED, b="b", key="institution_id")
     return _q(
-        f"""rs0 AS (SELECT w.*, b, row_number() OVER (PARTITION BY b ORDER BY {u}, institution_id) AS k, count(*) OVER (PARTITION BY b) AS m FROM wide w CROSS JOIN (SELECT unnest(range({REPLICATES})) AS b)),
+        f"""rs0 AS (SELECT w.*, b, row_number() OVER (PARTITION BY b ORDER BY {u}, institution_id) AS k, count(*) OVER (PARTITION BY b) AS m FROM wide w CROSS JOIN (SELECT unnest(range({RESAMPLES})) AS b)),
 rs1 AS (SELECT * FROM rs0 WHERE k <= round_even(0.8 * m, 0)),
 rs2 AS (SELECT b, region, theme, sum(v)::DOUBLE / count(*) AS p FROM (UNPIVOT (SELECT b, region, {', '.join(THEMES)} FROM rs1) ON {', '.join(THEMES)} INTO NAME theme VALUE v) GROUP BY ALL),
 rs3 AS (SELECT x.b, x.theme, x.region AS region_a, y.region AS region_b, x.p - y.p AS diff FROM rs2 x JOIN regions rx ON rx.region = x.region JOIN rs2 y ON x.b = y.b AND x.theme = y.theme JOIN regions ry ON ry.region = y.region AND rx.ord < ry.ord),
 full_ AS (SELECT theme, region_a, region_b, x_a::DOUBLE / nullif(n_a, 0) - x_b::DOUBLE / nullif(n_b, 0) AS full_diff FROM pairs)""",
-        f"""SELECT theme, region_a, region_b, round(any_value(full_diff), 9) AS full_diff, round(sum(CASE WHEN full_diff <> 0 AND sign(round(diff, 12)) = sign(round(full_diff, 12)) THEN 1 ELSE 0 END)::DOUBLE / {REPLICATES}, 9) AS same_sign, round(quantile_cont(diff, 0.5), 9) AS median, round(quantile_cont(diff, 0.05), 9) AS p5, round(quantile_cont(diff, 0.95), 9) AS p95
+        f"""SELECT theme, region_a, region_b, round(any_value(full_diff), 9) AS full_diff, round(sum(CASE WHEN full_diff <> 0 AND sign(round(diff, 12)) = sign(round(full_diff, 12)) THEN 1 ELSE 0 END)::DOUBLE / {RESAMPLES}, 9) AS same_sign, round(quantile_cont(diff, 0.5), 9) AS median, round(quantile_cont(diff, 0.05), 9) AS p5, round(quantile_cont(diff, 0.95), 9) AS p95
         FROM rs3 JOIN full_ USING (theme, region_a, region_b) GROUP BY ALL""",
     )
 
@@ -45,7 +46,7 @@ def resample_stability(spark, d):
     One pass draws for all themes. The institutions of a replicate are ranked by
     a hash; there are as many as in the sampling frame, not in the corpus.
     """
-    rows = wide_themes(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
+    rows = wide_themes(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(RESAMPLES - 1))))
     u = F.expr(U_SPARK.format(seed=SEED, b="b", key="institution_id"))
     k = F.row_number().over(Window.partitionBy("b").orderBy(u, "institution_id"))
     m = F.count(F.lit(1)).over(Window.partitionBy("b"))
@@ -57,29 +58,45 @@ def resample_stability(spark, d):
     both = diffs.join(full, ["theme", "region_a", "region_b"])
     same = (F.round("full_diff", 12) != 0) & (F.signum(F.round("diff", 12)) == F.signum(F.round("full_diff", 12)))
     q = F.percentile("diff", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
-    out = both.groupBy("theme", "region_a", "region_b").agg(F.first("full_diff").alias("full_diff"), (F.sum(same.cast("int")).cast("double") / REPLICATES).alias("same_sign"), q.alias("q"))
+    out = both.groupBy("theme", "region_a", "region_b").agg(F.first("full_diff").alias("full_diff"), (F.sum(same.cast("int")).cast("double") / RESAMPLES).alias("same_sign"), q.alias("q"))
     return out.select("theme", "region_a", "region_b", rnd(F.col("full_diff"), "full_diff"), rnd(F.col("same_sign"), "same_sign"), rnd(F.col("q")[0], "median"), rnd(F.col("q")[1], "p5"), rnd(F.col("q")[2], "p95"))
 
 
-@query(
-    sql(
-        """SELECT r.region AS dropped, theme, region_a, region_b, round(x_a::DOUBLE / nullif(n_a, 0) - x_b::DOUBLE / nullif(n_b, 0), 9) AS diff, CAST(1 AS INTEGER) AS same_sign FROM pairs JOIN regions r ON r.region <> region_a AND r.region <> region_b"""
-    )
-)
+_LOO = """lo AS (SELECT r.region AS dropped, t.theme, i.region, sum(v)::BIGINT AS x, count(*) AS n FROM inst_theme i JOIN regions r ON r.region <> i.region JOIN themes_ t USING (theme) GROUP BY ALL),
+lp AS (SELECT d.region AS dropped, p.theme, p.region_a, p.region_b, a.x::DOUBLE / nullif(a.n, 0) - b.x::DOUBLE / nullif(b.n, 0) AS diff, p.x_a::DOUBLE / nullif(p.n_a, 0) - p.x_b::DOUBLE / nullif(p.n_b, 0) AS full_diff
+    FROM pairs p JOIN regions d ON d.region <> p.region_a AND d.region <> p.region_b LEFT JOIN lo a ON a.dropped = d.region AND a.theme = p.theme AND a.region = p.region_a LEFT JOIN lo b ON b.dropped = d.region AND b.theme = p.theme AND b.region = p.region_b),
+ls AS (SELECT *, CAST(coalesce(diff = 0 OR full_diff = 0 OR sign(diff) = sign(full_diff), true) AS INTEGER) AS same_sign FROM lp)"""
+
+
+@query(_q(_LOO, "SELECT dropped, theme, region_a, region_b, round(diff, 9) AS diff, round(full_diff, 9) AS full_diff, same_sign FROM ls"))
 def leave_one_region_out(spark, d):
-    """Differences without each region in turn. A pair's own difference can't change by that; kept as a check."""
+    """Differences counted anew without each region in turn, and whether their sign is that of all regions; a difference of 0 or null keeps it."""
+    rest = F.explode(F.filter(F.array(*map(F.lit, REGIONS)), lambda r: r != F.col("region")))
+    rows = inst_theme(spark, d).groupBy("theme", "region").agg(F.sum("v").cast("bigint").alias("x"), F.count(F.lit(1)).alias("n")).withColumn("dropped", rest)
     diff = F.try_divide(F.col("x_a").cast("double"), F.col("n_a").cast("double")) - F.try_divide(F.col("x_b").cast("double"), F.col("n_b").cast("double"))
+    left = region_pairs(by_region(rows, ["dropped", "theme"], F.max("x").alias("x"), F.max("n").alias("n")), ["dropped", "theme"], {"x": "bigint", "n": "bigint"})
+    left = left.where("dropped <> region_a and dropped <> region_b").withColumn("diff", diff).drop("x_a", "x_b", "n_a", "n_b")
     dropped = F.explode(F.filter(F.array(*map(F.lit, REGIONS)), lambda r: (r != F.col("region_a")) & (r != F.col("region_b"))))
-    return theme_pairs(spark, d).select(dropped.alias("dropped"), "theme", "region_a", "region_b", rnd(diff, "diff"), F.lit(1).alias("same_sign"))
+    full = theme_pairs(spark, d).withColumn("full_diff", diff).select(dropped.alias("dropped"), "theme", "region_a", "region_b", "full_diff")
+    same = (F.col("diff") == 0) | (F.col("full_diff") == 0) | (F.signum("diff") == F.signum("full_diff"))
+    both = full.join(left, ["dropped", "theme", "region_a", "region_b"], "left")
+    return both.select("dropped", "theme", "region_a", "region_b", rnd(F.col("diff"), "diff"), rnd(F.col("full_diff"), "full_diff"), F.coalesce(same, F.lit(True)).cast("int").alias("same_sign"))
 
 
-@query(sql("SELECT r.region AS dropped, count(*) AS n, count(*) AS n_same, round(1.0::DOUBLE, 9) AS ratio FROM pairs JOIN regions r ON r.region <> region_a AND r.region <> region_b GROUP BY ALL"))
+@query(_q(_LOO, "SELECT dropped, count(*) AS n, sum(same_sign)::BIGINT AS n_same, round(sum(same_sign)::DOUBLE / count(*), 9) AS ratio FROM ls GROUP BY ALL"))
 def leave_one_out_summary(spark, d):
     """By dropped region the share of differences whose sign stays."""
-    g = leave_one_region_out(spark, d).groupBy("dropped").agg(F.count(F.lit(1)).alias("n"), F.sum("same_sign").alias("n_same"))
+    g = leave_one_region_out(spark, d).groupBy("dropped").agg(F.count(F.lit(1)).alias("n"), F.sum("same_sign").cast("bigint").alias("n_same"))
     return g.withColumn("ratio", F.round(F.col("n_same").cast("double") / F.col("n"), R))
 
 
+@query(f"SELECT CAST(row_number() OVER (ORDER BY same_sign DESC, theme, region_a, region_b) AS INTEGER) AS place, theme, region_a, region_b, CAST(sign(full_diff) AS INTEGER) AS full_sign, same_sign FROM ({_resample_sql()}) QUALIFY place <= 12")
+def stability_top(spark, d):
+    """The twelve most stable differences of the resamples."""
+    top = resample_stability(spark, d).orderBy(F.desc("same_sign"), "theme", "region_a", "region_b").limit(12)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("same_sign"), "theme", "region_a", "region_b"))).select("place", "theme", "region_a", "region_b", F.signum("full_diff").cast("int").alias("full_sign"), "same_sign")
+
+
 @query(
     _q(
         """st AS (SELECT c.institution_id, c.region, CASE WHEN bool_or(c.language_declared IS DISTINCT FROM 'en') THEN 'other' ELSE 'en' END AS protocol FROM coded c GROUP BY ALL)""",
@@ -108,33 +125,41 @@ def percentile_ci(spark, d):
 @query(
     _q(
         _BY + f""",
-sc AS (SELECT chunk_id, avg({THEMES[0]}) AS p FROM bychunk WHERE model_name <> 'brimstone-32b' GROUP BY chunk_id),
-au AS (SELECT p, {THEMES[0]} AS y FROM sc JOIN bychunk USING (chunk_id) WHERE model_name = 'brimstone-32b'),
-ar AS (SELECT *, rank() OVER (ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY round(p, 12)) - 1) / 2.0::DOUBLE AS rk FROM au)""",
-        "SELECT count(*) AS n, sum(y)::BIGINT AS n_pos, round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y)::DOUBLE * (count(*) - sum(y)), 0), 9) AS auroc, round(avg((p - y) * (p - y)), 9) AS brier FROM ar",
+ul AS (SELECT chunk_id, model_name, theme, y FROM (UNPIVOT (SELECT chunk_id, model_name, {', '.join(THEMES)} FROM bychunk) ON {', '.join(THEMES)} INTO NAME theme VALUE y)),
+sc AS (SELECT chunk_id, theme, avg(y) AS p FROM ul WHERE model_name <> 'brimstone-32b' GROUP BY ALL),
+au AS (SELECT theme, p, y FROM sc JOIN ul USING (chunk_id, theme) WHERE model_name = 'brimstone-32b'),
+ar AS (SELECT *, rank() OVER (PARTITION BY theme ORDER BY round(p, 12)) + (count(*) OVER (PARTITION BY theme, round(p, 12)) - 1) / 2.0::DOUBLE AS rk FROM au)""",
+        "SELECT theme, count(*) AS n, sum(y)::BIGINT AS n_pos, round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / nullif(sum(y)::DOUBLE * (count(*) - sum(y)), 0), 9) AS auroc, round(avg((p - y) * (p - y)), 9) AS brier FROM ar GROUP BY theme",
     )
 )
 def auroc_brier(spark, d):
-    """How the other coders' mean vote on the first theme ranks and scores the first coder's label; average ranks by value."""
+    """How the other coders' mean vote on each theme ranks and scores the first coder's label; average ranks by value.
+
+    Labels are counted by score first: a score has few distinct values, being a
+    mean of a few dozen votes at most.
+    """
     from ..domain import PRIMARY
 
-    rows = by_chunk(spark, d).select("chunk_id", "model_name", F.col(THEMES[0]).alias("y"))
-    score = rows.where(F.col("model_name") != PRIMARY).groupBy("chunk_id").agg(F.avg("y").alias("p"))
+    rows = by_chunk(spark, d)
+    score = rows.where(F.col("model_name") != PRIMARY).groupBy("chunk_id").agg(*[F.avg(t).alias(f"p_{t}") for t in THEMES])
     both = rows.where(F.col("model_name") == PRIMARY).join(score, "chunk_id")
-    by_value = both.groupBy(F.round("p", 12).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
-    # a score has few distinct values: means of at most a few dozen votes
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    both = both.select(F.explode(F.array(*[F.struct(F.lit(t).alias("theme"), F.col(t).alias("y"), F.col(f"p_{t}").alias("p")) for t in THEMES])).alias("x")).select("x.*")
+    by_value = both.groupBy("theme", F.round("p", 12).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"), F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("sq"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("theme").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = by_value.withColumn("rk", below + 1 + (F.col("n") - 1) / 2.0)
-    out = ranks.agg(F.sum("n").alias("n"), F.sum("pos").cast("bigint").alias("n_pos"), F.sum(F.col("rk") * F.col("pos")).alias("s"), F.sum("sq").alias("sq"))
+    out = ranks.groupBy("theme").agg(F.sum("n").alias("n"), F.sum("pos").cast("bigint").alias("n_pos"), F.sum(F.col("rk") * F.col("pos")).alias("s"), F.sum("sq").alias("sq"))
     auroc = (F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / F.nullif((F.col("n_pos") * (F.col("n") - F.col("n_pos"))).cast("double"), F.lit(0.0))
-    return out.select("n", "n_pos", rnd(auroc, "auroc"), rnd(F.col("sq") / F.col("n"), "brier"))
+    return out.select("theme", "n", "n_pos", rnd(auroc, "auroc"), rnd(F.col("sq") / F.col("n"), "brier"))
 
 
 def _boot_sql() -> str:
-    u = U_DUCK.format(seed=SEED, b="b", key="concat_ws('/', theme, region, i)")
+    u = U_DUCK.format(seed=SEED, b="b", key="concat_ws('/', theme, region)")
     return _q(
-        f"""bu AS (SELECT theme, region, x, n, b, i, {u} AS u FROM (SELECT theme, region, x, n, b, unnest(range(n)) AS i FROM rt CROSS JOIN (SELECT unnest(range({REPLICATES})) AS b))),
-bp AS (SELECT theme, region, b, sum(CASE WHEN u < x::DOUBLE / n THEN 1 ELSE 0 END)::DOUBLE / any_value(n) AS p FROM bu GROUP BY ALL),
+        f"""bk AS (SELECT theme, region, x, n, k, CASE WHEN x = 0 OR x = n THEN 0 WHEN k = 0 THEN n * ln(1 - x::DOUBLE / n) ELSE ln((n - k + 1)::DOUBLE / k) + ln(x::DOUBLE / (n - x)) END AS lr FROM (SELECT theme, region, x, n, unnest(range(n + 1)) AS k FROM rt WHERE n > 0)),
+bm AS (SELECT theme, region, x, n, k, exp(sum(lr) OVER (PARTITION BY theme, region ORDER BY k ROWS UNBOUNDED PRECEDING)) AS pmf FROM bk),
+bc AS (SELECT theme, region, any_value(x) AS x, any_value(n) AS n, list(cdf ORDER BY k) AS cdf FROM (SELECT *, sum(pmf) OVER (PARTITION BY theme, region ORDER BY k ROWS UNBOUNDED PRECEDING) AS cdf FROM bm) GROUP BY theme, region),
+bu AS (SELECT *, {u} AS u FROM bc CROSS JOIN (SELECT unnest(range({DRAWS})) AS b)),
+bp AS (SELECT theme, region, b, CASE WHEN x = 0 OR x = n THEN x ELSE least(n, len(list_filter(cdf, lambda c: c < u))) END::DOUBLE / n AS p FROM bu),
 bd AS (SELECT x.theme, x.region AS region_a, y.region AS region_b, x.p - y.p AS diff FROM bp x JOIN regions rx ON rx.region = x.region JOIN bp y ON x.b = y.b AND x.theme = y.theme JOIN regions ry ON ry.region = y.region AND rx.ord < ry.ord)""",
         "SELECT theme, region_a, region_b, round(quantile_cont(diff, 0.025), 9) AS ci_low, round(quantile_cont(diff, 0.975), 9) AS ci_high FROM bd GROUP BY ALL",
     )
@@ -142,10 +167,19 @@ bd AS (SELECT x.theme, x.region AS region_a, y.region AS region_b, x.p - y.p AS
 
 @query(_boot_sql())
 def bootstrap_diff_prop(spark, d):
-    """Parametric bootstrap of region differences: binomial draws from the counts by theme and region."""
-    rows = region_theme(spark, d).where("n > 0").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
-    draws = F.expr(f"aggregate(sequence(0, cast(n as int) - 1), 0, (acc, i) -> acc + if({U_SPARK.format(seed=SEED, b='b', key='''concat_ws('/', theme, region, i)''')} < cast(x as double) / n, 1, 0))")
-    p = rows.withColumn("x", draws.cast("bigint"))
+    """Parametric bootstrap of region differences: binomial draws from the counts by theme and region.
+
+    A draw is one uniform number put through the inverse of the binomial's
+    distribution, which is summed once a theme and region, in logarithms.
+    """
+    counts = region_theme(spark, d).where("n > 0").select("theme", "region", "x", "n")
+    w = Window.partitionBy("theme", "region").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when((F.col("x") == 0) | (F.col("x") == F.col("n")), 0.0).when(F.col("k") == 0, F.col("n") * F.log(1 - F.col("x").cast("double") / F.col("n"))).otherwise(F.log((F.col("n") - F.col("k") + 1).cast("double") / F.col("k")) + F.log(F.col("x").cast("double") / (F.col("n") - F.col("x"))))
+    rows = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int")))).withColumn("lr", step).withColumn("pmf", F.exp(F.sum("lr").over(w))).withColumn("c", F.sum("pmf").over(w))
+    cdf = rows.groupBy("theme", "region", "x", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("cdf"))
+    drawn = cdf.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("u", F.expr(U_SPARK.format(seed=SEED, b="b", key="concat_ws('/', theme, region)")))
+    at = F.least(F.col("n"), F.size(F.filter("cdf", lambda c: c < F.col("u"))).cast("bigint"))
+    p = drawn.select("theme", "region", "b", "n", F.when((F.col("x") == 0) | (F.col("x") == F.col("n")), F.col("x")).otherwise(at).cast("bigint").alias("x"))
     diffs = region_pairs(by_region(p, ["b", "theme"], F.max("x").alias("x"), F.max("n").alias("n")), ["b", "theme"], {"x": "bigint", "n": "bigint"}).where("n_a > 0 and n_b > 0")
     diffs = diffs.withColumn("diff", F.col("x_a").cast("double") / F.col("n_a") - F.col("x_b").cast("double") / F.col("n_b"))
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
