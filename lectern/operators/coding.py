@@ -20,24 +20,56 @@ KEYWORDS = {
 }
 
 
+def fenced(markdown: str) -> Iterator[tuple[str, list[str]]]:
+    """Every fenced block of a document with the heading it stands under."""
+    heading, block = "", None
+    for line in markdown.splitlines():
+        fence = line.lstrip().startswith("```")
+        if block is None and fence:
+            block = []
+        elif fence:
+            yield heading, block
+            block = None
+        elif block is not None:
+            block.append(line)
+        elif line.startswith("#"):
+            heading = line.strip()
+
+
+#: The headings of a codebook and the marks within its examples.
+SYSTEM_HEADING, EXAMPLE_HEADING, TEXT_MARK, EXPECTED_MARK = "## System prompt", "### Example ", "TEXT", "EXPECTED OUTPUT"
+
+
 def template(markdown: str) -> tuple[str, list[dict[str, str]]]:
-    """System text and worked examples of a codebook: fenced blocks under their headings."""
-    system = re.search(r"^## System prompt\s*\n+```[^\n]*\n(.*?)\n```", markdown, re.S | re.M)
-    examples = []
-    for body in re.findall(r"^### Example \d+[^\n]*\n+```[^\n]*\n(.*?)\n```", markdown, re.S | re.M):
-        m = re.match(r"\s*TEXT\s*\n(.*?)\n\s*EXPECTED OUTPUT\s*\n(.*)", body, re.S)
-        if m:
-            expected = m.group(2).strip()
-            try:
-                expected = json.dumps(json.loads(expected), ensure_ascii=False)
-            except ValueError:
-                pass
-            examples.append({"text": m.group(1).strip().strip('"').strip(), "expected": expected})
-    return (system.group(1).strip() if system else ""), examples
+    """System text and worked examples of a codebook: the first block under the system heading, and blocks of examples with both marks."""
+    system, examples = None, []
+    for heading, lines in fenced(markdown):
+        marks = [x.strip() for x in lines]
+        if heading == SYSTEM_HEADING and system is None:
+            system = "\n".join(lines).strip()
+        elif heading.startswith(EXAMPLE_HEADING) and TEXT_MARK in marks and EXPECTED_MARK in marks:
+            at, end = marks.index(TEXT_MARK), marks.index(EXPECTED_MARK)
+            examples.append({"text": _unquoted("\n".join(lines[at + 1 : end])), "expected": _one_line("\n".join(lines[end + 1 :]))})
+    return system or "", examples
+
+
+def _unquoted(text: str) -> str:
+    return re.sub(r'^[\s"]+|[\s"]+$', "", text)
+
+
+def _one_line(text: str) -> str:
+    """JSON on one line; what is no JSON stays as it is."""
+    from contextlib import suppress
+
+    with suppress(ValueError):
+        return json.dumps(json.loads(text), ensure_ascii=False)
+    return text.strip()
 
 
 #: The frame of a prompt, its defaults and how much of a text goes in.
-OPENING = ("Below are example codings, followed by the passage to code.", "Output one JSON object only.", "")
+OPENING = ("Below are 16 example codings, followed by the chunk you must code.", "Output one JSON object only.", "")
+PASSAGE_OPENING = "NOW CODE THE FOLLOWING:"
+SECTION, LANGUAGE, CHUNK = "Document section: ", "Original language: ", "Chunk ID: "
 CLOSING = ("", "JSON output only:")
 EXAMPLE_CHARS, PASSAGE_CHARS = 600, 6000
 
@@ -48,9 +80,9 @@ def prompt(examples: list[dict[str, str]] | None = None) -> Column:
     shown = [line for k, x in enumerate(examples or [], 1) for line in (f"EXAMPLE {k}", f"Text: {x['text'][:EXAMPLE_CHARS]}", f"Expected: {x['expected']}", "")]
     about = [
         F.concat(F.lit("University: "), some("institution_name"), F.lit(" ("), some("region"), F.lit(", tier "), some("tier"), F.lit(")")),
-        F.concat(F.lit("Section: "), some("section_header", "unknown")), F.concat(F.lit("Language: "), some("language_declared")), F.concat(F.lit("ID: "), some("chunk_id")), F.lit(""), F.lit("Text:"), F.substring(some("text", ""), 1, PASSAGE_CHARS),
+        F.concat(F.lit(SECTION), some("section_header", "unknown")), F.concat(F.lit(LANGUAGE), some("language_declared")), F.concat(F.lit(CHUNK), some("chunk_id")), F.lit(""), F.lit("Text:"), F.substring(some("text", ""), 1, PASSAGE_CHARS),
     ]
-    return F.concat_ws("\n", *map(F.lit, (*OPENING, *shown)), *about, *map(F.lit, CLOSING))
+    return F.concat_ws("\n", *map(F.lit, (*OPENING, *shown, PASSAGE_OPENING)), *about, *map(F.lit, CLOSING))
 
 
 def keyword_coder(texts: list[str]) -> list[str]:

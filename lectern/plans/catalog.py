@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
-MODULES = ("corpus", "text", "inference", "agreement", "resampling", "models", "reports")
+MODULES = ("corpus", "text", "inference", "agreement", "resampling", "models", "reports", "exchange")
 
 
 def query(sql: str | None = None):
@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return register
 
 
+def oracle_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _sql[name]
+
+
 def _load() -> None:
     for m in MODULES:
         import_module(f"lectern.plans.{m}")

@@ -10,6 +10,7 @@ from ..session import table
 from .catalog import query
 
 _in = lambda xs: ", ".join(f"'{x}'" for x in xs)
+#: The columns of the sampling frame, in their order.
 _COLS = ("institution_id", "name", "country", "country_code", "region", "tier", "qs_2026_rank", "arwu_2025_rank", "public_private", "language_primary", "language_secondary", "website", "policy_search_url", "ror_id", "notes")
 _I = f"i0 AS (SELECT {', '.join(f'coalesce({c}, $$$$) AS {c}' for c in _COLS)} FROM institutions), i1 AS (SELECT *, row_number() OVER (PARTITION BY institution_id ORDER BY {', '.join(_COLS)}) AS k FROM i0)"
 
@@ -78,9 +79,10 @@ def scrape_funnel(spark, d):
     return joined.select("institution_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_fetched", "n_archived", "n_pdf", "bytes")])
 
 
-@query(sql("SELECT institution_id, region, country, tier, CASE WHEN institution_id IN (SELECT institution_id FROM policy_documents WHERE length(text) > 0 AND institution_id IS NOT NULL) THEN 'ok' ELSE 'no_policy_found' END AS drop_reason FROM inst"))
+@query(sql("SELECT institution_id, region, country, tier, CASE WHEN institution_id IN (SELECT institution_id FROM policy_documents WHERE regexp_matches(text, '[^ \\t\\r\\n\\f]') AND institution_id IS NOT NULL) THEN 'ok' ELSE 'no_policy_found' END AS drop_reason FROM inst"))
 def exclusion_ledger(spark, d):
-    found = table(spark, d, "policy_documents").where(F.length("text") > 0).select("institution_id").distinct().withColumn("ok_", F.lit(True))
+    """Whether an institution has a policy: a document whose text is more than white space."""
+    found = table(spark, d, "policy_documents").where(F.col("text").rlike(r"[^ \t\r\n\f]")).select("institution_id").distinct().withColumn("ok_", F.lit(True))
     return institutions(spark, d).join(found, "institution_id", "left").select("institution_id", "region", "country", "tier", F.when(F.col("ok_"), "ok").otherwise("no_policy_found").alias("drop_reason"))
 
 

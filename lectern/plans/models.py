@@ -79,6 +79,14 @@ def kfold_cv(spark, d):
     return rows.groupBy("theme", "fold").applyInPandas(one, "theme string, fold int, auroc double, brier double")
 
 
+@query()
+def kfold_summary(spark, d):
+    """Mean and standard deviation over the folds, by theme; folds with one class only have no area and are left out of its mean."""
+    rows = kfold_cv(spark, d)
+    stats_ = [f(F.nanvl(c, F.lit(None).cast("double"))).alias(f"{c}_{name}") for c in ("auroc", "brier") for name, f in (("mean", F.avg), ("sd", F.stddev_samp))]
+    return rows.groupBy("theme").agg(F.count(F.lit(1)).alias("n_folds"), *stats_)
+
+
 @query()
 def annotator_effect(spark, d):
     """Theme by region, tier and coder on the passages both coders have, with a random intercept by institution."""

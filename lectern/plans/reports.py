@@ -86,17 +86,24 @@ def prevalence_markdown(spark, d):
     return markdown(rows, [F.col("theme"), F.col("region")])
 
 
-@query()
+def _keyword_sql() -> str:
+    from ..operators.coding import KEYWORDS
+
+    has = lambda t: " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in KEYWORDS[t])
+    return f"SELECT coalesce(region, '?') AS region, count(*) AS n_passages, {', '.join(f'sum(CAST({has(t)} AS INTEGER))::BIGINT AS {t}' for t in THEMES)} FROM (SELECT DISTINCT chunk_id, region, text FROM policy_chunks) GROUP BY ALL"
+
+
+@query(_keyword_sql())
 def keyword_codings(spark, d):
     """Passages coded by the coder that needs no model: how many passages of each region have each theme."""
     from ..operators.coding import code_passages
     from ..session import ship, table
 
     ship(spark)
-    passages = table(spark, d, "policy_chunks").select("chunk_id", "text").distinct()
-    coded_ = code_passages(passages)
-    per = [F.sum(F.get_json_object("raw", f"$.themes.{t}").cast("int")).alias(t) for t in THEMES]
-    return coded_.agg(F.count(F.lit(1)).alias("n_passages"), *per)
+    passages = table(spark, d, "policy_chunks").select("chunk_id", "region", "text").distinct().select(F.struct("chunk_id", F.coalesce("region", F.lit("?")).alias("region")).alias("passage"), "text")
+    coded_ = code_passages(passages, id_col="passage")
+    per = [F.sum(F.get_json_object("raw", f"$.themes.{t}").cast("bigint")).alias(t) for t in THEMES]
+    return coded_.groupBy("passage.region").agg(F.count(F.lit(1)).alias("n_passages"), *per)
 
 
 @query("SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS start, count(*) AS n FROM events GROUP BY ALL")

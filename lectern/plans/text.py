@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..domain import CORE_TERMS, PROBE_PATHS, THEMES, USES, institutions, sql
 from ..functions import text as T
 from ..operators import chunking
-from ..operators.coding import prompt
+from ..operators.coding import prompt, template
 from ..session import spread, table
 from .catalog import query
 
@@ -189,6 +189,17 @@ def anchor_links_scored(spark, d):
     return a.withColumn("score", score).where("score > 0 and length(href) <= 300")
 
 
+@query(
+    f"""WITH {_PAGES}, a AS (SELECT policy_doc_id, unnest(regexp_extract_all(html, {_A}, 1, 'i')) AS href, unnest(regexp_extract_all(html, {_A}, 2, 'i')) AS label FROM pages),
+    s AS (SELECT DISTINCT policy_doc_id, href, label, {_score("lower(regexp_replace(href, '^[a-z]+://[^/]*', '') || ' ' || label)")} AS score FROM a)
+    SELECT policy_doc_id, href, label, CAST(score AS INTEGER) AS score, CAST(row_number() OVER (PARTITION BY policy_doc_id ORDER BY score DESC, href, label) AS INTEGER) AS place FROM s WHERE score > 0 AND length(href) <= 300 QUALIFY place <= 20"""
+)
+def top_links(spark, d):
+    """The twenty best links of a page, each once."""
+    w = Window.partitionBy("policy_doc_id").orderBy(F.desc("score"), "href", "label")
+    return anchor_links_scored(spark, d).distinct().withColumn("place", F.row_number().over(w)).where("place <= 20")
+
+
 _HOST = lambda c: rf"regexp_replace(lower(regexp_extract({c}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '')"
 
 
@@ -229,6 +240,19 @@ def lang_query_plan(spark, d):
     return rows.select("institution_id", "lang", "query", F.row_number().over(Window.partitionBy("institution_id").orderBy("lp", "qp")).alias("place"))
 
 
+def _first_five() -> str:
+    from .catalog import oracle_of
+
+    return f"SELECT institution_id, string_agg(query, '; ' ORDER BY place) AS queries, CAST(max(place) AS INTEGER) AS n FROM ({oracle_of('lang_query_plan')}) WHERE place <= 5 GROUP BY ALL"
+
+
+@query(_first_five())
+def first_queries(spark, d):
+    """The first five queries of an institution, in order."""
+    rows = lang_query_plan(spark, d).where("place <= 5").groupBy("institution_id").agg(F.sort_array(F.collect_list(F.struct("place", "query"))).alias("q"))
+    return rows.select("institution_id", F.array_join("q.query", "; ").alias("queries"), F.size("q").alias("n"))
+
+
 _probe = _arr(PROBE_PATHS)
 
 
@@ -275,34 +299,74 @@ _get = lambda p: f"json_extract_string(j, '$.{p}')"
     f"""WITH {_RESP} SELECT chunk_id, model_name, md5(raw) AS raw_md5, CASE WHEN NOT valid THEN 'json_parse_failed' WHEN json_type(j, '$.themes') IS DISTINCT FROM 'OBJECT' THEN 'missing_themes'
     {' '.join(f"WHEN coalesce({_get('themes.' + t)}, 'x') NOT IN ('0', '1') THEN 'bad_theme_value'" for t in THEMES)} WHEN json_type(j, '$.sentiment') IS DISTINCT FROM 'OBJECT' THEN 'missing_sentiment'
     {' '.join(f"WHEN coalesce({_get('sentiment.' + u)}, 'x') NOT IN ('-2', '-1', '0', '1', '2') THEN 'bad_sentiment_value'" for u in USES)} END AS error,
+    CASE WHEN NOT valid OR json_type(j, '$.themes') IS DISTINCT FROM 'OBJECT' THEN NULL
+    {' '.join(f"WHEN coalesce({_get('themes.' + t)}, 'x') NOT IN ('0', '1') THEN '{t}'" for t in THEMES)} WHEN json_type(j, '$.sentiment') IS DISTINCT FROM 'OBJECT' THEN NULL
+    {' '.join(f"WHEN coalesce({_get('sentiment.' + u)}, 'x') NOT IN ('-2', '-1', '0', '1', '2') THEN '{u}'" for u in USES)} END AS key,
+    CASE WHEN valid THEN coalesce({_get('notes')}, '') END AS notes, CASE WHEN valid THEN {_get('chunk_id')} IS DISTINCT FROM chunk_id END AS id_overridden,
     CASE WHEN valid THEN CASE WHEN {_get('confidence')} IN ('low', 'medium', 'high') THEN {_get('confidence')} ELSE 'medium' END END AS confidence FROM r2"""
 )
 def coder_json_validate(spark, d):
-    """The first fault of every raw answer, null if it is good; odd confidence becomes medium."""
+    """The first fault of every raw answer and the field it is in, null if it is good.
+
+    Odd confidence becomes medium, missing notes become empty, and a chunk_id
+    other than the passage's is overridden. Values other than plain integers
+    are faults: nothing is left that could raise while it is checked.
+    """
     rows = responses(spark, d).withColumn("body", F.regexp_extract("raw", r"(?s)\{.+\}", 0))
     rows = rows.withColumn("valid", (F.col("body") != "") & F.expr("try_parse_json(body) is not null"))
     get = lambda p: F.get_json_object("body", f"$.{p}")
     is_object = lambda p: F.coalesce(get(p).startswith("{"), F.lit(False))
-    error = F.when(~F.col("valid"), "json_parse_failed").when(~is_object("themes"), "missing_themes")
+    fault = lambda name, key=None: F.struct(F.lit(name).alias("error"), F.lit(key).cast("string").alias("key"))
+    first = F.when(~F.col("valid"), fault("json_parse_failed")).when(~is_object("themes"), fault("missing_themes"))
     for t in THEMES:
-        error = error.when(~F.coalesce(get(f"themes.{t}"), F.lit("x")).isin("0", "1"), "bad_theme_value")
-    error = error.when(~is_object("sentiment"), "missing_sentiment")
+        first = first.when(~F.coalesce(get(f"themes.{t}"), F.lit("x")).isin("0", "1"), fault("bad_theme_value", t))
+    first = first.when(~is_object("sentiment"), fault("missing_sentiment"))
     for u in USES:
-        error = error.when(~F.coalesce(get(f"sentiment.{u}"), F.lit("x")).isin("-2", "-1", "0", "1", "2"), "bad_sentiment_value")
+        first = first.when(~F.coalesce(get(f"sentiment.{u}"), F.lit("x")).isin("-2", "-1", "0", "1", "2"), fault("bad_sentiment_value", u))
+    notes = F.when(F.col("valid"), F.coalesce(get("notes"), F.lit("")))
+    overridden = F.when(F.col("valid"), ~get("chunk_id").eqNullSafe(F.col("chunk_id")))
     confidence = F.when(F.col("valid"), F.when(get("confidence").isin("low", "medium", "high"), get("confidence")).otherwise("medium"))
-    return rows.select("chunk_id", "model_name", F.md5(F.col("raw").cast("binary")).alias("raw_md5"), error.alias("error"), confidence.alias("confidence"))
-
-
-_PROMPT = """concat_ws(chr(10), 'Below are example codings, followed by the passage to code.', 'Output one JSON object only.', '', 'University: ' || coalesce(institution_name, '?') || ' (' || coalesce(region, '?') || ', tier ' || coalesce(tier, '?') || ')',
-'Section: ' || coalesce(section_header, 'unknown'), 'Language: ' || coalesce(language_declared, '?'), 'ID: ' || coalesce(chunk_id, '?'), '', 'Text:', left(coalesce(text, ''), 6000), '', 'JSON output only:')"""
+    return rows.select("chunk_id", "model_name", F.md5(F.col("raw").cast("binary")).alias("raw_md5"), first.alias("x"), notes.alias("notes"), overridden.alias("id_overridden"), confidence.alias("confidence")).select("chunk_id", "model_name", "raw_md5", "x.error", "x.key", "notes", "id_overridden", "confidence")
+
+
+#: A codebook of two worked examples, as it is kept in a file.
+CODEBOOK = """# Codebook
+
+## System prompt
+```
+You are a careful coder.
+```
+
+### Example 1: a rule on disclosure
+```
+TEXT
+"Students acknowledge every use of generative AI."
+EXPECTED OUTPUT
+{"themes": {"T5_disclosure": 1}, "confidence": "high"}
+```
+
+### Example 2: not about the topic
+```
+TEXT
+Parking permits end in May.
+EXPECTED OUTPUT
+nothing to code
+```
+"""
+_PROMPT = """concat_ws(chr(10), 'Below are 16 example codings, followed by the chunk you must code.', 'Output one JSON object only.', '',
+'EXAMPLE 1', 'Text: Students acknowledge every use of generative AI.', 'Expected: {"themes": {"T5_disclosure": 1}, "confidence": "high"}', '', 'EXAMPLE 2', 'Text: Parking permits end in May.', 'Expected: nothing to code', '',
+'NOW CODE THE FOLLOWING:', 'University: ' || coalesce(institution_name, '?') || ' (' || coalesce(region, '?') || ', tier ' || coalesce(tier, '?') || ')',
+'Document section: ' || coalesce(section_header, 'unknown'), 'Original language: ' || coalesce(language_declared, '?'), 'Chunk ID: ' || coalesce(chunk_id, '?'), '', 'Text:', left(coalesce(text, ''), 6000), '', 'JSON output only:')"""
 
 
 @query(f"SELECT chunk_id, md5({_PROMPT}) AS prompt_md5, CAST(length({_PROMPT}) AS INTEGER) AS n_chars FROM policy_chunks")
 def prompt_build(spark, d):
-    return table(spark, d, "policy_chunks").select("chunk_id", F.md5(prompt().cast("binary")).alias("prompt_md5"), F.length(prompt()).alias("n_chars"))
+    filled = prompt(template(CODEBOOK)[1])
+    return table(spark, d, "policy_chunks").select("chunk_id", F.md5(filled.cast("binary")).alias("prompt_md5"), F.length(filled).alias("n_chars"))
 
 
 @query(f"SELECT chunk_id, md5('<|im_start|>system' || chr(10) || 'You are a careful coder.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {_PROMPT} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS chat_md5 FROM policy_chunks")
 def chat_template(spark, d):
-    chat = F.concat(F.lit("<|im_start|>system\nYou are a careful coder.<|im_end|>\n<|im_start|>user\n"), prompt(), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+    system, examples = template(CODEBOOK)
+    chat = F.concat(F.lit(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"), prompt(examples), F.lit("<|im_end|>\n<|im_start|>assistant\n"))
     return table(spark, d, "policy_chunks").select("chunk_id", F.md5(chat.cast("binary")).alias("chat_md5"))

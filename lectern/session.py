@@ -1,8 +1,8 @@
 """Session helpers: a tuned local session, table loading and durable staging.
 
 Staged tables cut the lineage of iterative plans. They go to the shared folder
-named by ``spark.checkpoint.dir``; only where that is unset (a local test
-session) a temporary folder of this machine is used.
+named by ``spark.checkpoint.dir``; only where that is unset in a local session
+a temporary folder of this machine is used. On a cluster it has to be set.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor sees")
         where = "file://" + tempfile.mkdtemp(prefix="lectern-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     if not sc.getCheckpointDir():

@@ -43,16 +43,17 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.json(path, multiLine=True)
 
 
-def read_shards(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "shard_*.jsonl") -> DataFrame:
-    """All shards of a folder, with ``shard`` from the file's name."""
+def read_shards(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "shard*", good: str | None = None) -> DataFrame:
+    """All shards of a folder, with ``shard`` from the name of the file or of its folder; of the rows those whose column ``good`` is true."""
     df = read_jsonl(spark, f"{folder.rstrip('/')}/{pattern}", schema)
-    return df.withColumn("shard", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).cast("int"))
+    df = df.withColumn("shard", F.regexp_extract(F.col("_metadata.file_path"), r"shard[=_](\d+)", 1).cast("int"))
+    return df.where(F.col(good)) if good else df
 
 
 def read_conditions(spark: SparkSession, folder: str, schema: T.StructType | str, pattern: str = "*.jsonl") -> DataFrame:
     """Files below one folder a condition, with ``condition`` from the folder's name."""
     df = read_jsonl(spark, f"{folder.rstrip('/')}/*/{pattern}", schema)
-    return df.withColumn("condition", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
+    return df.withColumn("condition", F.try_url_decode(F.regexp_extract(F.col("_metadata.file_path"), r"/(?:condition=)?([^/]+)/[^/]+$", 1)))
 
 
 def read_archive(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,6 +134,68 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mode:
     df.select(*[F.col(c).cast("string") if c in df.columns else F.lit("").alias(c) for c in columns]).coalesce(1).write.mode(mode).csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
+def append_csv(df: DataFrame, path: str, columns: list[str]) -> None:
+    """Rows added to a CSV folder; only the first part ever written has the header."""
+    new = not exists(df.sparkSession, path)
+    df.select(*[F.col(c).cast("string") if c in df.columns else F.lit("").alias(c) for c in columns]).coalesce(1).write.mode("append").csv(path, header=new, nullValue="", emptyValue="", escape='"')
+
+
+def read_appended_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """What ``append_csv`` wrote, all cells as strings; the one header row drops out."""
+    raw = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).csv(path, header=False, multiLine=True, escape='"')
+    header = F.struct(*[F.col(f"`{c}`") for c in columns]) == F.struct(*map(F.lit, columns))
+    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns]).where(~header)
+
+
+def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The rows of a report as one JSON document with a key a line, letters as they are; nulls are kept. A report is small: it is put together by one task."""
+    whole = df.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("rows"))
+    whole.select(F.to_json("rows", {"pretty": "true", "ignoreNullFields": "false"})).coalesce(1).write.mode(mode).text(path)
+
+
+def publish(df: DataFrame, path: str, key: str) -> DataFrame:
+    """Write a table beside its place, move it there in one step, and leave a manifest next to it, which is the result.
+
+    Readers see the old table or the new one, never a part of it.
+    """
+    spark = df.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    new, place, old = hadoop.Path(f"{path}.new"), hadoop.Path(path), hadoop.Path(f"{path}.old")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(place):
+        fs.rename(place, old)
+    if not fs.rename(new, place):
+        raise OSError(f"cannot publish {path}")
+    fs.delete(old, True)
+    manifest(spark.read.parquet(path), key).write.mode("overwrite").json(f"{path}.manifest")
+    return spark.read.schema("n_rows bigint, n_keys bigint, digest string").json(f"{path}.manifest")
+
+
+SIDECAR = "url string, accessed_at string, content_type string, extension string, size_bytes bigint, sha256 string, language_primary string, language_secondary string, country_code string, tier string, file string"
+
+
+def write_archive(pages: DataFrame, folder: str, mode: str = "append") -> None:
+    """Fetched pages as an archive: contents, sidecars and an index, each by region and institution.
+
+    ``pages`` has institution_id, region, url, accessed_at (timestamp),
+    content_type and content (binary); other columns of a sidecar are empty
+    where they are missing. A file is named by its time and kind.
+    """
+    ext = F.when(F.contains(F.lower(F.coalesce("content_type", F.lit(""))), F.lit("application/pdf")), "pdf").otherwise("html")
+    at = F.date_format("accessed_at", "yyyyMMdd'T'HHmmss'Z'")
+    some = lambda c: (F.coalesce(F.col(c), F.lit("")) if c in pages.columns else F.lit("")).alias(c)
+    rows = pages.select(
+        F.coalesce("region", F.lit("")).alias("region"), F.coalesce("institution_id", F.lit("")).alias("institution_id"), "url", at.alias("accessed_at"), "content_type", ext.alias("extension"), F.octet_length("content").cast("bigint").alias("size_bytes"),
+        F.sha2("content", 256).alias("sha256"), some("language_primary"), some("language_secondary"), some("country_code"), some("tier"), F.concat_ws(".", at, ext).alias("file"), "content",
+    )
+    by = ["region", "institution_id"]
+    rows.select(*by, "file", "sha256", "content").write.mode(mode).partitionBy(*by).parquet(f"{folder}/contents")
+    rows.drop("content").write.mode(mode).partitionBy(*by).json(f"{folder}/sidecars")
+    rows.select(*by, "file", "url", "sha256", "accessed_at").write.mode(mode).partitionBy(*by).json(f"{folder}/index")
+
+
 def union_columns(*frames: DataFrame) -> DataFrame:
     """Rows of all frames under the first one's columns and then all others, sorted; what a frame lacks is null."""
     first = frames[0].columns

@@ -48,17 +48,90 @@ def fetch(df: DataFrame, get: Callable[[str], tuple[int, str, str]], url_col: st
     return rows.repartition("host_").sortWithinPartitions("host_", "url").mapInPandas(run, "url string, status int, content_type string, body string, tries int")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path without its ``.`` and ``..`` segments; nothing leads above the root."""
+    parts = F.split(path, "/")
+    ends_open = path.rlike(r"(?:^|/)\.{1,2}$")
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), none, lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(ends_open & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """A link against the page it stands on: absolute, from the root, from the scheme or beside the page."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    """A link against the page it stands on, after RFC 3986: absolute, from the scheme, the root or beside the page, a query or a fragment only."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:]/)[^/]*$", "")
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_replace(base, r"#.*$", "")
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.concat(F.regexp_replace(path, r"[^/]*$", ""))
+    own, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    beside = F.concat(root, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), own)), rest)
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, href))
-        .otherwise(F.concat(F.when(F.length(folder) > F.length(root), folder).otherwise(F.concat(root, F.lit("/"))), href))
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, href)).when(href.startswith("/"), F.concat(root, _without_dots(own), rest))
+        .when(href == "", base).when(href.startswith("#"), F.concat(page, href)).when(href.startswith("?"), F.concat(root, path, href)).otherwise(beside)
     )
 
 
+def answer_links(answer: Column) -> Column:
+    """The URLs of a search service's JSON answer (``webPages.value[].url``), each once, in order; none for anything else."""
+    pages = F.from_json(answer, "webPages struct<value: array<struct<url: string>>>")["webPages"]["value"]["url"]
+    return F.array_distinct(F.filter(F.coalesce(pages, F.array().cast("array<string>")), lambda u: F.coalesce(F.length(u), F.lit(0)) > 0))
+
+
+def domain_links(html: Column, domain: Column) -> Column:
+    """The absolute links of a page of results whose host is the domain or below it, each once, in order."""
+    host = lambda u: T.host(u)
+    return F.filter(T.absolute_links(html), lambda u: (host(u) == domain) | host(u).endswith(F.concat(F.lit("."), domain)))
+
+
+def allowed(candidates: DataFrame, robots: DataFrame, agent: str, url_col: str = "url") -> DataFrame:
+    """The candidates that the rules of their host allow; a host without rules (``robots``: host, body) allows all.
+
+    A host's rules are parsed once a batch; a null URL drops out.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from urllib.robotparser import RobotFileParser
+
+        known: dict[str, RobotFileParser | None] = {}
+        for f in frames:
+            keep = []
+            for url, body in zip(f["url_"], f["body_"]):
+                if not isinstance(body, str):
+                    keep.append(True)
+                    continue
+                if body not in known:
+                    known[body] = RobotFileParser()
+                    known[body].parse(body.splitlines())
+                keep.append(known[body].can_fetch(agent, url))
+            yield f.loc[keep, ["row_"]]
+
+    rows = candidates.where(F.col(url_col).isNotNull()).select(F.struct(*[F.col(f"`{c}`") for c in candidates.columns]).alias("row_"), F.col(url_col).alias("url_"), T.host(F.col(url_col)).alias("host_"))
+    rules = robots.groupBy(F.col("host").alias("host_")).agg(F.max("body").alias("body_"))
+    both = rows.join(rules, "host_", "left").select(F.to_json("row_").alias("row_"), "url_", "body_")
+    return both.mapInPandas(run, "row_ string").select(F.from_json("row_", candidates.schema).alias("x")).select("x.*")
+
+
+def head_check(rows: DataFrame, head: Callable[[str], int], key: str = "institution_id", fields: tuple[str, ...] = ("website", "policy_search_url"), most: int = 5) -> DataFrame:
+    """The answers to a look at the URLs of the first ``most`` rows, by key: the key, ``field``, ``url``, ``status``, ``elapsed_ms``, ``error``."""
+    first = rows.orderBy(key).limit(most)
+    each = first.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("url")) for f in fields])).alias("x")).select(key, "x.*").where(F.length("url") > 0)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for url in f["url"]:
+                began, status, error = clock.monotonic(), None, None
+                try:
+                    status = int(head(url))
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                out.append((status, int((clock.monotonic() - began) * 1000), error))
+            yield f.assign(status=pd.array([x[0] for x in out], dtype="Int32"), elapsed_ms=[x[1] for x in out], error=[x[2] for x in out])
+
+    return each.mapInPandas(run, f"{key} string, field string, url string, status int, elapsed_ms bigint, error string")
+
+
 def result_links(html: Column, domain: Column) -> Column:
     """Targets of a page of search results that wraps them in ``uddg``, decoded, on the domain, each once."""
     wrapped = F.regexp_extract_all(html, F.lit(r"[?&]uddg=([^&\"]+)"), F.lit(1))
@@ -92,11 +165,20 @@ def crawl(seeds: DataFrame, links: DataFrame, hops: int = 2, enough: int = 3) ->
     return found
 
 
-def new_by_query(hits: DataFrame, order: str = "place") -> DataFrame:
-    """How many URLs each query of an institution adds that none before it had: ``institution_id``, ``query``, ``n_new``."""
+def new_by_query(hits: DataFrame, order: str = "place", answers: DataFrame | None = None) -> DataFrame:
+    """How many URLs each query of an institution adds that none before it had: ``institution_id``, ``query``, ``n_new``.
+
+    ``answers`` (institution_id, query, the order, status) adds queries without
+    hits: one that failed has its negative status, and after a refusal (429)
+    there are no more of the institution's.
+    """
     first = hits.groupBy("institution_id", "url").agg(F.min_by("query", order).alias("query"))
     n = first.groupBy("institution_id", "query").agg(F.count(F.lit(1)).alias("n_new"))
-    return hits.select("institution_id", "query").distinct().join(n, ["institution_id", "query"], "left").select("institution_id", "query", F.coalesce("n_new", F.lit(0)).alias("n_new"))
+    if answers is None:
+        return hits.select("institution_id", "query").distinct().join(n, ["institution_id", "query"], "left").select("institution_id", "query", F.coalesce("n_new", F.lit(0)).alias("n_new"))
+    refused = answers.where("status = 429").groupBy("institution_id").agg(F.min(order).alias("refused_"))
+    asked = answers.join(refused, "institution_id", "left").where(F.col("refused_").isNull() | (F.col(order) <= F.col("refused_")))
+    return asked.join(n, ["institution_id", "query"], "left").select("institution_id", "query", F.when(F.col("status") != 200, -F.col("status").cast("bigint")).otherwise(F.coalesce("n_new", F.lit(0))).alias("n_new"))
 
 
 def pending(candidates: DataFrame, done: DataFrame, key: str = "institution_id", limit: int | None = None, order: str | None = None) -> DataFrame:

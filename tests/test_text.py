@@ -131,5 +131,5 @@ def test_template_and_coder(spark):
 def test_prompt(spark):
     df = spark.createDataFrame([("c1", None, "NA", "elite", None, "en", "x" * 7000), ("c2", "U", None, None, "Scope", None, None)], "chunk_id string, institution_name string, region string, tier string, section_header string, language_declared string, text string")
     a, b = (r.p.split("\n") for r in df.select(coding.prompt([{"text": "y" * 700, "expected": "{}"}]).alias("p")).collect())
-    assert a[3:7] == ["EXAMPLE 1", "Text: " + "y" * 600, "Expected: {}", ""] and a[7] == "University: ? (NA, tier elite)" and a[-3] == "x" * 6000
-    assert b[7:13] == ["University: U (?, tier ?)", "Section: Scope", "Language: ?", "ID: c2", "", "Text:"] and b[-1] == "JSON output only:"
+    assert a[3:7] == ["EXAMPLE 1", "Text: " + "y" * 600, "Expected: {}", ""] and a[7:9] == ["NOW CODE THE FOLLOWING:", "University: ? (NA, tier elite)"] and a[-3] == "x" * 6000
+    assert b[8:14] == ["University: U (?, tier ?)", "Document section: Scope", "Original language: ?", "Chunk ID: c2", "", "Text:"] and b[-1] == "JSON output only:"
