@@ -38,7 +38,8 @@ DIMENSIONS = THEMES + USES
 N_THEMES = len(THEMES)
 #: Labels are -2..2, as places 0..4; themes use places 2 and 3.
 PLACES = 5
-ROUNDS = 12
+#: The most rounds; they end when no competence moves by more than SETTLED.
+ROUNDS, SETTLED = 40, 1e-2
 CONSENSUS = "chunk_id string, dimension string, label int, p double, n_annotators int, agreement double"
 RELIABILITY = "model_name string, dimension string, competence double, dependence double"
 
@@ -56,8 +57,9 @@ def latest_codings(coded: DataFrame) -> DataFrame:
 
 def items(codings: DataFrame, names: list[str]) -> DataFrame:
     """One row an item: the places of its annotators and their labels, one after the other."""
-    place = F.create_map(*[x for k, n in enumerate(names) for x in (F.lit(n), F.lit(k))]) if names else F.create_map()
-    return codings.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct(place[F.col("model_name")].alias("who"), "labels"))).alias("codings")).select("chunk_id", F.col("codings.who").alias("who"), F.flatten("codings.labels").alias("labels"))
+    place = codings.sparkSession.createDataFrame(list(enumerate(names)), "who int, model_name string")
+    rows = codings.join(place, "model_name")
+    return rows.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("who", "labels"))).alias("codings")).select("chunk_id", F.col("codings.who").alias("who"), F.flatten("codings.labels").alias("labels"))
 
 
 class Annotators:
@@ -123,7 +125,7 @@ class Annotators:
             if not len(k):
                 break
             a, b = who[k + shift], who[k]
-            # sentiment only: two wrong labels of a theme always agree
+            # sentiment only: two wrong labels of a theme always agree, which tells nothing of a common source
             both = wrong[k + shift] * wrong[k]
             same = (labels[k + shift] == labels[k]).astype(float)
             ga, gb = self.guess[a], self.guess[b]
@@ -133,7 +135,6 @@ class Annotators:
                 np.add.at(out["both"], (x, y), both[:, use].sum(axis=1))
                 np.add.at(out["agree"], (x, y), (both * same)[:, use].sum(axis=1))
                 np.add.at(out["chance"], (x, y), (both * chance)[:, use].sum(axis=1))
-            # errors on themes: how often both err against how often they would by themselves
         return out
 
     def update(self, s: dict[str, np.ndarray]) -> None:
@@ -181,7 +182,10 @@ def fit(rows: DataFrame, n: int, rounds: int = ROUNDS) -> Annotators:
         sums = {"truthful": np.zeros((n, 12)), "of": np.zeros((n, 12)), "guess": np.zeros((n, 12, PLACES)), "prior": np.zeros((12, PLACES)), "both": np.zeros((n, n)), "agree": np.zeros((n, n)), "chance": np.zeros((n, n))}
         for r in rows.mapInArrow(run, "name string, k bigint, v double").groupBy("name", "k").agg(F.sum("v").alias("v")).collect():
             sums[r["name"]].ravel()[r.k] = round(r.v, 9)
+        before, voices = state.competence, state.dependence
         state.update(sums)
+        if max(np.abs(state.competence - before).max(), np.abs(state.dependence - voices).max()) <= SETTLED:
+            break
     return state
 
 

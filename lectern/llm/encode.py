@@ -215,14 +215,17 @@ def encode_ids(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
 
 
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab_path: str = VOCAB_PATH) -> DataFrame:
-    """The id and ``n_tokens``; 0 for null and empty texts."""
+    """The id, ``n_tokens``, 0 for null and empty texts, and ``row_``, which tells rows without an id apart (0 for all others)."""
     raw = vocabulary(df, vocab_path)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_for(raw.value).encode
+        encode, seen = encoder_for(raw.value).encode, 0
         for batch in batches:
             n = [len(encode(x)) // 4 for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
+            null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            row = np.where(null, np.arange(seen + 1, seen + 1 + len(n)), 0)
+            seen += len(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(row, pa.int64())], names=[id_col, "n_tokens", "row_"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint")
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens bigint, row_ bigint")

@@ -11,7 +11,7 @@ containers partly empty, against some ten thousand full ones.
 
 Defined results: documents without tokens get no container. A document above
 the capacity is cut into full pieces and a rest; no other is cut. Rows with a
-null id are packed like others. Of rows with the same id each is packed.
+null id are packed like others, and fall into groups by their place in the scan. Of rows with the same id each is packed.
 """
 
 from __future__ import annotations
@@ -62,7 +62,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = df.schema[id_col].dataType.simpleString()
     groups = max(1, -(-df.select(F.lit(1)).count() // GROUP_ROWS))
     sized = token_counts(df, id_col, text_col, vocab_path).where("n_tokens > 0")
-    sized = sized.withColumn("order_", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("n_tokens"))).withColumn("group_", F.expr(f"cast(pmod(order_, {groups}) as int)"))
+    sized = sized.withColumn("order_", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("n_tokens"), F.col("row_"))).withColumn("group_", F.expr(f"cast(pmod(order_, {groups}) as int)"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order_", "n_tokens", id_col], kind="stable")
