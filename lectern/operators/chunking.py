@@ -1,6 +1,6 @@
 """Headings, blocks and greedy packing of paragraphs.
 
-A document's blocks are a fold over its lines; packing is a fold over its
+A document's blocks are cut at its headings; packing is a fold over its
 paragraphs, in one pass, without leaving the JVM.
 """
 
@@ -15,19 +15,21 @@ TARGET, LEAST, MOST = 500, 120, 750
 HEADING = r"^[ \t\r\f\x0b]{0,3}#{1,6}[ \t\r\f\x0b]+(.+?)[ \t\r\f\x0b]*$"
 
 
-def blocks(text: Column) -> Column:
-    """The blocks of a text as an array of (heading, body); blocks without text and headings without a body drop out."""
-    head = lambda line: F.regexp_extract(line, HEADING, 1)
-    none = F.array().cast("array<string>")
-    close = lambda acc: F.array_append(acc["done"], F.struct(acc["heading"].alias("heading"), acc["body"].alias("body")))
-    state = F.struct(F.array().cast("array<struct<heading:string,body:array<string>>>").alias("done"), F.lit("").alias("heading"), none.alias("body"))
+#: Where a line that is a heading begins. Lines end in \\n only.
+BEFORE_HEADING = r"(?md)(?=^[ \t\r\f\x0b]{0,3}#{1,6}[ \t\r\f\x0b]+.+?[ \t\r\f\x0b]*$)"
 
-    def step(acc: Column, line: Column) -> Column:
-        new = F.length(head(line)) > 0
-        return F.struct(F.when(new, close(acc)).otherwise(acc["done"]).alias("done"), F.when(new, head(line)).otherwise(acc["heading"]).alias("heading"), F.when(new, none).otherwise(F.array_append(acc["body"], line)).alias("body"))
 
-    joined = F.transform(F.aggregate(F.split(text, "\n"), state, step, close), lambda b: F.struct(b["heading"].alias("heading"), F.regexp_replace(F.array_join(b["body"], "\n"), r"^[ \t\r\n\f\x0b]+|[ \t\r\n\f\x0b]+$", "").alias("body")))
-    return F.filter(joined, lambda b: b["body"] != "")
+def blocks(text: Column) -> Column:
+    """The blocks of a text as an array of (heading, body); blocks without text and headings without a body drop out.
+
+    The text is cut before its heading lines, in one pass whatever its length.
+    """
+    parts = F.split(text, BEFORE_HEADING)
+    line = lambda x: F.substring_index(x, "\n", 1)
+    head = lambda x: F.regexp_extract(line(x), HEADING.replace("^", "(?d)^", 1), 1)
+    rest = lambda x: F.when(F.length(head(x)) > 0, F.substr(x, F.length(line(x)) + 2)).otherwise(x)
+    found = F.transform(parts, lambda x: F.struct(head(x).alias("heading"), F.regexp_replace(rest(x), r"^[ \t\r\n\f\x0b]+|[ \t\r\n\f\x0b]+$", "").alias("body")))
+    return F.filter(found, lambda b: b["body"] != "")
 
 
 def heading_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
