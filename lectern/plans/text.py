@@ -80,9 +80,39 @@ def sentence_split(spark, d):
     return docs(spark, d).where("text is not null").select("policy_doc_id", F.size(s).alias("n_sentences"), F.array_max(F.transform(s, F.length)).alias("longest"))
 
 
-@query()
+_SENTENCES = r"list_filter(string_split(regexp_replace({c}, '([.!?。！？])[ \t\r\n\f\x0b]+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
+_JOIN = "CASE WHEN acc.b = '' THEN x.s ELSE acc.b || ' ' || x.s END"
+_fits = f"(acc.b = '' OR {_tokens('(' + _JOIN + ')', 'x.lang')} <= {chunking.MOST})"
+#: A paragraph too long, its sentences joined up to the limit: what a fold over them has closed, and what is left open.
+_PIECES = f"""list_reduce([{{'o': []::VARCHAR[], 'b': '', 's': y, 'lang': lang}} FOR y IN {_SENTENCES.format(c='p')}],
+    lambda acc, x: {{'o': CASE WHEN {_fits} THEN acc.o ELSE list_append(acc.o, acc.b) END, 'b': CASE WHEN {_fits} THEN {_JOIN} ELSE x.s END, 's': '', 'lang': x.lang}}, {{'o': []::VARCHAR[], 'b': '', 's': '', 'lang': lang}})"""
+_chunk = lambda h, parts, t: f"{{'h': {h}, 'parts': {parts}, 't': {t}}}"
+_none = "[]::STRUCT(h VARCHAR, parts VARCHAR[], t INTEGER)[]"
+_full = f"(acc.n + x.t > {chunking.TARGET} AND acc.n >= {chunking.LEAST})"
+_flushed = f"list_append(acc.o, {_chunk('x.h', 'acc.b', 'acc.n')})"
+_joined = f"""{{'o': CASE WHEN x.a THEN list_append(CASE WHEN acc.n > 0 THEN {_flushed} ELSE acc.o END, {_chunk('x.h', '[x.s]', 'x.t')}) WHEN {_full} THEN {_flushed} ELSE acc.o END,
+    'b': CASE WHEN x.a THEN []::VARCHAR[] WHEN {_full} THEN [x.s] ELSE list_append(acc.b, x.s) END, 'n': CASE WHEN x.a THEN 0 WHEN {_full} THEN x.t ELSE acc.n + x.t END}}"""
+_closed = f"CASE WHEN s.n >= {chunking.LEAST} THEN list_append(s.o, {_chunk('x.h', 's.b', 's.n')}) WHEN s.n > 0 AND len(s.o) > 0 THEN list_append(s.o[:-2], {_chunk('s.o[-1].h', 's.o[-1].parts || s.b', 's.o[-1].t + s.n')}) ELSE s.o END"
+_unit = lambda o, b, n, rest: f"{{'o': {o}, 'b': {b}, 'n': {n}, {rest}}}"
+_same = "'h': x.h, 's': x.s, 't': x.t, 'a': x.a, 'l': x.l"
+
+
+@query(
+    _BLOCKS
+    + rf""",
+lg AS (SELECT b.policy_doc_id, k, heading, body, coalesce(d.language_detected, 'und') AS lang FROM b JOIN policy_documents d USING (policy_doc_id) WHERE body <> ''),
+pp AS (SELECT policy_doc_id, k, heading, lang, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (SELECT *, [regexp_replace(y, {_TRIM}) FOR y IN string_split_regex(body, '\n[ \t\r\f\x0b]*\n[ \t\r\f\x0b\n]*') IF regexp_replace(y, {_TRIM}) <> ''] AS ps FROM lg)),
+pt AS (SELECT *, {_tokens('p', 'lang')} AS t FROM pp),
+pl AS (SELECT policy_doc_id, k, heading, lang, j, t > {chunking.MOST} AS alone, p, CASE WHEN t > {chunking.MOST} THEN {_PIECES} END AS f FROM pt),
+us AS (SELECT policy_doc_id, k, heading, lang, j, alone, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT *, CASE WHEN NOT alone THEN [p] WHEN f.b = '' THEN f.o ELSE list_append(f.o, f.b) END AS ss FROM pl)),
+uf AS (SELECT *, CAST({_tokens('s', 'lang')} AS INTEGER) AS t, lead(k) OVER (PARTITION BY policy_doc_id ORDER BY k, j, i) IS DISTINCT FROM k AS l FROM us),
+ul AS (SELECT policy_doc_id, list({_unit(_none, '[]::VARCHAR[]', '0', "'h': heading, 's': s, 't': t, 'a': alone, 'l': l")} ORDER BY k, j, i) AS u FROM uf GROUP BY policy_doc_id),
+uo AS (SELECT policy_doc_id, list_reduce(u, lambda acc, x: list_transform([{_joined}], lambda s: {_unit(f'CASE WHEN x.l THEN {_closed} ELSE s.o END', 'CASE WHEN x.l THEN []::VARCHAR[] ELSE s.b END', 'CASE WHEN x.l THEN 0 ELSE s.n END', _same)})[1],
+    {_unit(_none, '[]::VARCHAR[]', '0', "'h': '', 's': '', 't': 0, 'a': false, 'l': false")}).o AS o FROM ul)
+SELECT policy_doc_id, CAST(seq - 1 AS INTEGER) AS seq, c.h AS heading, CAST(len(c.parts) AS INTEGER) AS n_parts, c.t AS tokens, md5(array_to_string(c.parts, chr(10) || chr(10))) AS text_md5 FROM (SELECT policy_doc_id, unnest(o) AS c, generate_subscripts(o, 1) AS seq FROM uo)"""
+)
 def pack_chunks(spark, d):
-    """Greedy chunks of all documents; held against a plain loop in the tests."""
+    """Greedy chunks of all documents; held against a plain loop in the tests as well."""
     return chunking.pack_documents(docs(spark, d), "policy_doc_id", "text", "language_detected").select("policy_doc_id", "seq", "heading", "n_parts", "tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
