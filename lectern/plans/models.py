@@ -127,34 +127,6 @@ def bootstrap_kappa(spark, d):
     return counts.groupBy("theme").applyInPandas(one, "theme string, n bigint, ci_low double, ci_high double")
 
 
-@query()
-def bootstrap_diff_mean(spark, d):
-    """Bootstrap limits of differences of mean sentiment between regions.
-
-    The draws of a mean need only how often each distinct institution mean
-    occurs, so that a group holds distinct values with their counts.
-    """
-    from ..domain import PAIRS, USES, inst_sentiment
-
-    ship(spark)
-    rows = inst_sentiment(spark, d).groupBy("use", "region", F.round("mean", 9).alias("mean")).agg(F.count(F.lit(1)).alias("n"))
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        out, rng, means = [], np.random.default_rng(SEED), {}
-        for r in REGIONS:
-            own = g[g.region == r].sort_values("mean")
-            total = int(own.n.sum())
-            if total > 1:
-                means[r] = rng.multinomial(total, own.n.to_numpy() / total, 2000) @ own["mean"].to_numpy() / total
-        for a, b in PAIRS:
-            if a in means and b in means:
-                low, high = np.percentile(means[a] - means[b], [2.5, 97.5])
-                out.append((g.use.iloc[0], a, b, float(low), float(high)))
-        return pd.DataFrame(out, columns=["use", "region_a", "region_b", "ci_low", "ci_high"])
-
-    return rows.groupBy("use").applyInPandas(one, "use string, region_a string, region_b string, ci_low double, ci_high double")
-
-
 def _weights(k: int) -> np.ndarray:
     i = np.arange(k)
     return (i[:, None] - i[None, :]) ** 2 / max(1, (k - 1) ** 2)

@@ -184,3 +184,33 @@ def bootstrap_diff_prop(spark, d):
     diffs = diffs.withColumn("diff", F.col("x_a").cast("double") / F.col("n_a") - F.col("x_b").cast("double") / F.col("n_b"))
     q = F.percentile("diff", F.array(F.lit(0.025), F.lit(0.975)))
     return diffs.groupBy("theme", "region_a", "region_b").agg(q.alias("q")).select("theme", "region_a", "region_b", rnd(F.col("q")[0], "ci_low"), rnd(F.col("q")[1], "ci_high"))
+
+
+def _boot_mean_sql() -> str:
+    u = U_DUCK.format(seed=SEED, b="b", key="concat_ws('/', use, region, i)")
+    return sql(
+        """SELECT use, region_a, region_b, round(quantile_cont(diff, 0.025), 9) AS ci_low, round(quantile_cont(diff, 0.975), 9) AS ci_high FROM md GROUP BY ALL""",
+        SQL_BASE.rstrip() + f""",
+mg AS (SELECT use, region, list(round(mean, 9) ORDER BY round(mean, 9)) AS m, count(*) AS n FROM inst_sent GROUP BY ALL HAVING count(*) > 1),
+mu AS (SELECT use, region, m, n, b, i, {u} AS u FROM (SELECT use, region, m, n, b, unnest(range(n)) AS i FROM mg CROSS JOIN (SELECT unnest(range({DRAWS})) AS b))),
+mb AS (SELECT use, region, b, sum(m[CAST(floor(u * n) AS INTEGER) + 1]) / any_value(n) AS mean FROM mu GROUP BY use, region, b),
+md AS (SELECT x.use, x.region AS region_a, y.region AS region_b, x.mean - y.mean AS diff FROM mb x JOIN regions rx ON rx.region = x.region JOIN mb y ON x.b = y.b AND x.use = y.use JOIN regions ry ON ry.region = y.region AND rx.ord < ry.ord)""",
+    )
+
+
+@query(_boot_mean_sql())
+def bootstrap_diff_mean(spark, d):
+    """Bootstrap limits of differences of mean sentiment between regions of at least two institutions.
+
+    A draw takes as many institutions as the region has, with repeats, by a hash;
+    a region's means fit one row, the sampling frame being what it is.
+    """
+    from ..domain import inst_sentiment
+
+    rows = inst_sentiment(spark, d).groupBy("use", "region").agg(F.array_sort(F.collect_list(F.round("mean", 9))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    u = U_SPARK.format(seed=SEED, b="b", key="concat_ws('/', use, region, i)")
+    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).repartition("use", "region", "b")
+    drawn = drawn.withColumn("mean", F.expr(f"aggregate(sequence(0, cast(n as int) - 1), 0D, (acc, i) -> acc + m[cast(floor({u} * n) as int)]) / n"))
+    diffs = region_pairs(by_region(drawn, ["b", "use"], F.max("mean").alias("mean"), F.max("n").alias("n")), ["b", "use"], {"mean": "double", "n": "bigint"}).where("n_a > 0 and n_b > 0")
+    q = F.percentile(F.col("mean_a") - F.col("mean_b"), F.array(F.lit(0.025), F.lit(0.975)))
+    return diffs.groupBy("use", "region_a", "region_b").agg(q.alias("q")).select("use", "region_a", "region_b", rnd(F.col("q")[0], "ci_low"), rnd(F.col("q")[1], "ci_high"))
