@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import release, stage
 
 THRESHOLD = 0.7
 WORDS = 3
@@ -254,7 +254,7 @@ def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = T
     """Pairs of representatives that some leaf holds and whose sketches agree, each once; ``trees`` is the least number of trees."""
     trees = trees_for(1, threshold, least=trees)
     level = _spread(reps, range(trees), threshold, 1, kind)
-    found, before = None, None
+    found, before, at_level = None, None, None
     for depth in count(1):
         large = stage(level.groupBy("path").count().where(F.col("count") > NODE), "near-large")
         n_large, n_rows = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -273,7 +273,11 @@ def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = T
             if more > trees:
                 level = level.unionByName(_spread(reps.join(at.select("id").distinct(), "id", "left_semi"), range(trees, more), threshold, depth + 1, kind))
                 trees = more
-            level = stage(level, "near-level")
+            level, last = stage(level, "near-level"), at_level
+            at_level = level
+            release(large)
+            if last is not None:
+                release(last)
             continue
         # what no branching splits: in blocks, each pair of blocks a node of its own
         blocks = F.ceil(F.col("count") / (NODE / 2)).cast("int")
@@ -366,10 +370,12 @@ def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
         near = links.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("seen"))
         low = labels.join(near, labels.v == near.a, "left").select("v", "label", F.least("label", F.coalesce("seen", "label")).alias("low"))
         # what it sees lowers a text and its root
-        new = stage(low.select("v", "low").union(low.where("low < label").select("label", "low")).groupBy("v").agg(F.min("low").alias("label")), "near-hooked")
-        jump = new.select(F.col("v").alias("w"), F.col("label").alias("far"))
-        new = stage(new.join(jump, new.label == jump.w).select("v", F.least("label", "far").alias("label")), "near-labels")
+        hooked = stage(low.select("v", "low").union(low.where("low < label").select("label", "low")).groupBy("v").agg(F.min("low").alias("label")), "near-hooked")
+        jump = hooked.select(F.col("v").alias("w"), F.col("label").alias("far"))
+        new = stage(hooked.join(jump, hooked.label == jump.w).select("v", F.least("label", "far").alias("label")), "near-labels")
         changed = new.join(labels.select(F.col("v").alias("u"), F.col("label").alias("old")), F.col("v") == F.col("u")).where("label <> old").limit(1).count()
+        release(labels)
+        release(hooked)
         labels = new
         if not changed:
             break
