@@ -170,15 +170,26 @@ def _blocks(batch_texts: list[str | None]) -> Iterator[tuple[list[int], list[str
         yield rows, texts
 
 
-def _features(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each token, with its predecessor, with both predecessors."""
-    m = (1 << 62) - 1
-    one = (ids * 0x9E3779B1) & m
-    two, three = one.copy(), one.copy()
-    two[1:] = (one[1:] ^ ((one[:-1] * 0x85EBCA6B + 0x1234567) & m)) & m
-    three[2:] = (two[2:] ^ ((one[:-2] * 0xC2B2AE35 + 0x7654321) & m)) & m
-    fold = lambda x: ((x ^ (x >> 21) ^ (x >> 42)) & (SIZE - 1)).astype(np.int64)
-    return fold(one), fold(two + 0x5555), fold(three + 0xAAAA)
+_M = (1 << 62) - 1
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    return (x ^ (x >> 21) ^ (x >> 42)) & (SIZE - 1)
+
+
+def _single(ids: np.ndarray) -> np.ndarray:
+    """Hashes of each token by itself."""
+    return _fold((ids * 0x9E3779B1) & _M)
+
+
+def _features(ids: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token, with its predecessor, with both predecessors; of the tokens at some places, or of all."""
+    at = np.arange(len(ids)) if at is None else at
+    one = (ids[at] * 0x9E3779B1) & _M
+    before = [(ids[np.maximum(at - k, 0)] * 0x9E3779B1) & _M for k in (1, 2)]
+    two = np.where(at > 0, (one ^ ((before[0] * 0x85EBCA6B + 0x1234567) & _M)) & _M, one)
+    three = np.where(at > 1, (two ^ ((before[1] * 0xC2B2AE35 + 0x7654321) & _M)) & _M, one)
+    return _fold(one), _fold(two + 0x5555), _fold(three + 0xAAAA)
 
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,19 +225,20 @@ class Model:
         self.base = max(residue_words, 1.0) / max(words, 2.0)
         self.shift = float(np.log(self.base / (1 - self.base)))
 
-    def share(self, ids: np.ndarray) -> np.ndarray:
-        """The share of the uses of each token, in the light of its predecessors, that is residue."""
-        p = np.full(len(ids), self.base)
-        for h in _features(ids):
+    def share(self, ids: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The share of the uses of each token (at some places, or all), in the light of its predecessors, that is residue."""
+        p = self.base
+        for h in _features(ids, at):
             p = (self.residue[h] + LEAN * p) / (self.total[h] + LEAN)
         return p
 
     def score(self, ids: np.ndarray) -> np.ndarray:
         """Log odds of each token; line ends break every passage."""
-        p = np.clip(self.share(ids), 1e-7, 1 - 1e-3)
-        s = np.log(p / (1 - p)) - self.shift
-        np.clip(s, -8.0, 8.0, out=s)
-        s[self.residue[_features(ids)[0]] == 0] = -8.0  # never seen in residue, and so not counted by what stands before it
+        # a token never seen in residue has not been counted by what stands before it
+        s = np.full(len(ids), -8.0)
+        at = np.flatnonzero((self.residue[_single(ids)] > 0) & (ids != 0))
+        p = np.clip(self.share(ids, at), 1e-7, 1 - 1e-3)
+        s[at] = np.clip(np.log(p / (1 - p)) - self.shift, -8.0, 8.0)
         s[ids == 0] = -2000.0
         return s
 
@@ -407,10 +419,8 @@ def fit(df: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
         for batch in batches:
             for _, texts in _blocks(batch.column(0).to_pylist()):
                 ids, _ = _joined(texts)
-                one, two, three = _features(ids)
-                take = known[one]
-                for h in (one, two, three):
-                    total += np.bincount(h[take], minlength=SIZE)
+                for h in _features(ids, np.flatnonzero(known[_single(ids)])):
+                    total += np.bincount(h, minlength=SIZE)
                 words += len(ids)
         yield _emit(total, np.zeros(SIZE), words, 0.0)
 
