@@ -19,6 +19,11 @@ U_SPARK = "cast(conv(substr(md5(concat_ws(':', {seed}, {b}, {key})), 1, 8), 16,
 U_DUCK = "('0x' || substr(md5(concat_ws(':', {seed}, {b}, {key})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
 
 
+def over_cores(draws: DataFrame) -> DataFrame:
+    """Few counts and many draws of each: spread by number of draw, as a plan by size would leave them to one core."""
+    return draws.repartition(draws.sparkSession.sparkContext.defaultParallelism, "b")
+
+
 def wide_themes(spark, d) -> DataFrame:
     return inst_theme(spark, d).groupBy("institution_id", "region").pivot("theme", list(THEMES)).agg(F.max("v"))
 
@@ -177,7 +182,7 @@ def bootstrap_diff_prop(spark, d):
     step = F.when((F.col("x") == 0) | (F.col("x") == F.col("n")), 0.0).when(F.col("k") == 0, F.col("n") * F.log(1 - F.col("x").cast("double") / F.col("n"))).otherwise(F.log((F.col("n") - F.col("k") + 1).cast("double") / F.col("k")) + F.log(F.col("x").cast("double") / (F.col("n") - F.col("x"))))
     rows = counts.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n").cast("int")))).withColumn("lr", step).withColumn("pmf", F.exp(F.sum("lr").over(w))).withColumn("c", F.sum("pmf").over(w))
     cdf = rows.groupBy("theme", "region", "x", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "c"))), lambda s: s["c"]).alias("cdf"))
-    drawn = cdf.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).withColumn("u", F.expr(U_SPARK.format(seed=SEED, b="b", key="concat_ws('/', theme, region)")))
+    drawn = over_cores(cdf.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))))).withColumn("u", F.expr(U_SPARK.format(seed=SEED, b="b", key="concat_ws('/', theme, region)")))
     at = F.least(F.col("n"), F.size(F.filter("cdf", lambda c: c < F.col("u"))).cast("bigint"))
     p = drawn.select("theme", "region", "b", "n", F.when((F.col("x") == 0) | (F.col("x") == F.col("n")), F.col("x")).otherwise(at).cast("bigint").alias("x"))
     diffs = region_pairs(by_region(p, ["b", "theme"], F.max("x").alias("x"), F.max("n").alias("n")), ["b", "theme"], {"x": "bigint", "n": "bigint"}).where("n_a > 0 and n_b > 0")
@@ -209,7 +214,7 @@ def bootstrap_diff_mean(spark, d):
 
     rows = inst_sentiment(spark, d).groupBy("use", "region").agg(F.array_sort(F.collect_list(F.round("mean", 9))).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")
     u = U_SPARK.format(seed=SEED, b="b", key="concat_ws('/', use, region, i)")
-    drawn = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))).repartition("use", "region", "b")
+    drawn = over_cores(rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1)))))
     drawn = drawn.withColumn("mean", F.expr(f"aggregate(sequence(0, cast(n as int) - 1), 0D, (acc, i) -> acc + m[cast(floor({u} * n) as int)]) / n"))
     diffs = region_pairs(by_region(drawn, ["b", "use"], F.max("mean").alias("mean"), F.max("n").alias("n")), ["b", "use"], {"mean": "double", "n": "bigint"}).where("n_a > 0 and n_b > 0")
     q = F.percentile(F.col("mean_a") - F.col("mean_b"), F.array(F.lit(0.025), F.lit(0.975)))
