@@ -7,15 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..domain import REGIONS, THEMES, USES, institutions, sql
+from ..domain import REGIONS, SQL_BASE, THEMES, USES, inst_theme, institutions, sql
 from ..functions import text as T
+from ..functions.special import Duck, Spark, normal_quantile
 from ..session import shared_dir, stage, table
 from ..sources import files, web
 from ..streaming import ingest
 from . import reports
 from .catalog import oracle_of, query
 from .corpus import _COLS
-from .inference import bh_fdr, region_sentiment, region_theme, theme_pairs, wilson_ci
+from .inference import bh_fdr, region_sentiment, region_theme, theme_pairs, tost_theme, wilson_ci
 from .resampling import stability_top
 from .text import _mod
 
@@ -216,6 +217,82 @@ def new_urls_by_query(spark, d):
     return web.new_by_query(hits, answers=answers)
 
 
+@query("SELECT host, count(*) AS n, min(url) AS first_url FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url FROM policy_documents WHERE url LIKE 'http%') GROUP BY ALL")
+def wrapped_results(spark, d):
+    """Pages of search results that wrap their targets, one a document, and the targets on the document's own host."""
+    rows = table(spark, d, "policy_documents").where("url like 'http%'").select("url").distinct().withColumn("host", F.regexp_extract("url", "^https?://([^/]+)", 1))
+    html = F.concat(*[x for u in (F.col("url"), F.lit("https://elsewhere.example/x"), F.col("url")) for x in (F.lit('<a href="/l/?kh=1&uddg='), F.url_encode(u), F.lit('">x</a>'))])
+    found = rows.select("host", F.explode(web.result_links(html, F.col("host"))).alias("url"))
+    return found.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first_url"))
+
+
+@query("SELECT policy_doc_id, md5(text) AS text_md5 FROM policy_documents WHERE text IS NOT NULL")
+def decoded_pages(spark, d):
+    """Bytes decoded by the charset that the page names: utf-8 where it names none."""
+    from ..session import ship
+
+    ship(spark)
+    rows = table(spark, d, "policy_documents").where("text is not null").select("policy_doc_id", F.encode("text", "UTF-8").alias("content"))
+    return files.decode_pages(rows).select("policy_doc_id", F.md5(F.col("html").cast("binary")).alias("text_md5"))
+
+
+@query(
+    """WITH l AS (SELECT 'p' || k AS source, 'p' || t AS url, t % 5 AS score FROM (SELECT n_nationkey AS k, unnest([2 * n_nationkey + 1, 2 * n_nationkey + 2]) AS t FROM nation)),
+    h1 AS (SELECT url, max(score) AS score FROM l WHERE source IN ('p0', 'p3') GROUP BY url),
+    h2 AS (SELECT url, max(score) AS score FROM l WHERE source IN (SELECT url FROM h1 WHERE score < 3) AND url NOT IN (SELECT url FROM h1) GROUP BY url)
+    SELECT url, CAST(score AS INTEGER) AS score, 1 AS hop FROM h1 UNION ALL SELECT url, CAST(score AS INTEGER), 2 FROM h2"""
+)
+def crawl_hops(spark, d):
+    """Two hops from two seeds over a stored graph of scored links."""
+    k = F.col("n_nationkey").cast("int")
+    links = table(spark, d, "nation").select(F.concat(F.lit("p"), k).alias("source"), F.explode(F.array(2 * k + 1, 2 * k + 2)).alias("t")).select("source", F.concat(F.lit("p"), "t").alias("url"), (F.col("t") % 5).alias("score"))
+    return web.crawl(spark.createDataFrame([("p0",), ("p3",), ("p0",), (None,)], "url string"), links)
+
+
+@query(sql("SELECT institution_id FROM (SELECT institution_id FROM inst ORDER BY institution_id LIMIT 50) WHERE institution_id NOT IN (SELECT institution_id FROM archive_sidecars WHERE institution_id IS NOT NULL AND content_type IS NULL)"))
+def left_to_do(spark, d):
+    """The first fifty institutions without those done already; the limit counts before they are taken out."""
+    done = table(spark, d, "archive_sidecars").where("content_type is null")
+    return web.pending(institutions(spark, d).select("institution_id"), done, limit=50)
+
+
+@query("SELECT policy_doc_id, array_to_string(list_filter(regexp_split_to_array(lower(title), '[ \t\n\f\r\x0b,，、；]+'), lambda w: length(w) >= 2), '/') AS words FROM policy_documents WHERE title IS NOT NULL")
+def title_words(spark, d):
+    """The words of a title as a search query has them."""
+    return table(spark, d, "policy_documents").where("title is not null").select("policy_doc_id", F.array_join(T.query_tokens(F.col("title")), "/").alias("words"))
+
+
+_Q = [0.0, 0.001, 0.01, 0.025, 0.1, 0.3, 0.5, 0.8, 0.95, 0.975, 0.999, 1.0]
+
+
+@query(f"SELECT p, round({normal_quantile(Duck, 'p')}, 9) AS z FROM (SELECT unnest({_Q})::DOUBLE AS p)")
+def normal_quantiles(spark, d):
+    """Quantiles of the normal distribution; none at 0 and 1."""
+    return spark.createDataFrame([(p,) for p in _Q], "p double").select("p", F.round(F.expr(normal_quantile(Spark, "p")), 9).alias("z"))
+
+
+_SEEDED = "s AS (SELECT i.institution_id, CASE WHEN bool_or(length(n.policy_search_url) > 0) THEN 'listed' WHEN bool_or(a.institution_id IS NOT NULL) THEN 'found' END AS protocol FROM inst i LEFT JOIN institutions n USING (institution_id) LEFT JOIN (SELECT DISTINCT institution_id FROM archive_sidecars) a USING (institution_id) GROUP BY ALL)"
+
+
+@query(sql("SELECT protocol, theme, i.region, sum(v)::BIGINT AS x, count(*) AS n, round(sum(v)::DOUBLE / count(*), 9) AS prevalence FROM inst_theme i JOIN s USING (institution_id) WHERE protocol IS NOT NULL GROUP BY ALL", SQL_BASE.rstrip() + ",\n" + _SEEDED))
+def seed_strata(spark, d):
+    """Prevalence by how an institution's pages were come by: listed addresses, or found ones; with neither it has no stratum."""
+    listed = table(spark, d, "institutions").where("length(policy_search_url) > 0").select("institution_id").distinct().withColumn("listed_", F.lit(True))
+    found = table(spark, d, "archive_sidecars").select("institution_id").distinct().withColumn("found_", F.lit(True))
+    st = institutions(spark, d).select("institution_id").join(listed, "institution_id", "left").join(found, "institution_id", "left")
+    st = st.select("institution_id", F.when(F.col("listed_"), "listed").when(F.col("found_"), "found").alias("protocol")).where("protocol is not null")
+    g = inst_theme(spark, d).join(st, "institution_id").groupBy("protocol", "theme", "region").agg(F.sum("v").cast("bigint").alias("x"), F.count(F.lit(1)).alias("n"))
+    return g.withColumn("prevalence", F.round(F.col("x").cast("double") / F.col("n"), 9))
+
+
+@query(f"SELECT theme, region_a, region_b, CASE WHEN round(diff, 4) < 0 THEN '-' ELSE '+' END || printf('%.2f', abs(round(diff * 100, 2))) AS signed, printf('%.1f', round(p_low * 100, 1)) || '%' AS percent FROM ({oracle_of('tost_theme')})")
+def number_formats(spark, d):
+    """Signed numbers of two decimals and percentages of one."""
+    diff = F.col("diff")
+    signed = F.concat(F.when(F.round(diff, 4) < 0, "-").otherwise("+"), F.format_string("%.2f", F.abs(F.round(diff * 100, 2))))
+    return tost_theme(spark, d).select("theme", "region_a", "region_b", signed.alias("signed"), F.concat(F.format_string("%.1f", F.round(F.col("p_low") * 100, 1)), F.lit("%")).alias("percent"))
+
+
 @query("SELECT policy_doc_id, strftime(ingested_at, '%Y%m%dT%H%M%SZ') AS compact, strftime(ingested_at, '%Y-%m-%dT%H:%M:%S') || 'Z' AS iso, date_diff('millisecond', TIMESTAMP '2024-01-01', date_trunc('millisecond', ingested_at)) AS elapsed_ms FROM policy_documents WHERE ingested_at IS NOT NULL")
 def timestamps(spark, d):
     """Times in both spellings, and milliseconds since a moment."""
