@@ -14,6 +14,10 @@ The labels of an item sit in one row (as many as it has annotators); a round of
 expectation-maximisation is one pass over these rows and moves only sums by
 annotator, pair, dimension and label.
 
+The state holds a number a pair of annotators: it is made for study teams and
+panels of models, up to some two thousand of them (the sums of 2 000 are 100 MB),
+whatever the number of items.
+
 Defined results: codings that failed, have no item, annotator or labels are left
 out; of several codings by the same annotator and seed the latest counts, of
 those with the same time one. Missing single values are 0. An item with a
