@@ -14,9 +14,10 @@ from ..session import shared_dir, stage, table
 from ..sources import files, web
 from ..streaming import ingest
 from . import reports
+from .agreement import ablation_kappa_rollup, expert_kappa
 from .catalog import oracle_of, query
 from .corpus import _COLS
-from .inference import bh_fdr, region_sentiment, region_theme, theme_pairs, tost_theme, wilson_ci
+from .inference import bh_fdr, holm_pairwise, region_sentiment, region_theme, theme_pairs, tost_theme, wilson_ci
 from .resampling import stability_top
 from .text import _mod
 
@@ -313,8 +314,6 @@ def fdr_family(spark, d):
 @query(f"SELECT condition, theme, kappa, CAST(row_number() OVER (ORDER BY coalesce(-kappa, 0), condition, theme) AS INTEGER) AS place FROM ({oracle_of('ablation_kappa_rollup')})")
 def conditions_ranked(spark, d):
     """Conditions by falling kappa; one without a kappa counts as 0."""
-    from .agreement import ablation_kappa_rollup
-
     return ablation_kappa_rollup(spark, d).select("condition", "theme", "kappa", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.coalesce(-F.col("kappa"), F.lit(0.0)), "condition", "theme")).alias("place"))
 
 
@@ -421,6 +420,50 @@ def temporal_cells(spark, d):
     return reports.temporal_table(rows.select("theme", *wave("mid_2023", "x_early"), *wave("late_2025", "x_late"), _num("shift_pp").alias("shift_pp"), F.concat_ws("/", "gained", "lost").alias("p_value")))
 
 
+def _listed(title: str, head: tuple[str, ...]) -> tuple[str, ...]:
+    return (f"# {title}", "", "| " + " | ".join(head) + " |", "|" + "---|" * len(head))
+
+
+def _listed_sql(title: str, head: tuple[str, ...], cells: tuple[str, ...], order: str, source: str, where: str = "true") -> str:
+    top = _listed(title, head)
+    row = "'| ' || " + " || ' | ' || ".join(f"coalesce({c}, '')" for c in cells) + " || ' |'"
+    return f"""SELECT CAST(row_number() OVER (ORDER BY at_, k) - 1 AS INTEGER) AS line_no, line FROM (SELECT 0 AS at_, unnest(range({len(top)})) AS k, unnest([{', '.join("'" + x + "'" for x in top)}]) AS line
+    UNION ALL SELECT 1, row_number() OVER (ORDER BY {order}), {row} FROM ({source}) WHERE {where})"""
+
+
+def _list(spark: SparkSession, title: str, head: tuple[str, ...], df: DataFrame, cells: tuple, order: list) -> DataFrame:
+    """A report of one table: a line a row, in order; a cell without a value is empty."""
+    k = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+    body = df.select(k.alias("k"), F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c, F.lit("")) for c in cells]), F.lit(" |")).alias("line"))
+    return _lines(_fixed(spark, *_listed(title, head)), body)
+
+
+@query(_listed_sql("Experts", ("Dimension", "n", "Agreement", "Kappa"), ("theme", "CAST(n AS VARCHAR)", _word("agreement"), _word("kappa")), "theme", oracle_of("expert_kappa")))
+def expert_report(spark, d):
+    """Agreement with the experts as markdown lines."""
+    return _list(spark, "Experts", ("Dimension", "n", "Agreement", "Kappa"), expert_kappa(spark, d), (F.col("theme"), F.col("n").cast("string"), _num("agreement"), _num("kappa")), ["theme"])
+
+
+@query(_listed_sql("Conditions", ("Condition", "n", "Mean kappa"), ("condition", "CAST(n AS VARCHAR)", _word("kappa")), "coalesce(-kappa, 0), condition", oracle_of("ablation_kappa_rollup"), "theme = 'MEAN'"))
+def conditions_report(spark, d):
+    """Conditions by falling mean kappa as markdown lines."""
+    rows = ablation_kappa_rollup(spark, d).where("theme = 'MEAN'")
+    return _list(spark, "Conditions", ("Condition", "n", "Mean kappa"), rows, (F.col("condition"), F.col("n").cast("string"), _num("kappa")), [F.coalesce(-F.col("kappa"), F.lit(0.0)), "condition"])
+
+
+@query(_listed_sql("Confirmatory tests", ("Theme", "Pair", "p", "Rejected"), ("theme", "region_a || '-' || region_b", "CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', round(p, 3)) END", "CASE reject WHEN 1 THEN 'yes' ELSE 'no' END"), "rk", oracle_of("holm_pairwise")))
+def confirmatory_report(spark, d):
+    """Step-down tests of all pairs as markdown lines, by rank."""
+    p = F.when(F.col("p") < 0.001, "<0.001").otherwise(_num("p"))
+    return _list(spark, "Confirmatory tests", ("Theme", "Pair", "p", "Rejected"), holm_pairwise(spark, d), (F.col("theme"), F.concat_ws("-", "region_a", "region_b"), p, F.when(F.col("reject") == 1, "yes").otherwise("no")), ["rk"])
+
+
+@query(_listed_sql("Extended statistics", ("Theme", "x early", "x late", "Shift"), ("theme", "CAST(x_early AS VARCHAR)", "CAST(x_late AS VARCHAR)", _word("shift_pp") + " || ' pp'"), "theme", oracle_of("temporal_drift")))
+def drift_report(spark, d):
+    """Shifts between two waves as markdown lines."""
+    return _list(spark, "Extended statistics", ("Theme", "x early", "x late", "Shift"), reports.temporal_drift(spark, d), (F.col("theme"), F.col("x_early").cast("string"), F.col("x_late").cast("string"), F.concat(_num("shift_pp"), F.lit(" pp"))), ["theme"])
+
+
 # --- streams, run over what is there ------------------------------------------------------------------------------------
 
 
