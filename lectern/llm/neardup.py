@@ -43,8 +43,8 @@ WIDTH = 64
 TREES = 10
 RECALL = 0.99
 NODE = 200
-#: Levels that are always tried; further ones as long as fewer rows stand in large nodes than a level before.
-DEPTH = 4
+#: Levels of branching; a node that is large even then is compared in blocks.
+DEPTH = 7
 #: Agreement of minwise hashes below which a pair is not checked exactly: 3.5 standard errors below the threshold.
 SKETCH_SLACK = 3.5
 WIDE = "぀-ヿ一-鿿가-힯"
@@ -254,19 +254,17 @@ def candidate_pairs(reps: DataFrame, threshold: float, kind: str, trees: int = T
     """Pairs of representatives that some leaf holds and whose sketches agree, each once; ``trees`` is the least number of trees."""
     trees = trees_for(1, threshold, least=trees)
     level = _spread(reps, range(trees), threshold, 1, kind)
-    found, before, at_level = None, None, None
+    found, at_level = None, None
     for depth in count(1):
         large = stage(level.groupBy("path").count().where(F.col("count") > NODE), "near-large")
-        n_large, n_rows = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+        n_large = large.select(F.lit(1)).count()
         leaves = level.join(large.select("path"), "path", "left_anti") if n_large else level
         part = stage(_compare(leaves, threshold, kind).distinct(), "near-pairs")
         found = part if found is None else found.unionByName(part)
         if not n_large:
             break
         at = level.join(large, "path")
-        # one level more makes 1 / threshold rows of each; a cluster that no branching splits grows by that
-        if depth < DEPTH or before is not None and n_rows < before:
-            before = n_rows
+        if depth < DEPTH:
             level = _deeper(at.select("path", "id").join(reps, "id"), threshold, kind)
             # a branch lost at one more level is made up for by further trees, over the texts that go deeper
             more = trees_for(depth + 1, threshold, least=trees)
