@@ -383,7 +383,7 @@ def sensitivity_report(spark, d):
 
 
 _word = lambda c: f"printf('%.3f', round({c}, 3))"
-_num = lambda c: F.format_string("%.3f", F.round(c, 3))
+_num = lambda c: F.when(F.round(c, 3).isNotNull(), F.format_string("%.3f", F.round(c, 3)))
 
 
 @query(f"SELECT theme AS metric, CAST(x AS VARCHAR) AS baseline, {_word('prevalence')} AS current, '[' || {_word('ci_low')} || ', ' || {_word('ci_high')} || ']' AS \"95% CI\" FROM ({oracle_of('wilson_ci')}) WHERE region = 'NA' AND n > 0")
